@@ -8,10 +8,9 @@ checked texts (NBSP and friends), which Java's ``\\s`` does not include.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redpencil.functions.exprs import CLOSE, MID, OPEN, SEP, fresh, let, lit
 
@@ -136,17 +135,64 @@ def comparable(x: str) -> str:
     return f"lower(trim({collapse_ws(x)}))"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in normaliser."""
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("array<string>")
-def nfc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition of short matched fragments."""
-    for s in batches:
-        yield s.map(lambda a: a if a is None else [unicodedata.normalize("NFC", v) for v in a])
+def _composition_tables() -> tuple[str, str, str]:
+    """Canonical pairs, letter decompositions and combining classes, as
+    lookup strings built from the Unicode database."""
+    pairs, letters, classes = [], [], []
+    for cp in range(0xC0, 0x30000):
+        c = chr(cp)
+        if unicodedata.combining(c):
+            classes.append(f"{c}{MID}{unicodedata.combining(c):03d}")
+        d = unicodedata.decomposition(c)
+        if not d or d.startswith("<") or " " not in d or unicodedata.normalize("NFC", c) != c:
+            continue
+        base, mark = (chr(int(h, 16)) for h in d.split())
+        if unicodedata.combining(mark) and not unicodedata.combining(base):
+            pairs.append(f"{base}{mark}{MID}{c}")
+            letters.append(f"{c}{MID}{unicodedata.normalize('NFD', c)}")
+    return tuple(SEP + SEP.join(t) + SEP for t in (pairs, letters, classes))
+
+
+_PAIRS, _LETTERS, _CLASSES = _composition_tables()
+
+
+def _find(table: str, key: str) -> str:
+    return (f"substring_index(substring_index({lit(table)}, concat('{SEP}', {key}, '{MID}'), -1), '{SEP}', 1)")
+
+
+def _known(table: str, key: str) -> str:
+    return f"contains({lit(table)}, concat('{SEP}', {key}, '{MID}'))"
+
+
+def nfc_letter(o: str) -> str:
+    """Canonical composition of one letter followed by combining marks.
+
+    Marks are put in canonical order, then taken up one by one unless a mark of
+    the same class stands in between.  Runs on matched fragments only.
+    """
+    m, i, w, a, x = (fresh(n) for n in "miwax")
+    base = f"substring({o}, 1, 1)"
+    spelled = f"concat(if({_known(_LETTERS, base)}, {_find(_LETTERS, base)}, {base}), substring({o}, 2))"
+
+    def run(s: str) -> str:
+        cls = f"if({_known(_CLASSES, m)}, {_find(_CLASSES, m)}, '000')"
+        marks = (f"transform(array_sort(transform(filter(split(substring({s}, 2), ''), {m} -> {m} <> ''), "
+                 f"({m}, {i}) -> named_struct('c', {cls}, 'i', {i}, 'm', {m}))), {w} -> {w})")
+        pair = f"concat({a}.b, {x}.m)"
+        free = f"({a}.l = '' or {a}.l < {x}.c)"
+        step = (f"if({free} and {_known(_PAIRS, pair)}, "
+                f"named_struct('b', {_find(_PAIRS, pair)}, 'r', {a}.r, 'l', {a}.l), "
+                f"named_struct('b', {a}.b, 'r', concat({a}.r, {x}.m), 'l', {x}.c))")
+        return (f"aggregate({marks}, named_struct('b', substring({s}, 1, 1), 'r', '', 'l', ''), "
+                f"({a}, {x}) -> {step}, {a} -> concat({a}.b, {a}.r))")
+
+    return let(spelled, run)
 
 
 def compact_key(x: str) -> str:
@@ -328,4 +374,4 @@ def project_name_filter(name: str, needle: str) -> str:
     return f"contains(lower({name}), lower(trim({needle})))"
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"Iterator", "annotations", "fresh"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "fresh"}]

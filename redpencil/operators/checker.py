@@ -37,7 +37,7 @@ def _heading_aware(found: str, headings: str) -> str:
     )
 
 
-def all_hits(t: str, low: str, caption: str, excluded: str, headings: str, composed: str | None,
+def all_hits(t: str, low: str, caption: str, excluded: str, headings: str,
              lex: Lexicon, rules: set[int]) -> list[str]:
     """Hits of the selected rules, before guards, as a few array expressions."""
     parts = []
@@ -52,14 +52,12 @@ def all_hits(t: str, low: str, caption: str, excluded: str, headings: str, compo
         7: lambda: st.repeated_lines(t, low), 8: lambda: st.repeated_phrases(t, low), 12: lambda: st.numbered_list_format(t),
         13: lambda: st.bullet_list_format(t), 14: lambda: st.heading_words(headings, excluded),
         15: lambda: st.heading_phrases(headings, excluded), 16: lambda: st.term_variants(t, low),
-        24: lambda: st.repeated_hashtags(t), 50: lambda: st.unexplained_acronyms(t, lex),
+        24: lambda: st.repeated_hashtags(t), 46: lambda: st.combining_marks(t), 50: lambda: st.unexplained_acronyms(t, lex),
         59: lambda: st.brackets(t), 60: lambda: st.quotes(t), 77: lambda: st.date_formats(t),
     }
     edges = {1: st.leading_blanks, 2: st.trailing_blanks, 73: st.first_letter_case, 79: st.final_punctuation}
     parts += [make() for rule, make in single.items() if rule in rules]
     parts += [f"if({caption}, {make(t)}, {empty(HIT_TYPE)})" for rule, make in edges.items() if rule in rules]
-    if 46 in rules and composed:
-        parts.append(st.combining_marks(t, composed))
     dictionary = set(rb.DICTIONARY_RULES) & rules
     if dictionary:
         parts.append(phrase_hits(t, low, caption, headings, lex, dictionary))
@@ -151,14 +149,7 @@ def with_hits(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, *
     """``content`` plus an array column ``hits``; all stages are projections."""
     rules = ALL_RULES if rules is None else rules
     caption = "coalesce(source_type, 'caption') = 'caption'" if "source_type" in content.columns else "true"
-    composed = None
-    df = content
-    if 46 in rules:
-        x = fresh("x")
-        frag = f"if(text rlike {lit(st.COMBINING)}, transform({spans('text', st.COMBINING)}, {x} -> {x}.o), null)"
-        df = df.withColumn("_composed", tx.nfc_all(F.expr(frag)))
-        composed = "@composed"
-    df = (df.withColumn("_low", F.expr(tx.folded("text")))
+    df = (content.withColumn("_low", F.expr(tx.folded("text")))
           .withColumn("_urls", F.expr(rg.url_ranges("text", "_low")))
           .withColumn("_terms", F.expr(rg.term_ranges("_low", lex.protected())))
           .withColumn("_excluded", F.expr("concat(_urls, _terms)")))
@@ -167,9 +158,7 @@ def with_hits(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, *
         "struct<ls:int,le:int,s:int,t:string>")
     df = df.withColumn("_headings", F.expr(heads))
     bound = {"@excluded": "_excluded", "@headings": "_headings"}
-    if composed:
-        bound["@composed"] = "_composed"
-    parts = all_hits("text", "_low", caption, "@excluded", "@headings", composed, lex, rules)
+    parts = all_hits("text", "_low", caption, "@excluded", "@headings", lex, rules)
     df = df.withColumns({
         f"_part{i}": F.expr(bind(part, **{k: v for k, v in bound.items() if k in part}))
         for i, part in enumerate(parts)

@@ -120,7 +120,7 @@ def repeated_phrases(t: str, low: str) -> str:
     four phrase lengths are tested.
     """
     start = (rf"(?<!{ALNUM})(?=({ALNUM}++){GAP}({ALNUM}++)(?:{GAP}{ALNUM}++){{0,3}}?"
-             rf"[ \t]++\1(?!{ALNUM}){GAP}\2(?!{ALNUM}))")
+             rf"[ \t]++\1(?!{ALNUM}){GAP}\2(?!{ALNUM}))(?=({ALNUM}++(?:{GAP}{ALNUM}++){{3,9}}+))")
     x, w = fresh("x"), fresh("w")
 
     def at(line: str) -> str:
@@ -130,8 +130,16 @@ def repeated_phrases(t: str, low: str) -> str:
             tries.append(hit(80 + 5 - n, f"{x}.s", f"{x}.s + length({whole})", whole, once, str(5 - n)))
         return f"filter(array({', '.join(tries)}), {w} -> {w}.o <> '')"
 
-    line = f"substring_index(substring({t}, {x}.s + 1), '\\n', 1)"
-    return f"flatten(transform({spans(low, start, wrap(''), zero_width=True)}, {x} -> {let(line, at)}))"
+    words = f"substring({t}, {x}.s + 1, length({x}.o))"
+    found = f"flatten(transform({spans(low, start, wrap('$3'), zero_width=True)}, {x} -> {let(words, at)}))"
+    i = fresh("i")
+
+    def some_pair_again(v: str) -> str:
+        again = " or ".join(f"(get({v}, {i}) = get({v}, {i} + {n}) and get({v}, {i} + 1) = get({v}, {i} + {n + 1}))"
+                            for n in (2, 3, 4, 5))
+        return f"exists(sequence(0, greatest(size({v}) - 4, 0)), {i} -> {again})"
+
+    return gate(let(f"split({low}, {lit(r'[^' + ALNUM[1:-1] + ']+')})", some_pair_again), found, empty(HIT_TYPE))
 
 
 def _majority(values: str) -> str:
@@ -301,11 +309,12 @@ def unexplained_acronyms(t: str, lex: Lexicon) -> str:
 COMBINING = r"\p{L}\p{M}+"
 
 
-def combining_marks(t: str, composed: str) -> str:
-    """R46; ``composed`` holds the composed form of every match in order."""
-    x, i, w = fresh("x"), fresh("i"), fresh("w")
-    return (f"filter(transform({spans(t, COMBINING)}, ({x}, {i}) -> "
-            f"{hit(460, f'{x}.s', f'{x}.e', f'{x}.o', f'{composed}[{i}]')}), {w} -> {w}.o <> {w}.g)")
+def combining_marks(t: str) -> str:
+    """Letters written with combining marks where one code point exists."""
+    x, w = fresh("x"), fresh("w")
+    found = (f"filter(transform({spans(t, COMBINING)}, {x} -> "
+             f"{hit(460, f'{x}.s', f'{x}.e', f'{x}.o', tx.nfc_letter(f'{x}.o'))}), {w} -> {w}.o <> {w}.g)")
+    return gate(f"{t} rlike {lit(chr(92) + 'p{M}')}", found, empty(HIT_TYPE))
 
 
 # -- brackets and quotes (R59, R60) ---------------------------------------------------
