@@ -232,8 +232,8 @@ def static_rules(lex: Lexicon) -> list[SpanRule]:
             SpanRule(340, rf"(?iu)(?<![#\p{{L}}\p{{N}}_]){r}{WS}*corp(?:oration)?{B}", wrap("$0", name), low_has("corp")),
         ]
     mentions = {w: r for w, r in lex.product_terms.items() if " " in w and " " not in r}
-    mentions |= {spaced: t for spaced, t in spaced_brands(lex).items()}
-    for wrong, right in mentions.items():
+    mentions |= spaced_brands(lex)
+    for wrong, right in {w.lower(): r for w, r in mentions.items()}.items():
         rules.append(SpanRule(290, rf"(?iu){A}@{tx.escape(wrong)}{B}", wrap("$0", "@" + "".join(right.split())),
                               has("@")))
     for spaced, term in spaced_brands(lex).items():
