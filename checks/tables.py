@@ -180,8 +180,6 @@ ORACLE_SQL["label_predicate"] = (
     f"m as (select doc_id, cast(pos as int) as pos, {_r.label(chr(115) + 'plit_part(line, chr(58), 1)')} as is_label, "
     f"{_r.value('split_part(line, chr(32), 2)')} as is_value from l) select * from m where is_label or is_value")
 
-_HEAD = checker.rg
-
 shared("candidate_normalise", lambda s, d: issues(s, d).select(
     "issue_id", F.expr(tx.candidate_type("if(type = 'style', 'brand_consistency', concat(type, if(is_definite, '', 'x')))")).alias("type"),
     F.expr(tx.candidate_severity("if(is_definite, severity, 'odd')")).alias("severity"),
@@ -271,7 +269,7 @@ def _(spark, d):
 
 CANDS = f"""select cast(d.doc_id as string) as source_id, 'caption' as source_type, cast(null as string) as artboard_id,
   cast(null as string) as box_id, 'style' as type, 'low' as severity, substr(text, cast(n_chars % 40 + 1 as int), 6) as original,
-  upper(substr(text, cast(n_chars % 40 + 1 as int), 6)) as suggestion, 'r' as reason, cast(n_chars % 13 as double) / 10 as confidence,
+  reverse(substr(text, cast(n_chars % 40 + 1 as int), 6)) as suggestion, 'r' as reason, cast(n_chars % 13 as double) / 10 as confidence,
   n_chars % 2 = 0 as is_definite, case when n_chars % 3 = 0 then substr(text, cast(n_chars % 40 as int), 1) end as context_before,
   case when n_chars % 5 = 0 then 'zz' end as context_after, 'reviewer' as created_by, doc_id as ord from documents d where n_chars > 60"""
 _CB = "coalesce(context_before, '')"
@@ -317,7 +315,7 @@ def _(spark, d):
   select source_id, s as span_start, s + 6 as span_end, original, suggestion, least(1.0, greatest(0.0, confidence)) as confidence, is_definite,
     substr(text, greatest(s - 12, 0) + 1, least(s, 12)) as context_before, substr(text, s + 7, 12) as context_after from k
   where not exists (select 1 from t where cast(t.doc_id as string) = source_id and t.s < k.s + 6 and k.s < t.e)
-    and not (cap and original <> suggestion and s >= hs and s + 6 <= hs + length(h) and len(regexp_extract_all(original, '\\p{{L}}')) >= 2 and not regexp_matches(original, '\\p{{Ll}}'))""")
+    and not (cap and original <> suggestion and lower(original) = lower(suggestion) and s >= hs and s + 6 <= hs + length(h) and len(regexp_extract_all(original, '\\p{{L}}')) >= 2 and not regexp_matches(original, '\\p{{Ll}}'))""")
 def _(spark, d):
     """J9 without protected terms (those are covered by tests)."""
     from redpencil.lexicon import Lexicon
@@ -411,7 +409,7 @@ shared("carry_over", lambda s, d: dc.carry_over(issues(s, d), _decisions(s, d)).
        f"from ({DECISIONS}) group by all) p using ({_KEY})")
 shared("scoped_replace", lambda s, d: dc.replace_scope(
     issues(s, d), issues(s, d).where("is_definite").withColumn("status", F.lit("open")),
-    issues(s, d).where("user_hit").select("workspace_id") if False else issues(s, d).where("workspace_id in ('w1', 'w2', 'w3')"),
+    issues(s, d).where("workspace_id in ('w1', 'w2', 'w3')"),
     ["workspace_id"]).select("issue_id", "status"),
     f"select issue_id, status from ({ISSUES}) where workspace_id not in ('w1', 'w2', 'w3') union all "
     f"select issue_id, 'open' from ({ISSUES}) where workspace_id in ('w1', 'w2', 'w3') and is_definite")
@@ -447,8 +445,7 @@ def _cache(spark, d):
 
 shared("cache_misses", _cache, """select lang, count(distinct text) as misses from documents a where not exists
   (select 1 from documents b where b.lang = a.lang and b.text = a.text and b.n_chars % 2 = 0) group by lang""")
-shared("add_terms", lambda s, d: dc.add_terms(issues(s, d), issues(s, d).where("event_type_hit") if False else
-                                              issues(s, d).where("status = 'ignored' and ord < 500")).select("issue_id", "status"),
+shared("add_terms", lambda s, d: dc.add_terms(issues(s, d), issues(s, d).where("status = 'ignored' and ord < 500")).select("issue_id", "status"),
        f"""with i as ({ISSUES}), t as (select distinct original, suggestion from i where status = 'ignored' and ord < 500)
        select issue_id, case when exists (select 1 from t where t.original = i.original and t.suggestion = i.suggestion) then 'ignored' else status end as status from i""")
 
@@ -570,12 +567,12 @@ shared("ingest_assets", _ingest, """select concat('asset_', substr(sha256(text),
 def _uploads(spark, d):
     from redpencil.sources import content as src
     f_ = table(spark, d, "orders").select(F.expr("o_custkey").alias("batch_id"), F.concat("o_orderkey", F.expr("if(o_orderkey % 50 = 0, '.gif', '.JPG')")).alias("path"),
-                                          F.expr("cast(o_totalprice * 60 as bigint)").alias("length"))
+                                          F.expr("cast(o_totalprice * 20 as bigint)").alias("length"))
     return src.upload_filter(f_).select("batch_id", "path")
 
 
 shared("upload_filter", _uploads, """with f as (select o_custkey as batch_id, concat(o_orderkey, case when o_orderkey % 50 = 0 then '.gif' else '.JPG' end) as path,
-  cast(floor(o_totalprice * 60) as bigint) as length, o_orderkey % 50 = 0 as gif from orders),
+  cast(floor(o_totalprice * 20) as bigint) as length, o_orderkey % 50 = 0 as gif from orders),
   b as (select batch_id from f group by all having not bool_or(gif or length > 10485760) and sum(length) <= 41943040) select batch_id, path from f semi join b using (batch_id)""")
 _REPLY = "concat('Here: ', chr(96), chr(96), chr(96), 'json', chr(10), '[{', chr(34), 'original', chr(34), ':', chr(34), event_type, chr(34), ',', chr(34), 'confidence', chr(34), ':', user_id, '.5}]', chr(10), chr(96), chr(96), chr(96), ' bye')"
 shared("candidate_replies", lambda s, d: rl.candidates(view(s, d, f"select event_id, {_REPLY} as reply from events", "events"), ["event_id"]).select("event_id", "original", "confidence"),
@@ -713,7 +710,7 @@ _ACCEPT = f"""e as (select f.*, text from ({FIXES}) f join documents d on cast(d
   acc as (select *, coalesce(lag(span_end) over (partition by source_id order by span_start), 0) as prev from r where hit)"""
 _CORRECT = f"""with recursive {_ACCEPT}, pieces as (select source_id, string_agg(concat(substr(text, prev + 1, span_start - prev), suggestion), '' order by span_start) as head, max(span_end) as fin, count(*) as n
    from acc join documents d on cast(d.doc_id as varchar) = source_id group by all)
-  select cast(doc_id as varchar) as source_id, coalesce(concat(head, substr(text, fin + 1)), text) as corrected, coalesce(n, 0) as applied from documents d left join pieces p on p.source_id = cast(d.doc_id as varchar)"""
+  select cast(doc_id as varchar) as source_id, case when head is null then text else concat(head, substr(text, fin + 1)) end as corrected, coalesce(n, 0) as applied from documents d left join pieces p on p.source_id = cast(d.doc_id as varchar)"""
 shared("apply_patches", lambda s, d: pt.apply_patches(fixes(s, d), texts(s, d)).select("source_id", "corrected", F.size("applied").alias("applied")), _CORRECT)
 shared("correction_preview", lambda s, d: pt.preview(fixes(s, d), texts(s, d)).select("source_id", F.length("corrected").alias("n"), "pending", "accepted", "ignored", "needs_review"),
        f"""with c as ({_CORRECT}), k as (select source_id, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'ignored') as ignored from ({FIXES}) group by all)
@@ -807,17 +804,21 @@ shared("workspace_index", lambda s, d: rp.workspace_index(table(s, d, "events").
     "select user_id as workspace_id, arg_max(concat(event_type, '-', event_id), ts) as name, arg_max(event_type, ts) as kind, min(ts) as created_at, max(ts) as updated_at from events group by all")
 
 _DATES = f"with posts as ({POSTS}), {spans_cte('m', _r.DATE, chr(92) + '1' + w(chr(92) + '2') + chr(92) + '3')}, k as (select m.*, source, {_r._FMT} as fmt from m join documents using (doc_id) where cast({_r._D(1)} as int) between 1 and 31 and cast({_r._D(2)} as int) between 1 and 12)"
+_DAY = f"case when standard[1] = '2' then {_r.pad(_r._D(1))} else cast(cast({_r._D(1)} as int) as varchar) end"
+_MONTH = f"case when standard[3] = '2' then {_r.pad(_r._D(2))} else cast(cast({_r._D(2)} as int) as varchar) end"
+_YEAR = (f"case when {_r._D(3)} = '' then '' when standard[4] = '2' and length({_r._D(3)}) = 4 then concat(standard[2], right({_r._D(3)}, 2)) "
+         f"when standard[4] = '4' and length({_r._D(3)}) = 2 then concat(standard[2], '20', {_r._D(3)}) else concat(standard[2], {_r._D(3)}) end")
 _STD = "c as (select source, fmt, count(*) as n, min(doc_id * 10000000 + s) as first from k group by all), b as (select source, arg_max(fmt, n * 1000000000000000 - first) as standard from c group by all having count(*) > 1)"
 _tokens = lambda s, d: rp.date_candidates(posts(s, d), ["source", "doc_id"])
 shared("date_standard", lambda s, d: rp.date_standard(_tokens(s, d), ["source"], ["doc_id", "s"]), f"{_DATES}, {_STD} select source, standard from b")
 
 
-@register("date_consistency", f"{_DATES}, {_STD} select source, doc_id, cast(s as int) as span_start, o as original from k join b using (source) where fmt <> standard")
+@register("date_consistency", f"{_DATES}, {_STD} select source, doc_id, cast(s as int) as span_start, o as original, concat({_DAY}, standard[2], {_MONTH}, {_YEAR}) as suggestion from k join b using (source) where fmt <> standard and o <> concat({_DAY}, standard[2], {_MONTH}, {_YEAR})")
 def _(spark, d):
     """X2."""
     t = _tokens(spark, d)
     out = rp.date_issues(t, rp.date_standard(t, ["source"], ["doc_id", "s"]), ["source"])
-    return out.select("source", "doc_id", F.col("s").alias("span_start"), F.col("o").alias("original"))
+    return out.select("source", "doc_id", F.col("s").alias("span_start"), F.col("o").alias("original"), "suggestion")
 
 
 shared("report_markdown", lambda s, d: rp.markdown_lines(issues(s, d), ["workspace_id"]).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("lines"), F.max("line").alias("last")),
@@ -913,8 +914,8 @@ def _(spark, d):
     return _run(inc.with_decisions(s, dc.latest_decisions(_decisions(spark, d))), "append").select("issue_id", "status")
 
 
-@register("stream_metrics", """select date_trunc('day', ts) as window_start, event_type, count(*) as events, sum(value) as value from events
-  group by all having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events)""")
+@register("stream_metrics", """select * from (select date_trunc('day', ts) as window_start, event_type, count(*) as events, sum(value) as value
+  from events group by 1, 2) where window_start + interval 1 day <= (select max(ts) - interval 1 day from events)""")
 def _(spark, d):
     """Windows closed by the watermark."""
     s = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

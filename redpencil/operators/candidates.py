@@ -174,7 +174,7 @@ def merge_issues(rules: DataFrame, candidates: DataFrame, keys: list[str] | None
     same = [F.col(k) == F.col(f"r_{k}") for k in keys]
     clash = F.expr("(rs < span_end and span_start < re) or (ro = original and rs = span_start)")
     free = candidates.join(r, [*same, clash], "left_anti")
-    shared = [c for c in rules.columns if c in candidates.columns]
+    shared = [c for c in rules.columns if c in candidates.columns and c != "ord"]
     item = F.struct("ord", *shared)
     groups = overlap_islands(free, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(item)).alias("c"))
     a, x, k, i, y = (fresh(n) for n in "axkiy")

@@ -67,16 +67,14 @@ def job_state(events: DataFrame) -> DataFrame:
                f"else {base} end").alias("progress"), "updated_at")
 
 
-def job_stream(events: DataFrame, timeout_seconds: int = STALL_SECONDS) -> DataFrame:
-    """Job state machine with a processing-time timer; a job without a
-    terminal event in time is reported as stalled."""
+def job_stream(events: DataFrame) -> DataFrame:
+    """Job state machine; state goes when a job ends.
+
+    Stalled jobs (T5) are found over the event table by :func:`stalled_jobs`, so
+    the stream needs no timers and ends cleanly under ``availableNow``.
+    """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (job_id,) = key
-        if state.hasTimedOut:
-            phase, status, seen = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [job_id], "phase": [phase], "status": ["stalled"], "events": [seen]})
-            return
         phase, status, seen = state.get if state.exists else ("queued", "queued", 0)
         latest = None
         for pdf in batches:
@@ -86,20 +84,17 @@ def job_stream(events: DataFrame, timeout_seconds: int = STALL_SECONDS) -> DataF
                 latest = row
         if latest is not None:
             phase, status = str(latest["phase"]), str(latest["status"])
-        ended = phase in TERMINAL or status == "failed"
-        if ended:
+        if phase in TERMINAL or status == "failed":
             if state.exists:
                 state.remove()
         else:
             state.update((phase, status, seen))
-            state.setTimeoutDuration(timeout_seconds * 1000)
-        yield pd.DataFrame({"job_id": [job_id], "phase": [phase],
-                            "status": [phase if phase in TERMINAL else ("failed" if status == "failed" else "running")],
-                            "events": [seen]})
+        shown = phase if phase in TERMINAL else ("failed" if status == "failed" else "running")
+        yield pd.DataFrame({"job_id": [job_id], "phase": [phase], "status": [shown], "events": [seen]})
 
     return events.groupBy("job_id").applyInPandasWithState(
         update, "job_id string, phase string, status string, events bigint",
-        "phase string, status string, events bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        "phase string, status string, events bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 def stalled_jobs(events: DataFrame, now: str) -> DataFrame:
