@@ -126,6 +126,8 @@ def settle(island: str) -> str:
         f"aggregate({ordered(island, emit_key)}, {empty(HIT_TYPE)}, ({a}, {h}) -> "
         f"if({h}.r div 10 in ({dictionary}) and exists({a}, {p} -> {contains(p, h)}), {a}, concat({a}, array({h}))))"
     )
+    d = fresh("d")
+    pushed = f"if(exists({island}, {d} -> {d}.r div 10 in ({dictionary})), {pushed}, {island})"
     kept = (
         f"aggregate({ordered(pushed, rank_key)}, {empty(HIT_TYPE)}, ({k}, {c}) -> "
         f"if(exists({k}, {q} -> {overlaps(q, c)}), {k}, concat({k}, array({c}))))"
