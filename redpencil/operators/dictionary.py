@@ -97,8 +97,7 @@ def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> D
     """Phrase occurrences for a lexicon of any size: n-gram hash join.
 
     ``lexicon``: (list, wrong, right).  Only word counts that occur in the
-    lexicon are generated, and only n-grams whose first word opens some phrase
-    leave the scan; the phrase join then decides.  Phrases with characters
+    lexicon are generated; the phrase join decides.  Phrases with characters
     other than word characters and single blanks use ``phrase_hits``.
     """
     lex = (lexicon.where(F.expr(rf"wrong rlike {lit(r'^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*$')}"))
@@ -111,7 +110,7 @@ def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> D
     for n in sorted(sizes):
         x, i = fresh("x"), fresh("i")
         last = f"w[{i} + {n - 1}]"
-        piece = f"substring(text, {x}.s + 1, {last}.e - {x}.s)"
+        piece = f"{x}.o" if n == 1 else f"substring(text, {x}.s + 1, {last}.e - {x}.s)"
         grams.append(
             f"transform(slice(w, 1, greatest(size(w) - {n - 1}, 0)), ({x}, {i}) -> "
             f"named_struct('s', {x}.s, 'e', {last}.e, 'o', {piece}))")
