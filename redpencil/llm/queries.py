@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, sharding
+from redpencil.llm import exact_dedup, packing, sharding, warc
+from redpencil.llm.common import scratch
 
 SHARDS = 8
 
@@ -30,9 +32,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    files = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, files, folder, with_payload=False).select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_key").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,4 +60,14 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
           doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from n window w as (partition by norm)""",
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+          f as (select *, min(page_id) over (partition by body) as first_id from p)
+        select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            cast(1 + ((cast(('0x' || substr(h, cast(1 + 5 * (i // 4) as bigint), 5)) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) as bigint),
+            1)), '') as payload_digest,
+          case when page_id = first_id then 'response' else 'revisit' end as record_type,
+          case when page_id <> first_id then first_id end as refers_to
+        from f""",
 }
