@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from string import ascii_lowercase, ascii_uppercase
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(batches: Iterable[list[dict]], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Lists of rows as Arrow batches of a Spark schema; a key that a row lacks is null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    for rows in batches:
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, ascii_uppercase, ascii_lowercase)

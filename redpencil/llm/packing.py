@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redpencil.llm.common import stored
+from redpencil.llm.common import arrow_rows, stored
 from redpencil.llm.tokens import word_ids
 
 GROUP = 50_000  # pieces that one task packs at a time
@@ -31,21 +32,25 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: in
     fields += [T.StructField("ids", T.BinaryType())] if with_ids else []
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
-        for frame in frames:
-            out = []
-            for at in range(0, len(frame), TEXTS):
-                some = frame.iloc[at:at + TEXTS]
-                for key, ids in zip(some["id"], encode(some["text"].tolist()), strict=True):
-                    ids += end
-                    for piece, b in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[b:b + 4 * capacity]
-                        out.append((key, piece, b // 4, len(part) // 4, zlib.crc32(part), part)[:len(fields)])
-            yield pd.DataFrame(out, columns=[f.name for f in fields]).astype({"id": frame["id"].dtype})
+
+        def made() -> Iterator[list[dict]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TEXTS):
+                    keys, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                    out = []
+                    for key, ids in zip(keys, encode(texts), strict=True):
+                        ids += end
+                        for piece, b in enumerate(range(0, len(ids), 4 * capacity)):
+                            part = ids[b:b + 4 * capacity]
+                            out.append({"id": key, "piece": piece, "start": b // 4, "length": len(part) // 4,
+                                        "ids_crc32": zlib.crc32(part)} | ({"ids": part} if with_ids else {}))
+                    yield out
+        return arrow_rows(made(), T.StructType(fields))
 
     narrow = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInPandas(cut, T.StructType(fields)).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(cut, T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, packing, sharding, warc
+from redpencil.llm import exact_dedup, fingerprint, packing, sharding, warc
 from redpencil.llm.common import scratch
 
 SHARDS = 8
@@ -32,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_trial(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -48,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quartile_digest": op6_quartile_digest,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_warc": op10_warc,
 }
