@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, packing, sharding, warc
-from redpencil.llm.common import scratch
+from redpencil.llm import exact_dedup, fingerprint, langid, packing, sharding, warc
+from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
 
@@ -36,6 +36,13 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_trial(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(fold(F.col("doc_id")), F.lit(4)) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model, held_out=held_out)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -53,6 +60,7 @@ QUERIES = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quartile_digest": op6_quartile_digest,
+    "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_warc": op10_warc,
 }
