@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, langid, packing, sharding, warc
+from redpencil.llm import exact_dedup, fingerprint, langid, packing, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -48,6 +48,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(fold(F.col("doc_id")), F.lit(3)) == 1
+    labelled = docs.select("doc_id", "text").where(~held_out).join(labels.where(~held_out).select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score(docs, toxicity.train(labelled), held_out=held_out)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     files = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -62,6 +70,7 @@ QUERIES = {
     "op6_quartile_digest": op6_quartile_digest,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
