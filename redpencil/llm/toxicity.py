@@ -28,9 +28,10 @@ SPAN = 6             # characters that a matching triple may stretch over
 DECAY = 0.7          # weight of each character of that stretch
 LONGEST = 24         # longer words are compared by overlapping windows
 ALPHABET = 64        # 0 pads, 1 starts a word, then digits and letters; others share the rest
+COMMON = 0.25        # words this often in toxic texts, against the text's most shared one, are examples too
 NO_WORDS = -3.0      # decision value of a text without words
 _OFFSETS = list(combinations(range(1, SPAN), 2))
-_LETTER_BY_LETTER = re.compile(r"(?:^|\s)\S(?:\s+\S){2,}(?=\s|$)")
+_LETTER_BY_LETTER = re.compile(r"(?:^|\s)\w[^\w\s]*(?:\s+\w[^\w\s]*){2,}(?=\s|$)")
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -81,11 +82,19 @@ def triples(words: list[str]) -> Iterator[tuple[np.ndarray, float]]:
 
 
 def norms(words: list[str]) -> np.ndarray:
-    """Length of the feature vector that counts each occurrence by itself; it depends on the word's length alone."""
-    sizes = np.array([len(w) + 1 for w in words])
-    total = np.zeros(len(words))
-    for _, j in _OFFSETS:
-        total += np.maximum(sizes - j, 0) * DECAY ** (2 * (j + 1))
+    """Length of each word's feature vector: the weights of a triple's occurrences add up before they are squared."""
+    forms = list(triples(words))
+    code = np.concatenate([c * 16 + k for k, (c, _) in enumerate(forms)], axis=1)
+    code.sort(axis=1)
+    weight = np.array([w for _, w in forms])[code & 15]
+    triple = code >> 4
+    weight[triple == 0] = 0
+    last = np.ones(triple.shape, bool)
+    last[:, :-1] = triple[:, 1:] != triple[:, :-1]
+    flat = last.ravel()
+    upto = np.cumsum(weight.ravel())[flat]
+    part = np.diff(upto, prepend=0.0)
+    total = np.add.reduceat(part * part, np.r_[0, np.cumsum(last.sum(1))[:-1]])
     return np.sqrt(np.maximum(total, DECAY ** 6))
 
 
@@ -112,7 +121,7 @@ def whiten(k: np.ndarray) -> np.ndarray:
     return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 3000.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the points inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
@@ -152,15 +161,24 @@ def decide(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def fit(bags: list[set[str]], labels: list[int], rounds: int = 5) -> dict:
+def fit(bags: list[set[str]], labels: list[int], rounds: int = 4) -> dict:
     """Train on bags of words: three quarters for the machine, the rest for the probabilities."""
+    seen: dict[tuple, int] = {}
+    for k, bag in enumerate(bags):  # copies teach nothing new
+        seen.setdefault((labels[k], *sorted(bag)), k)
+    bags, labels = [bags[k] for k in seen.values()], [labels[k] for k in seen.values()]
     own = [k for k in range(len(bags)) if k % 4 != 3] if len(bags) >= 40 else list(range(len(bags)))
     back = [k for k in range(len(bags)) if k % 4 == 3] if len(bags) >= 40 else own
     bad = [sorted(bags[k]) for k in own if labels[k] == 1]
     clean = Counter(w for k in own if labels[k] != 1 for w in bags[k])
     novel = Counter(w for words in bad for w in words if w not in clean)
-    # first guess: of the words no clean text has, those that several toxic texts share
-    positive = {w: n for w, n in novel.items() if n > 1} or dict(novel)
+    # first guess: of the words that no clean text has, those that most toxic texts share, text by text
+    positive: Counter = Counter()
+    for words in bad:
+        mine = [w for w in words if w in novel]
+        top = max(map(novel.__getitem__, mine), default=0)
+        positive.update(w for w in mine if novel[w] >= max(COMMON * top, min(3, top)))
+    guess = set(positive)
     usual = [w for w, _ in sorted(clean.items(), key=lambda e: (-e[1], e[0]))]
     if not positive or not usual:
         return {"table": np.zeros(ALPHABET ** 3, np.float32), "bias": NO_WORDS, "slope": 1.0, "shift": 0.0}
@@ -175,25 +193,20 @@ def fit(bags: list[set[str]], labels: list[int], rounds: int = 5) -> dict:
         pos = sorted(positive)
         words = pos + [w for w in negative if w not in positive]
         y = np.r_[np.ones(len(pos)), -np.ones(len(words) - len(pos))]
-        share = np.r_[np.minimum([positive[w] for w in pos], 20.0), np.ones(len(words) - len(pos))]
-        share[:len(pos)] *= (len(words) - len(pos)) / share[:len(pos)].sum()
-        w, bias = hinge(kernel(words, landmarks) @ mix, y, share / len(words))
+        share = np.r_[np.sqrt([positive[w] for w in pos]), np.ones(len(words) - len(pos))]
+        share[:len(pos)] /= share[:len(pos)].sum()
+        share[len(pos):] /= share[len(pos):].sum()
+        w, bias = hinge(kernel(words, landmarks) @ mix, y, share)
         table = fold_in(landmarks, mix @ w)
-        # the worst words of clean texts become examples; words of toxic texts are judged anew,
-        # and the worst word of a toxic text always counts
+        # the worst words of clean texts become examples; of each toxic text the worst word counts,
+        # and any other beyond the margin
         value = decide(usual, table, bias)
         worst = np.argsort(-value, kind="stable")[:1500]
         negative = sorted({*negative, *(usual[k] for k in worst if value[k] > -1)})
         fresh = sorted(novel)
         score = dict(zip(fresh, decide(fresh, table, bias), strict=True))
-        positive = {}
-        for words in bad:
-            mine = [w for w in words if w in score]
-            if mine:
-                top = max(mine, key=score.__getitem__)
-                for w in mine:
-                    if w == top or score[w] > 0:
-                        positive[w] = novel[w]
+        positive = Counter({w: 1 for w in fresh if score[w] > 1 or w in guess})
+        positive.update(max(mine, key=score.__getitem__) for words in bad if (mine := [w for w in words if w in score]))
     top = np.array([_worst(bags[k], table, bias) for k in back])
     truth = np.array([labels[k] == 1 for k in back])
     return {"table": table, "bias": bias, **_platt(top, truth)}
