@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, langid, packing, sharding, toxicity, warc
+from redpencil.llm import exact_dedup, fingerprint, langid, packing, quality, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good and clean. A fifth of the ratings is held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(fold(F.col("doc_id")), F.lit(5)) == 3
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    rated = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", grade.alias("grade"))
+    model = quality.train(docs.select("doc_id", "text").where(~held_out).join(rated, "doc_id"))
+    return quality.rate(docs, model, tail=1, held_out=held_out)
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn(
         "size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
@@ -65,6 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quartile_digest": op6_quartile_digest,
