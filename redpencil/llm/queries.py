@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, langid, packing, quality, sharding, toxicity, warc
+from redpencil.llm import exact_dedup, fingerprint, jaccard, langid, packing, quality, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -26,6 +26,10 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, tail=1, held_out=held_out)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn(
         "size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
@@ -76,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quartile_digest": op6_quartile_digest,
