@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, jaccard, langid, packing, quality, sharding, toxicity, warc
+from redpencil.llm import exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -41,6 +41,33 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+# Shares of the mixture: domains, languages inside a domain, sources inside a language (1 unless named)
+DOMAINS = {"web": 5.0, "books": 3.0, "code": 2.0}
+LANGUAGES = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+
+
+def domain() -> Column:
+    """The domain of a source: its number decides, three tenths of the numbers are books and two code."""
+    digit = F.substring(F.col("source"), -1, 1)
+    return F.when(digit.isin("5", "6", "7"), "books").when(digit.isin("8", "9"), "code").otherwise("web")
+
+
+def mixture_weight(path: tuple) -> float:
+    return (DOMAINS if len(path) == 1 else LANGUAGES if len(path) == 2 else {}).get(path[-1], 1.0)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """As many tokens as the documents have, in the shares of the mixture, none more than four times."""
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, mixture_weight, max_epochs=4)
+
+
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", F.element_at("mix_path", 1).alias("domain"), F.element_at("mix_path", 2).alias("lang"),
+        F.element_at("mix_path", 3).alias("source"), "epoch", "tokens", "taken")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -62,11 +89,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def _toxic_held_out() -> Column:
+    return F.pmod(fold(F.col("doc_id")), F.lit(3)) == 1
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The machine, trained on the labelled documents outside the held-out third."""
+    known = labels.where(~_toxic_held_out()).select("doc_id", "toxic")
+    return toxicity.train(docs.select("doc_id", "text").where(~_toxic_held_out()).join(known, "doc_id"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = F.pmod(fold(F.col("doc_id")), F.lit(3)) == 1
-    labelled = docs.select("doc_id", "text").where(~held_out).join(labels.where(~held_out).select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score(docs, toxicity.train(labelled), held_out=held_out)
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")), held_out=_toxic_held_out())
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -82,6 +117,7 @@ QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_hilbert_sharding": op3_hilbert_sharding,
+    "op4_hierarchical_mixing": op4_hierarchical_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quartile_digest": op6_quartile_digest,
     "op7_language_id": op7_language_id,
