@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -66,11 +67,13 @@ FIXES = " union all ".join(
     f"'medium' as severity from documents where instr(text, '{wd}') > 0" for i, wd in enumerate(_WORDS))
 TEXTS = "select 'caption' as source_type, cast(doc_id as string) as source_id, source as workspace_id, text from documents"
 
-BOXES = """select concat('w', conv_id % 10) as workspace_id, concat('as', conv_id % 40) as asset_id,
-  conv_id * 100 + turn as ord, concat('bx', conv_id, '-', turn) as box_id, substr(text, 1, cast(conv_id % 60 + 1 as int)) as text,
-  cast((conv_id * 7 + turn * 13) % 100 as double) / 100 as confidence, cast(turn * 10 as double) as x0,
-  cast(conv_id % 5 * 8 as double) as y0, cast(turn * 10 + 90 as double) as x1, cast(conv_id % 5 * 8 + 24 as double) as y1
-  from conversations"""
+# boxes: each word (even turns) or sentence (odd turns) of every conversation text
+_BOX_COLS = """concat('w', conv_id % 10) as workspace_id, concat('as', conv_id % 400) as asset_id,
+  (conv_id * 100 + turn) * 10000 + i as ord, concat('bx', conv_id, '-', turn, '-', i) as box_id, piece as text,
+  cast((conv_id * 7 + turn * 13 + i * 3) % 100 as double) / 100 as confidence, cast(turn * 10 + i * 4 as double) as x0,
+  cast(conv_id % 5 * 8 as double) as y0, cast(turn * 10 + i * 4 + 90 as double) as x1, cast(conv_id % 5 * 8 + 24 as double) as y1"""
+BOXES = f"""select {_BOX_COLS} from (select conv_id, turn, unnest(p) as piece, unnest(range(len(p))) as i from
+  (select conv_id, turn, string_split(text, case when turn % 2 = 0 then ' ' else '. ' end) as p from conversations))"""
 
 
 def issues(spark, d):
@@ -86,7 +89,8 @@ def texts(spark, d):
 
 
 def boxes(spark, d):
-    b = view(spark, d, BOXES, "conversations")
+    pieces = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.expr("split(text, if(turn % 2 = 0, ' ', '[.] '))")).alias("i", "piece"))
+    b = pieces.selectExpr(*[c.strip() for c in re.split(r",(?![^(]*[)])", _BOX_COLS)])
     return b.withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
 
 
@@ -254,24 +258,23 @@ def _(spark, d):
 
 
 @register("dictionary_join", f"""with posts as ({_DOCS}), {spans_cte('wd', r'[\p{L}\p{N}_]+', w())},
-  lx as (select distinct lower(text[1:12]) as t from benchmark), k as (select distinct string_split(t, ' ')[1] as wrong from lx where regexp_full_match(string_split(t, ' ')[1], '[a-z]+'))
+  k as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as wrong from benchmark)
   select doc_id, wrong as list, cast(s as int) as span_start, cast(e as int) as span_end, o as original, upper(wrong) as suggestion from wd join k on k.wrong = lower(o)""")
 def _(spark, d):
     """DICT for a lexicon of any size: words met by hash join."""
     from redpencil.operators.dictionary import joined_hits
-    b = table(spark, d, "benchmark")
-    lexi = (b.select(F.expr("split(lower(substring(text, 1, 12)), ' ')[0]").alias("wrong")).where("wrong rlike '^[a-z]+$'").distinct()
-            .select(F.col("wrong").alias("list"), "wrong", F.upper("wrong").alias("right")))
-    return joined_hits(documents(spark, d).select("doc_id", "text"), lexi, ["doc_id"])
+    words = table(spark, d, "benchmark").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("wrong")).distinct()
+    return joined_hits(documents(spark, d).select("doc_id", "text"), words.select(F.col("wrong").alias("list"), "wrong", F.upper("wrong").alias("right")), ["doc_id"])
 
 
 # -- candidates (J8-J16) --------------------------------------------------------------
 
+_AT = "cast(doc_id * 7919 % greatest(n_chars - 6, 1) + 2 as int)"
 CANDS = f"""select cast(d.doc_id as string) as source_id, 'caption' as source_type, cast(null as string) as artboard_id,
-  cast(null as string) as box_id, 'style' as type, 'low' as severity, substr(text, cast(n_chars % 40 + 1 as int), 6) as original,
-  reverse(substr(text, cast(n_chars % 40 + 1 as int), 6)) as suggestion, 'r' as reason, cast(n_chars % 13 as double) / 10 as confidence,
-  n_chars % 2 = 0 as is_definite, case when n_chars % 3 = 0 then substr(text, cast(n_chars % 40 as int), 1) end as context_before,
-  case when n_chars % 5 = 0 then 'zz' end as context_after, 'reviewer' as created_by, doc_id as ord from documents d where n_chars > 60"""
+  cast(null as string) as box_id, 'style' as type, 'low' as severity, substr(text, {_AT}, 6) as original,
+  reverse(substr(text, {_AT}, 6)) as suggestion, 'r' as reason, cast(n_chars % 13 as double) / 10 as confidence,
+  n_chars % 2 = 0 as is_definite, case when n_chars % 3 = 0 then substr(text, {_AT} - 1, 1) end as context_before,
+  case when n_chars % 5 = 0 then 'zz' end as context_after, 'reviewer' as created_by, doc_id as ord from documents d"""
 _CB = "coalesce(context_before, '')"
 _CA = "coalesce(context_after, '')"
 _LOC = (f"case when instr(text, concat({_CB}, original, {_CA})) > 0 then instr(text, concat({_CB}, original, {_CA})) - 1 + length({_CB}) "
@@ -287,21 +290,20 @@ def _(spark, d):
             .where("span_start is not null"))
 
 
-@register("locate_benchmark", """select item_id, doc_id, cast(instr(d.text, substr(b.text, 1, 60)) - 1 as int) as span_start
-  from benchmark b join documents d on instr(d.text, substr(b.text, 1, 60)) > 0""")
+@register("locate_benchmark", """select item_id, doc_id, cast(instr(d.text, b.text) - 1 as int) as span_start
+  from benchmark b join documents d on instr(d.text, b.text) > 0""")
 def _(spark, d):
-    """J8 at large: benchmark openings quoted in documents, found through word
-    n-grams (hash join) instead of comparing every pair."""
+    """J8 at large: whole benchmark texts quoted in documents, found through the words they start
+    with (hash join) instead of comparing every pair."""
     from redpencil.functions.exprs import spans
-    b = table(spark, d, "benchmark").select("item_id", F.expr("substring(text, 1, 60)").alias("quote"))
-    probe = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]+)[^\p{L}\p{N}]"
-    b = b.withColumn("key", F.expr(f"regexp_extract(quote, r'{probe}', 1)")).where("key <> ''")
-    x, i = fresh("x"), fresh("i")
-    grams = (f"transform(slice(w, 1, greatest(size(w) - 2, 0)), ({x}, {i}) -> "
-             f"substring(text, {x}.s + 1, w[{i} + 2].e - {x}.s))")
+    opening = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){0,2})"
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.expr(f"regexp_extract(text, r'{opening}', 1)").alias("key"))
+    x, i, n = fresh("x"), fresh("i"), fresh("n")
+    grams = (f"flatten(transform(sequence(0, 2), {n} -> transform(slice(w, 1, greatest(size(w) - {n}, 0)), ({x}, {i}) -> "
+             f"substring(text, {x}.s + 1, w[{i} + {n}].e - {x}.s))))")
     docs = documents(spark, d).select("doc_id", "text", F.expr(spans("text", r"[\p{L}\p{N}]+")).alias("w"))
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.expr(grams))).alias("key"))
-    pairs = keyed.join(b.select("item_id", "quote", "key"), "key").select("doc_id", "item_id", "quote").distinct()
+    pairs = keyed.join(b, "key").select("doc_id", "item_id", "quote").distinct()
     hits = pairs.join(documents(spark, d).select("doc_id", "text"), "doc_id").where("instr(text, quote) > 0")
     return hits.select("item_id", "doc_id", F.expr("cast(instr(text, quote) - 1 as int)").alias("span_start"))
 
@@ -312,10 +314,10 @@ def _(spark, d):
   fl as (select *, trim(regexp_extract(text, '^\\s*([^\\n\\r]+)', 1)) as h, length(regexp_extract(text, '^\\s*')) as hs from c),
   k as (select *, len(regexp_extract_all(h, '\\p{{L}}')) >= 2 and not regexp_matches(h, '\\p{{Ll}}') and len(regexp_extract_all(h, '\\p{{Lu}}')) >= 0.8 * len(regexp_extract_all(h, '\\p{{L}}'))
     and len(regexp_extract_all(h, '[\\p{{L}}\\p{{N}}]+')) <= 14 and length(h) <= 120 as cap from fl)
-  select source_id, s as span_start, s + 6 as span_end, original, suggestion, least(1.0, greatest(0.0, confidence)) as confidence, is_definite,
-    substr(text, greatest(s - 12, 0) + 1, least(s, 12)) as context_before, substr(text, s + 7, 12) as context_after from k
-  where not exists (select 1 from t where cast(t.doc_id as string) = source_id and t.s < k.s + 6 and k.s < t.e)
-    and not (cap and original <> suggestion and lower(original) = lower(suggestion) and s >= hs and s + 6 <= hs + length(h) and len(regexp_extract_all(original, '\\p{{L}}')) >= 2 and not regexp_matches(original, '\\p{{Ll}}'))""")
+  select source_id, s as span_start, s + length(original) as span_end, original, suggestion, least(1.0, greatest(0.0, confidence)) as confidence, is_definite,
+    substr(text, greatest(s - 12, 0) + 1, least(s, 12)) as context_before, substr(text, s + length(original) + 1, 12) as context_after from k
+  where not exists (select 1 from t where cast(t.doc_id as string) = source_id and t.s < k.s + length(original) and k.s < t.e)
+    and not (cap and original <> suggestion and lower(original) = lower(suggestion) and s >= hs and s + length(original) <= hs + length(h) and len(regexp_extract_all(original, '\\p{{L}}')) >= 2 and not regexp_matches(original, '\\p{{Ll}}'))""")
 def _(spark, d):
     """J9 without protected terms (those are covered by tests)."""
     from redpencil.lexicon import Lexicon
@@ -329,8 +331,8 @@ def _(spark, d):
     """J10."""
     b = boxes(spark, d).withColumn("visual_role", F.lit("graphic_text")).withColumn("visual_should_check", F.lit(True))
     c = b.select("box_id", F.lit("caption").alias("source_type"), F.lit("").alias("source_id"), F.lit(None).cast("string").alias("artboard_id"),
-                 F.lit("spelling").alias("type"), F.lit("high").alias("severity"), F.expr("substring(text, 1, 4)").alias("original"),
-                 F.expr("concat(substring(text, 1, 4), 'x')").alias("suggestion"), F.lit("r").alias("reason"), "confidence",
+                 F.lit("spelling").alias("type"), F.lit("high").alias("severity"), F.col("text").alias("original"),
+                 F.expr("concat(text, 'x')").alias("suggestion"), F.lit("r").alias("reason"), "confidence",
                  F.lit(False).alias("is_definite"), F.lit(None).cast("string").alias("context_before"),
                  F.lit(None).cast("string").alias("context_after"), F.lit("reviewer").alias("created_by"), "ord",
                  F.expr("cast(null as struct<exact_substring:boolean,visible_or_in_ocr:boolean,not_ocr_uncertainty:boolean,not_protected_term:boolean>)").alias("self_check"))
@@ -394,7 +396,7 @@ def _(spark, d):
 
 # -- decisions and scopes (J17-J28, C4) -----------------------------------------------
 
-_KEY = "source_type, source_id, original, suggestion"
+_KEY = "workspace_id, source_type, source_id, original, suggestion"
 DECISIONS = f"select {_KEY}, status, ts, ord from ({ISSUES}) where status in ('accepted', 'ignored')"
 
 
@@ -445,8 +447,8 @@ def _cache(spark, d):
 
 shared("cache_misses", _cache, """select lang, count(distinct text) as misses from documents a where not exists
   (select 1 from documents b where b.lang = a.lang and b.text = a.text and b.n_chars % 2 = 0) group by lang""")
-shared("add_terms", lambda s, d: dc.add_terms(issues(s, d), issues(s, d).where("status = 'ignored' and ord < 500")).select("issue_id", "status"),
-       f"""with i as ({ISSUES}), t as (select distinct original, suggestion from i where status = 'ignored' and ord < 500)
+shared("add_terms", lambda s, d: dc.add_terms(issues(s, d), issues(s, d).where("status = 'ignored'")).select("issue_id", "status"),
+       f"""with i as ({ISSUES}), t as (select distinct original, suggestion from i where status = 'ignored')
        select issue_id, case when exists (select 1 from t where t.original = i.original and t.suggestion = i.suggestion) then 'ignored' else status end as status from i""")
 
 BOARDS = """select concat('a', k) as artboard_id, k as ord, case k % 3 when 0 then 'visual' when 1 then 'caption' else 'note' end as kind,
@@ -488,12 +490,13 @@ def _layering(spark, d):
     rows = table(spark, d, "part").select(
         F.expr("if(p_size % 2 = 0, 'preferred_spellings', 'product_terms')").alias("list"), F.col("p_type").alias("wrong"),
         F.col("p_brand").alias("right"), F.lit(None).cast("string").alias("priority"),
-        F.expr("cast(p_partkey % 90000 as int)").alias("ord"), (F.col("p_size") % 4).alias("layer_ord"))
-    return lx.layered(rows).select("list", "wrong", "right")
+        F.expr("cast(p_partkey * 1000 as int)").alias("ord"), (F.col("p_size") % 4 * 30000).alias("layer_ord"))
+    return lx.layered(rows).select("list", "wrong", "right", "layer_ord", "ord")
 
 
 shared("lexicon_layers", _layering, """select case when p_size % 2 = 0 then 'preferred_spellings' else 'product_terms' end as list, p_type as wrong,
-  arg_max(p_brand, (p_size % 4) * 1000000 + p_partkey % 90000) as right from part group by all""")
+  arg_max(p_brand, row(p_size % 4, p_partkey)) as right, min(p_size % 4) * 30000 as layer_ord,
+  arg_min(p_partkey, row(p_size % 4, p_partkey)) * 1000 as ord from part group by 1, 2""")
 _PROSE = "select c_custkey as id, concat('- ', c_name, ' -> ', upper(c_mktsegment), chr(10), '# ', c_name, ' -> x', chr(10), c_mktsegment, ' => ', c_name) as text from customer"
 shared("pairs_from_text", lambda s, d: lx.pairs_from_text(view(s, d, _PROSE, "customer"), "id").select("id", "wrong", "right"),
        "select c_custkey as id, c_name as wrong, upper(c_mktsegment) as right from customer union all select c_custkey, c_mktsegment, c_name from customer")
@@ -520,8 +523,8 @@ shared("kit_rows", _kits, """select p_partkey as kit, 'brand_terms' as list, cas
   union all select p_partkey, 'product_terms', p_type, p_name, null from part union all select p_partkey, 'risky_words', p_name, p_brand, 'medium' from part""")
 shared("clean_documents", lambda s, d: documents(s, d).select("doc_id", F.md5(F.expr(lx.clean_document(
     "concat(text, chr(13), chr(10), '  ', chr(9), chr(10), chr(10), chr(10), chr(10), chr(10), 'end ')"))).alias("text")),
-    r"""select doc_id, md5(substr(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(concat(text, chr(13), chr(10), '  ', chr(9), chr(10), chr(10), chr(10), chr(10), chr(10), 'end '),
-    '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', concat(chr(10), chr(10), chr(10)), 'g')), '^\s+', ''), 1, 80000)) as text from documents""")
+    r"""select doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(concat(text, chr(13), chr(10), '  ', chr(9), chr(10), chr(10), chr(10), chr(10), chr(10), 'end '),
+    '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', concat(chr(10), chr(10), chr(10)), 'g')), '^\s+', '')) as text from documents""")
 
 
 # -- sources (S1-S8, S17, S18) --------------------------------------------------------
@@ -588,19 +591,22 @@ _AL = r"len(regexp_extract_all(text, '[\p{L}\p{N}]'))"
 _CK = r"regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')"
 
 
+_COMPACT = r"select regexp_replace(lower(unnest(string_split(text, ' '))), '[^\p{L}\p{N}]+', '', 'g') as compact from conversations where role = 'user'"
+
+
 def _compact(spark, d):
-    lexi = table(spark, d, "conversations").select(F.lit("brand_terms").alias("list"), F.lit(None).cast("string").alias("wrong"),
-                                                   F.expr("substring(text, 1, 5)").alias("right"))
+    lexi = table(spark, d, "conversations").select("role", F.lit("brand_terms").alias("list"), F.lit(None).cast("string").alias("wrong"),
+                                                   F.explode(F.split("text", " ")).alias("right")).where("role = 'user'").drop("role")
     return bx.compact_terms(lexi)
 
 
-shared("compact_terms", _compact, r"select distinct regexp_replace(lower(substr(text, 1, 5)), '[^\p{L}\p{N}]+', '', 'g') as compact from conversations where length(regexp_replace(lower(substr(text, 1, 5)), '[^\p{L}\p{N}]+', '', 'g')) >= 3")
+shared("compact_terms", _compact, f"select distinct compact from ({_COMPACT}) where length(compact) >= 3")
 _SIGNAL = (r"(len(regexp_extract_all(t, '[\p{L}\p{N}]+')) > 4 or regexp_matches(t, '[.!?;:|]') or regexp_matches(t, '(?i)#|@|https?://') or regexp_matches(t, '(?i)(^|[^A-Za-z0-9_])("
            + bx._SIGNALS + r")([^A-Za-z0-9_]|$)'))")
 _ROLES = rf"""b0 as (select *, regexp_replace(trim(text), '\s+', ' ', 'g') as t, {_AL} as al, {_CK} as ck from {_BX}),
   roles as (select *, case when t = '' then 'decorative_text' when al = 0 or (not regexp_matches(t, '[0-9]') and ((al = 1 and length(t) <= 2 and confidence < 0.72)
     or (al <= 2 and length(t) <= 3 and confidence < 0.45))) then 'icon_noise'
-    when ck in (select regexp_replace(lower(substr(text, 1, 5)), '[^\p{{L}}\p{{N}}]+', '', 'g') from conversations) and length(ck) >= 3 and not {_SIGNAL} and length(t) <= 48 then 'logo_wordmark'
+    when ck in (select compact from ({_COMPACT})) and length(ck) >= 3 and not {_SIGNAL} and length(t) <= 48 then 'logo_wordmark'
     when confidence < 0.58 then 'unknown' else 'graphic_text' end as visual_role from b0)"""
 roles = lambda s, d: bx.classify(boxes(s, d), _compact(s, d))
 shared("box_roles", lambda s, d: roles(s, d).select("box_id", "visual_role", "visual_should_check", "visual_confidence"),
@@ -623,8 +629,7 @@ shared("box_lines", lambda s, d: bx.filter_lines(boxes(s, d)).select("box_id", "
 @register("box_near_duplicates")
 def _(spark, d):
     """B7."""
-    b = boxes(spark, d).withColumn("text", F.expr("substring(text, 1, 3)"))
-    return bx.dedupe_boxes(b).select("asset_id", "box_id", "text", "confidence")
+    return bx.dedupe_boxes(boxes(spark, d)).select("asset_id", "box_id", "text", "confidence")
 
 
 shared("box_rescale", lambda s, d: boxes(s, d).select("box_id", F.expr(bx.rescale("bbox", "0.37D", "0.5D", "200", "40")).alias("b")).select("box_id", "b.*"),
@@ -790,8 +795,8 @@ shared("report_insights", lambda s, d: rp.insights(
     ).select("workspace_id", F.size("insights").alias("n"), F.expr("insights[0]").alias("first")),
     f"""with {_SESS}, {_K}, {_TOP} select workspace_id, 2 + case when floor(1000.0::double * clean / total + 0.5) / 10 < 70 then 1 else 0 end + case when floor(100.0 * text_image / total + 0.5) > 50 then 1 else 0 end as n,
     case when coalesce(violations, 0) > 0 then concat('Train on: ', label, ' (', percent, '%).') else 'Input quality is stable.' end as first from k left join (select * from top where rank = 1) using (workspace_id)""")
-shared("issue_groups", lambda s, d: rp.issue_groups(issues(s, d).withColumn("card_key", F.col("source_id"))).select("card_key", "issue_id", "position"),
-       f"select source_id as card_key, issue_id, row_number() over (partition by source_id order by list_position(['critical','high','medium','low','suggestion','needs_review'], severity), issue_id) as position from ({ISSUES}) where {_OPEN}")
+shared("issue_groups", lambda s, d: rp.issue_groups(issues(s, d).withColumn("card_key", F.col("source_id"))).select("workspace_id", "card_key", "issue_id", "position"),
+       f"select workspace_id, source_id as card_key, issue_id, row_number() over (partition by workspace_id, source_id order by list_position(['critical','high','medium','low','suggestion','needs_review'], severity), issue_id) as position from ({ISSUES}) where {_OPEN}")
 shared("coverage", lambda s, d: rp.coverage(
     issues(s, d).select(F.col("workspace_id").alias("target"), F.expr("workspace_id = 'w3'").alias("deep_running")).distinct(),
     issues(s, d).withColumn("target", F.col("workspace_id")),

@@ -142,13 +142,18 @@ def signature() -> Column:
         "artboard_id", "box_id")), 256)
 
 
-def keep_verified(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Keep candidates named by the verifier; sources without any verdict
-    keep all of theirs.  ``verdicts``: (source_id, signature)."""
+def keep_verified(candidates: DataFrame, verdicts: DataFrame, answered: DataFrame | None = None,
+                  keys: list[str] | None = None) -> DataFrame:
+    """Keep candidates named by the verifier; sources it has not answered keep all of theirs.
+
+    ``verdicts``: (keys, signature), ``answered``: (keys) of every source with an answer, also one
+    that keeps nothing; it defaults to the sources of the verdicts.
+    """
+    keys = keys or ["source_id"]
     c = candidates.withColumn("signature", signature())
-    heard = verdicts.select("source_id").distinct()
-    kept = c.join(verdicts.select("source_id", "signature").distinct(), ["source_id", "signature"], "left_semi")
-    unheard = c.join(heard, "source_id", "left_anti")
+    heard = (verdicts if answered is None else answered).select(*keys).distinct()
+    kept = c.join(verdicts.select(*keys, "signature").distinct(), [*keys, "signature"], "left_semi").select(*c.columns)
+    unheard = c.join(heard, keys, "left_anti").select(*c.columns)
     return kept.unionByName(unheard).drop("signature")
 
 

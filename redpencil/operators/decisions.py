@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NARROW = ["source_type", "source_id", "original", "suggestion"]
-WIDE = ["source_type", "source_id", "artboard_id", "box_id", "original", "suggestion"]
+NARROW = ["workspace_id", "source_type", "source_id", "original", "suggestion"]
+WIDE = ["workspace_id", "source_type", "source_id", "artboard_id", "box_id", "original", "suggestion"]
 
 
 def latest_decisions(decisions: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def drop_cards(issues: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def card_labels(issues: DataFrame, artboards: DataFrame, layers: DataFrame) -> DataFrame:
-    """Card key, title and position of every issue."""
+    """Card key, title and position of every issue; a key is good within its workspace."""
     own = artboards.select(F.col("artboard_id").alias("_a"), F.col("label").alias("_al"), F.col("ord").alias("_ao"))
     via = (first_artboard(layers, artboards).select(F.col("asset_id").alias("_s"), F.col("artboard_id").alias("_va"))
            .join(artboards.select(F.col("artboard_id").alias("_va"), F.col("label").alias("_vl"),

@@ -144,13 +144,13 @@ def insights(k: DataFrame, top: DataFrame, peaks: DataFrame, by: list[str]) -> D
     return j.select(*by, F.expr(f"slice({items}, 1, 4)").alias("insights"))
 
 
-def issue_groups(labelled: DataFrame, show_done: bool = False) -> DataFrame:
-    """Open issues numbered per card, severe ones first.
+def issue_groups(labelled: DataFrame, show_done: bool = False, by: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """Open issues numbered per card of a workspace, severe ones first.
 
     A window, not a collected list: a card may hold any number of issues.
     """
     rows = labelled if show_done else labelled.where(OPEN)
-    w = W.partitionBy("card_key").orderBy(F.expr(tx.severity_rank("severity")), "issue_id")
+    w = W.partitionBy(*by, "card_key").orderBy(F.expr(tx.severity_rank("severity")), "issue_id")
     return rows.withColumn("position", F.row_number().over(w))
 
 
@@ -231,7 +231,8 @@ def markdown_lines(issues: DataFrame, by: list[str]) -> DataFrame:
 def write_markdown(issues: DataFrame, by: list[str], path: str) -> None:
     lines = markdown_lines(issues, by)
     (lines.repartition(*by).sortWithinPartitions(*by, "sev", "source_id", "pos", "line")
-     .select(*by, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*by).text(path))
+     .select(*by, F.col("line").alias("value")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path))
 
 
 def write_json(summary_df: DataFrame, path: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
@@ -30,8 +29,9 @@ def read_workspaces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_workspaces(ws: DataFrame, path: str) -> None:
-    """One directory per workspace, so a later write replaces only its own."""
-    ws.withColumn("workspace_id", F.col("id")).write.mode("overwrite").partitionBy("workspace_id").json(path)
+    """One directory per workspace; a later write replaces those it holds and leaves the others."""
+    (ws.withColumn("workspace_id", F.col("id")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").json(path))
 
 
 def artboards(ws: DataFrame) -> DataFrame:
@@ -82,19 +82,20 @@ def boxes(ws: DataFrame, artboard_id: str | None = None) -> DataFrame:
         F.struct(*[F.col("b.bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]).alias("bbox"))
 
 
+# Upload limits of one file and of one batch.
 MAX_FILE, MAX_BATCH = 10 * 1024 * 1024, 40 * 1024 * 1024
 
 
-def upload_filter(files: DataFrame) -> DataFrame:
-    """Images up to 10 MB, in batches up to 40 MB.
+def upload_filter(files: DataFrame, max_file: int = MAX_FILE, max_batch: int = MAX_BATCH) -> DataFrame:
+    """Images up to ``max_file`` bytes, in batches up to ``max_batch``.
 
     ``files``: (batch_id, path, length).  A batch with any bad file is refused.
+    Batches are summed up before anything is shuffled, then met by their id.
     """
-    batch = W.partitionBy("batch_id")
-    bad = F.expr(f"not lower(path) rlike '[.](png|jpe?g|webp)$' or length > {MAX_FILE}")
-    return (files.withColumn("_bad", F.max(bad.cast("int")).over(batch))
-            .withColumn("_sum", F.sum("length").over(batch))
-            .where(f"_bad = 0 and _sum <= {MAX_BATCH}").drop("_bad", "_sum"))
+    bad = F.expr(f"not lower(path) rlike '[.](png|jpe?g|webp)$' or length > {max_file}")
+    good = (files.groupBy("batch_id").agg(F.max(bad.cast("int")).alias("_bad"), F.sum("length").alias("_sum"))
+            .where(f"_bad = 0 and _sum <= {max_batch}").select("batch_id"))
+    return files.join(good, "batch_id", "left_semi").select(*files.columns)
 
 
 def ingest_assets(files: DataFrame, known: DataFrame | None = None) -> DataFrame:

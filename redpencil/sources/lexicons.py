@@ -49,17 +49,18 @@ def read_brand_kit(spark: SparkSession, path: str) -> DataFrame:
     return kit_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 
-def read_style_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Style guides, first 4000 characters each."""
-    return spark.read.text(path, wholetext=True).select(F.expr("substring(value, 1, 4000)").alias("notes"))
+def read_style_notes(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """Style guides, whole or up to ``max_chars`` characters each."""
+    notes = spark.read.text(path, wholetext=True).select(F.col("value").alias("notes"))
+    return notes if max_chars is None else notes.select(F.substring("notes", 1, max_chars).alias("notes"))
 
 
-def clean_document(x: str) -> str:
-    """Line ends, trailing blanks, blank-line runs, 80k characters."""
+def clean_document(x: str, max_chars: int | None = None) -> str:
+    """Line ends, trailing blanks, blank-line runs; whole or up to ``max_chars`` characters."""
     x = f"regexp_replace({x}, {lit(chr(92) + 'r' + chr(92) + 'n?')}, '\\n')"
     x = f"regexp_replace({x}, {lit('[ ' + chr(92) + 't]+' + chr(92) + 'n')}, '\\n')"
     x = f"regexp_replace({x}, {lit(chr(92) + 'n{4,}')}, '\\n\\n\\n')"
-    return f"substring({tx.trim_ws(x)}, 1, 80000)"
+    return tx.trim_ws(x) if max_chars is None else f"substring({tx.trim_ws(x)}, 1, {max_chars})"
 
 
 def pairs_from_text(docs: DataFrame, id_col: str) -> DataFrame:
@@ -97,10 +98,15 @@ def glossary_pairs(rows: DataFrame) -> DataFrame:
                     F.expr("coalesce(get(cells, if(_named, ri - 1, 1)), '')").alias("right")))
 
 
-def dedupe_pairs(pairs: DataFrame, ord_col: str = "ord") -> DataFrame:
+# Longest side of a glossary pair.
+MAX_PAIR = 120
+
+
+def dedupe_pairs(pairs: DataFrame, ord_col: str = "ord", max_chars: int = MAX_PAIR) -> DataFrame:
     """First pair per case-insensitive key; equal, empty or overlong ones go."""
     p = pairs.withColumn("wrong", F.expr(tx.trim_ws("wrong"))).withColumn("right", F.expr(tx.trim_ws("right")))
-    p = p.where("wrong <> '' and right <> '' and wrong <> right and length(wrong) <= 120 and length(right) <= 120")
+    p = p.where("wrong <> '' and right <> '' and wrong <> right "
+                f"and length(wrong) <= {max_chars} and length(right) <= {max_chars}")
     g = p.groupBy(F.lower("wrong"), F.lower("right")).agg(
         F.min_by(F.struct("wrong", "right"), ord_col).alias("p"), F.min(ord_col).alias(ord_col))
     return g.select(ord_col, "p.wrong", "p.right")
@@ -120,9 +126,8 @@ def layered(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     rank = F.struct("layer_ord", "ord")
     maps = rows.where("wrong is not null").groupBy(*by, "list", "wrong").agg(
-        F.max_by("right", rank).alias("right"), F.max_by("priority", rank).alias("priority"),
-        F.min(F.col("layer_ord") * 100000 + F.col("ord")).cast("int").alias("ord"))
-    terms = rows.where("wrong is null").groupBy(*by, "list", "right").agg(
-        F.min(F.col("layer_ord") * 100000 + F.col("ord")).cast("int").alias("ord"))
-    return maps.unionByName(terms.withColumn("wrong", F.lit(None).cast("string"))
-                            .withColumn("priority", F.lit(None).cast("string")))
+        F.max_by("right", rank).alias("right"), F.max_by("priority", rank).alias("priority"), F.min(rank).alias("_at"))
+    terms = rows.where("wrong is null").groupBy(*by, "list", "right").agg(F.min(rank).alias("_at"))
+    both = maps.unionByName(terms.withColumn("wrong", F.lit(None).cast("string")).withColumn("priority", F.lit(None).cast("string")))
+    # the place of an entry is its first layer and its order there, told apart however large they are
+    return both.select(*by, "list", "wrong", "right", "priority", F.col("_at.layer_ord").alias("layer_ord"), F.col("_at.ord").alias("ord"))

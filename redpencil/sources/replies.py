@@ -44,16 +44,24 @@ def rejects(replies: DataFrame) -> DataFrame:
     return replies.where(F.expr(first_json("reply")).isNull())
 
 
-def verified_ids(replies: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Issue ids from any of the accepted reply shapes."""
-    j = replies.select(*id_cols, F.expr(first_json("reply")).alias("j"))
+def verdicts(replies: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Per answered source the issue ids it keeps, from any of the accepted reply shapes.
+
+    A reply that keeps nothing gives an empty list, which is not the same as no reply.
+    """
+    j = replies.select(*id_cols, F.expr(first_json("reply")).alias("j")).where("j is not null")
     names = ["verified_issue_ids", "kept_issue_ids", "kept", "issues"]
-    flat = [F.from_json("j", "array<string>")]
-    for n in names:
-        raw = F.from_json("j", f"struct<{n}:array<string>>")[n]
-        flat.append(raw)
+    flat = [F.from_json("j", "array<string>"), *[F.from_json("j", f"struct<{n}:array<string>>")[n] for n in names]]
+
     def ids(a):
         as_id = F.transform(a, lambda v: F.coalesce(F.get_json_object(v, "$.issue_id"), F.when(~v.startswith("{"), v)))
-        clean = F.filter(as_id, lambda v: v.isNotNull() & (v != ""))
-        return F.when(F.size(clean) > 0, clean)
-    return j.select(*id_cols, F.explode(F.coalesce(*[ids(a) for a in flat])).alias("issue_id"))
+        return F.filter(as_id, lambda v: v.isNotNull() & (v != ""))
+
+    listed = [ids(a) for a in flat]
+    full = F.coalesce(*[F.when(F.size(a) > 0, a) for a in listed], *listed)
+    return j.select(*id_cols, full.alias("kept")).where("kept is not null")
+
+
+def verified_ids(replies: DataFrame, id_cols: list[str]) -> DataFrame:
+    """S18 row by row: the ids that are kept."""
+    return verdicts(replies, id_cols).select(*id_cols, F.explode("kept").alias("issue_id"))

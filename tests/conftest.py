@@ -26,13 +26,15 @@ def lexicon():
     from redpencil.lexicon import Lexicon
 
     return Lexicon(
-        brand_terms=["NovaNode", "AI Agent", "Life at ACM", "Life at ACMGames", "Life at Quickpay"],
-        protected_terms=["NovaNode", "Life at ACM", "Life at ACMGames", "Life at Quickpay"],
-        do_not_change=["ACMCampus", "LinkedIn", "YouTube", "TikTok", "NovaNode", "Quickpay", "Life at ACM",
-                       "Life at ACMGames", "Life at Quickpay"],
-        product_terms={"nova node": "NovaNode", "acm games": "ACMGames", "QuickPay": "Quickpay",
-                       "quickpay": "Quickpay"},
-        legacy_names={"acm": "ACM Group"},
-        acronyms=["ACM"],
-        value_words=["acm", "starter"],
+        brand_terms=["HarborLight", "Silver Fern", "Jam-Jar", "Silver Fern House"],
+        protected_terms=["HarborLight", "Silver Fern"],
+        do_not_change=["LinkedIn", "YouTube", "DockYard"],
+        preferred_spellings={"recieve": "receive"},
+        product_terms={"fern tea": "Fern Tea", "river boat": "RiverBoat"},
+        preferred_wording={"ngon lành": "tuyệt vời"},
+        missing_tone_map={"dich vu": "dịch vụ"},
+        wrong_tone_map={"chuẫn": "chuẩn"},
+        legacy_names={"oldmill": "Millbrook Group"},
+        acronyms=["API"],
+        value_words=["harbor"],
     )

@@ -68,10 +68,10 @@ def test_validation_keeps_protected_terms(spark, lexicon):
             "suggestion string, reason string, confidence double, is_definite boolean, context_before string, context_after string, created_by string")
     def row(i, o, g):
         return (i, "caption", None, None, "style", "low", o, g, "r", .8, False, None, None, "reviewer")
-    texts = {"1": "SIÊU SALE MÙA HÈ\nƯu đãi.", "2": "Mở bán.\nSIÊU SALE MÙA HÈ", "3": "CHỈNH CHU CÙNG TEAM\nƯu đãi.",
-             "4": "Khám phá Life at ACMGames.", "5": "AI Agent đã sẵn sàng.", "6": "Xem https://sucess.com/offical ngay."}
-    c = spark.createDataFrame([row("1", "SIÊU SALE MÙA HÈ", "Siêu sale mùa hè"), row("2", "SIÊU SALE MÙA HÈ", "Siêu sale mùa hè"),
-                               row("3", "CHỈNH CHU", "CHỈN CHU"), row("4", "Life at ACMGames", "Life at ACM Games"),
-                               row("5", "AI Agent", "AI-Agent"), row("6", "sucess", "success")], cols)
+    texts = {"1": "GRAND OPENING PARTY\nCome along.", "2": "Come along.\nGRAND OPENING PARTY", "3": "GRAND OPENNING PARTY\nCome along.",
+             "4": "Meet us at HarborLight.", "5": "Silver Fern is open.", "6": "See https://recieve.example.org/box now."}
+    c = spark.createDataFrame([row("1", "GRAND OPENING", "Grand opening"), row("2", "GRAND OPENING", "Grand opening"),
+                               row("3", "OPENNING", "OPENING"), row("4", "HarborLight", "Harbor Light"),
+                               row("5", "Silver Fern", "Silver-Fern"), row("6", "recieve", "receive")], cols)
     t = spark.createDataFrame(list(texts.items()), "source_id string, text string")
     assert {r["source_id"] for r in cd.validate(c, t, lexicon).collect()} == {"2", "3"}
