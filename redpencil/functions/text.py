@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +132,7 @@ def collapse_ws(x: str) -> str:
 
 
 def comparable(x: str) -> str:
-    """P1 without compatibility folding: collapse, trim, lower."""
+    """Collapse, trim, lower: what relates issues to each other."""
     return f"lower(trim({collapse_ws(x)}))"
 
 
@@ -141,6 +142,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+def compatible(name: str) -> Column:
+    """Compatibility composition, then collapse, trim, lower.  Plain ASCII passes the normaliser untouched."""
+    x = nfkc(F.col(name))
+    return F.lower(F.trim(F.regexp_replace(x, f"{WS}+", " ")))
+
+
 def _composition_tables() -> tuple[str, str, str]:
     """Canonical pairs, letter decompositions and combining classes, as
     lookup strings built from the Unicode database."""

@@ -155,7 +155,7 @@ def correct_text(boxes: DataFrame, corrections: DataFrame, lex: Lexicon) -> Data
     c = corrections.select("box_id", F.expr(f"trim({tx.collapse_ws('corrected_text')})").alias("_new"),
                            F.expr("least(1D, greatest(0D, coalesce(confidence, 0D)))").alias("_conf"))
     j = (boxes.join(c, "box_id", "left")
-         .withColumn("_a", F.expr(tx.comparable("text"))).withColumn("_b", F.expr(tx.comparable("_new"))))
+         .withColumn("_a", tx.compatible("text")).withColumn("_b", tx.compatible("_new")))
     terms = [t.lower() for t in lex.do_not_change if t.strip()]
     t = fresh("t")
     survive = "true" if not terms else (

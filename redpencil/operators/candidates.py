@@ -99,7 +99,7 @@ def validate_boxes(candidates: DataFrame, boxes: DataFrame, lex: Lexicon) -> Dat
          .withColumn("type", F.expr(tx.candidate_type("type")))
          .withColumn("severity", F.expr(tx.candidate_severity("severity")))
          .withColumn("suggestion", F.expr("coalesce(suggestion, original)"))
-         .where(f"{tx.comparable('original')} <> {tx.comparable('suggestion')}")
+         .where(tx.compatible("original") != tx.compatible("suggestion"))
          .where(f"not (type in ('brand_term', 'style') and {tx.case_only_change('original', 'suggestion')})"))
     as_content = boxes.select(F.col("box_id").alias("source_id"), "text")
     checked = validate(
@@ -137,8 +137,7 @@ def text_bbox(text: str, bbox: str, start: str, end: str) -> str:
 def signature() -> Column:
     """Identity of a candidate for the verifier."""
     return F.sha2(F.to_json(F.struct(
-        "type", "severity", F.expr(tx.comparable("original")).alias("original"),
-        F.expr(tx.comparable("suggestion")).alias("suggestion"), "source_type", "source_id",
+        "type", "severity", tx.compatible("original").alias("original"), tx.compatible("suggestion").alias("suggestion"), "source_type", "source_id",
         "artboard_id", "box_id")), 256)
 
 
@@ -209,12 +208,21 @@ def related(a: str, b: str) -> str:
     return f"({caption} and ({same} or {nested}))"
 
 
-BLOCK = ["source_type", "source_id", "box_id"]
-ISSUE = ["ord", "source_type", "source_id", "box_id", "type", "severity", "original", "suggestion", "reason",
-         "confidence", "is_definite", "span_start", "span_end", "status", "created_by"]
-ISSUE_TYPE = ("struct<ord:bigint,source_type:string,source_id:string,box_id:string,type:string,severity:string,"
-              "original:string,suggestion:string,reason:string,confidence:double,is_definite:boolean,"
-              "span_start:int,span_end:int,status:string,created_by:string>")
+BLOCK = ["workspace_id", "source_type", "source_id", "box_id"]
+# The stored issue row; columns an input lacks are null.
+ISSUE_FIELDS = {
+    "ord": "bigint", "workspace_id": "string", "issue_id": "string", "source_type": "string", "source_id": "string",
+    "artboard_id": "string", "box_id": "string", "type": "string", "severity": "string", "original": "string",
+    "suggestion": "string", "reason": "string", "confidence": "double", "is_definite": "boolean", "span_start": "int",
+    "span_end": "int", "bbox": "struct<x0:double,y0:double,x1:double,y1:double>", "context_before": "string",
+    "context_after": "string", "status": "string", "created_by": "string"}
+ISSUE = list(ISSUE_FIELDS)
+ISSUE_TYPE = "struct<" + ",".join(f"{k}:{t}" for k, t in ISSUE_FIELDS.items()) + ">"
+
+
+def full_rows(issues: DataFrame) -> DataFrame:
+    """Issues with exactly the stored columns."""
+    return issues.select(*[(F.col(k) if k in issues.columns else F.lit(None)).cast(t).alias(k) for k, t in ISSUE_FIELDS.items()])
 
 
 def _combine(old: str, new: str) -> str:
@@ -229,13 +237,10 @@ def _combine(old: str, new: str) -> str:
                f"concat({reason}, ' / ', {new}.created_by, ': ', {new}.reason), {reason})")
     severity = (f"if({tx.severity_rank(new + '.severity')} < {tx.severity_rank(old + '.severity')}, "
                 f"{new}.severity, {old}.severity)")
-    values = {
-        "ord": f"{old}.ord", "source_type": f"{old}.source_type", "source_id": f"{old}.source_id",
-        "box_id": f"{old}.box_id", "type": pick("type"), "severity": severity, "original": pick("original"),
-        "suggestion": pick("suggestion"), "reason": reasons,
-        "confidence": f"greatest({old}.confidence, {new}.confidence)",
-        "is_definite": f"({old}.is_definite or {new}.is_definite)", "span_start": f"{old}.span_start",
-        "span_end": f"{old}.span_end", "status": f"{old}.status", "created_by": creators,
+    values = {k: f"{old}.{k}" for k in ISSUE} | {k: pick(k) for k in ("issue_id", "type", "original", "suggestion")} | {
+        "severity": severity, "reason": reasons, "confidence": f"greatest({old}.confidence, {new}.confidence)",
+        "is_definite": f"({old}.is_definite or {new}.is_definite)", "created_by": creators,
+        "bbox": f"coalesce({pick('bbox')}, {new}.bbox)",
     }
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
 
@@ -250,34 +255,25 @@ def push_unique(existing: str, incoming: str) -> str:
     return f"aggregate({incoming}, {existing}, ({a}, {x}) -> {merged})"
 
 
-def _issue_struct(df: DataFrame) -> Column:
-    from pyspark.sql.types import _parse_datatype_string
-
-    return F.struct(*[F.col(c) for c in ISSUE]).cast(_parse_datatype_string(ISSUE_TYPE))
-
-
 def unique_issues(issues: DataFrame) -> DataFrame:
-    """J14 over a table: one fold per block; caption blocks split by overlap."""
-    return _per_block(issues, lambda c: push_unique(f"cast(array() as array<{ISSUE_TYPE}>)", c))
-
-
-def _blocks(df: DataFrame) -> DataFrame:
-    images = df.where("source_type <> 'caption' or span_start is null").withColumn("island", F.lit(0).cast("bigint"))
-    captions = overlap_islands(df.where("source_type = 'caption' and span_start is not null"),
-                               ["source_type", "source_id", "box_id"])
-    return images.unionByName(captions.withColumn("island", F.col("island").cast("bigint")))
+    """J14 over a table: one fold per block; caption blocks split by overlap.  Full issue rows."""
+    g = _grouped(issues)
+    fold = push_unique(f"cast(array() as array<{ISSUE_TYPE}>)", "c")
+    return g.select(F.expr(f"inline({fold})"))
 
 
-def _per_block(issues: DataFrame, fold) -> DataFrame:
-    g = (_blocks(issues).groupBy(*[F.col(c) for c in BLOCK], "island")
-         .agg(F.array_sort(F.collect_list(_issue_struct(issues))).alias("c")))
-    return g.select(F.expr(f"inline({fold('c')})"))
+def _grouped(issues: DataFrame) -> DataFrame:
+    """The issues of each block (and island of a caption) in order, as one array."""
+    rows = full_rows(issues)
+    images = rows.where("source_type <> 'caption' or span_start is null").withColumn("island", F.lit(0).cast("bigint"))
+    captions = overlap_islands(rows.where("source_type = 'caption' and span_start is not null"), BLOCK)
+    both = images.unionByName(captions.withColumn("island", F.col("island").cast("bigint")))
+    return both.groupBy(*BLOCK, "island").agg(F.array_sort(F.collect_list(F.struct(*ISSUE))).alias("c"))
 
 
 def clusters(issues: DataFrame) -> DataFrame:
     """Every issue joins the first cluster holding a related issue."""
-    g = (_blocks(issues).groupBy(*BLOCK, "island")
-         .agg(F.array_sort(F.collect_list(_issue_struct(issues))).alias("c")))
+    g = _grouped(issues)
     a, x, k, y, i = (fresh(n) for n in "axkyi")
     z = fresh("z")
     first = f"array_position(transform({a}, {k} -> exists({k}, {z} -> {related(z, x)})), true)"
@@ -294,27 +290,28 @@ CONFIRM = "Needs confirmation: found by one image review step only."
 def accept_by_consensus(candidates: DataFrame, current: DataFrame) -> DataFrame:
     """Clusters backed by a rule, by two sources or by a confident definite
     finding are accepted; of the others the best one is staged for review.
-    Result: the block's issues after pushing (J14) onto the current ones."""
-    c = clusters(candidates)
-    cur = (current.where("source_type = 'image'").groupBy(*BLOCK)
-           .agg(F.array_sort(F.collect_list(_issue_struct(current))).alias("current")))
+    Result: the block's issues, full rows, after pushing (J14) onto the current ones."""
+    per_block = clusters(candidates.where("source_type = 'image'")).groupBy(*BLOCK).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("island", "cluster", "members"))), lambda t: t["members"]).alias("clusters"))
+    now = full_rows(current)
+    cur = now.where("source_type = 'image'").groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct(*ISSUE))).alias("current"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in BLOCK]
-    j = c.alias("c").join(cur.alias("p"), same, "left").select(
-        *[F.col(f"c.{k}") for k in BLOCK], "island", "cluster", "members",
-        F.expr(f"coalesce(current, cast(array() as array<{ISSUE_TYPE}>))").alias("current"))
+    j = per_block.alias("c").join(cur.alias("p"), same, "left").select(
+        *[F.col(f"c.{k}") for k in BLOCK], "clusters", F.expr(f"coalesce(current, cast(array() as array<{ISSUE_TYPE}>))").alias("current"))
+    state, members = fresh("state"), fresh("members")
     e, m, n, v = (fresh(x) for x in "emnv")
-    backed = f"exists(current, {e} -> exists(members, {m} -> {related(e, m)}))"
-    sources = (f"size(array_distinct(filter(flatten(transform(members, {m} -> "
+    backed = f"exists({state}, {e} -> exists({members}, {m} -> {related(e, m)}))"
+    sources = (f"size(array_distinct(filter(flatten(transform({members}, {m} -> "
                f"transform(split({m}.created_by, '[+]'), {v} -> trim({v})))), {n} -> {n} <> '')))")
-    best = f"array_max(transform(members, {m} -> {m}.confidence))"
-    sure = (f"exists(members, {m} -> {m}.is_definite and {m}.confidence >= 0.9 "
+    best = f"array_max(transform({members}, {m} -> {m}.confidence))"
+    sure = (f"exists({members}, {m} -> {m}.is_definite and {m}.confidence >= 0.9 "
             f"and {m}.severity not in ('suggestion', 'needs_review'))")
-    j = j.withColumn("accepted", F.expr(f"{backed} or ({sources} >= 2 and {best} >= 0.68) or {sure}"))
+    accepted = f"({backed} or ({sources} >= 2 and {best} >= 0.68) or {sure})"
     rank = lambda x: tx.severity_rank(x + ".severity")
 
     def ordered(key) -> str:
         p, q = fresh("p"), fresh("q")
-        return (f"transform(array_sort(transform(members, ({p}, {q}) -> named_struct({key(p)}, 'i', {q}, 'h', {p}))), "
+        return (f"transform(array_sort(transform({members}, ({p}, {q}) -> named_struct({key(p)}, 'i', {q}, 'h', {p}))), "
                 f"{p} -> {p}.h)")
 
     by_severity = ordered(lambda p: f"'a', {rank(p)}, 'b', -{p}.confidence, 'c', -length({p}.original)")
@@ -328,11 +325,8 @@ def accept_by_consensus(candidates: DataFrame, current: DataFrame) -> DataFrame:
     s = fresh("s")
     one = "named_struct(" + ", ".join(f"'{k}', {v.replace('s.', s + '.')}" for k, v in staged.items()) + ")"
     review = f"transform(filter(slice({by_confidence}, 1, 1), {s} -> trim({s}.original) <> ''), {s} -> {one})"
-    j = j.withColumn("pushed", F.expr(f"if(accepted, {by_severity}, {review})"))
-    per_block = j.groupBy(*BLOCK).agg(
-        F.expr("flatten(transform(array_sort(collect_list(struct(island, cluster, pushed))), t -> t.pushed))").alias("pushed"),
-        F.first("current").alias("current"))
-    touched = per_block.select(F.expr(f"inline({push_unique('current', 'pushed')})"))
+    # each cluster is judged against the issues as the clusters before it have left them
+    step = push_unique(state, f"if({accepted}, {by_severity}, {review})")
+    touched = j.select(F.expr(f"inline(aggregate(clusters, current, ({state}, {members}) -> {step}))"))
     same = [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in BLOCK]
-    untouched = current.alias("i").join(per_block.select(*BLOCK).alias("b"), same, "left_anti").select(*ISSUE)
-    return touched.unionByName(untouched)
+    return touched.unionByName(now.alias("i").join(per_block.select(*BLOCK).alias("b"), same, "left_anti").select(*ISSUE))

@@ -34,6 +34,52 @@ def test_consensus(spark):
     assert got["lone"]["severity"] == "needs_review" and not got["lone"]["is_definite"]
 
 
+def test_consensus_judges_each_cluster_against_what_the_others_left(spark):
+    cands = issue(spark, [("spelling", "high", "the abc", "the abd", .7, True, "x"), ("spelling", "critical", "abc", "abd", .7, False, "y")])
+    current = issue(spark, [("spelling", "low", "abc", "abd", .5, False, "rule")])
+    got = cd.accept_by_consensus(cands, current).collect()
+    assert {(r["severity"], r["created_by"], r["original"]) for r in got} == {("critical", "rule+y+x", "abc")} and got[0].asDict().keys() == set(cd.ISSUE)
+    captions = cands.withColumn("source_type", F.lit("caption"))
+    assert cd.accept_by_consensus(captions, current).count() == 1
+
+
+def test_combined_issues_keep_their_columns(spark):
+    df = (issue(spark, [("spelling", "low", "abc def", "abd def", .6, False, "x"), ("spelling", "high", "abc", "abd", .9, True, "y")])
+          .withColumn("workspace_id", F.lit("w")).withColumn("issue_id", F.concat(F.lit("i"), "ord"))
+          .withColumn("bbox", F.expr("if(ord = 1, named_struct('x0', 1D, 'y0', 1D, 'x1', 2D, 'y1', 2D), null)")))
+    r = cd.unique_issues(df).first()
+    assert (r.issue_id, r.workspace_id, r.bbox.x1) == ("i1", "w", 2.0)
+    two = df.withColumn("workspace_id", F.concat(F.lit("w"), "ord"))
+    assert cd.unique_issues(two).count() == 2
+
+
+def test_compatibility_forms_compare_equal(spark):
+    lex = __import__("redpencil.lexicon", fromlist=["Lexicon"]).Lexicon()
+    b = spark.createDataFrame([("b", "Ａ１２ ﬁne", .5)], "box_id string, text string, confidence double")
+    c = spark.createDataFrame([("b", "A12 fine", .9)], "box_id string, corrected_text string, confidence double")
+    assert bx.correct_text(b, c, lex).first().verdict == "confirm"
+
+
+def test_a_verifier_that_keeps_nothing_is_not_silence(spark):
+    from redpencil.sources import replies as rl
+
+    heard = rl.verdicts(spark.createDataFrame([("1", '{"kept": []}'), ("2", "no json"), ("3", '{"kept": ["a"]}')], "source_id string, reply string"), ["source_id"])
+    assert {r.source_id: list(r.kept) for r in heard.collect()} == {"1": [], "3": ["a"]}
+    cands = issue(spark, [("style", "low", "a", "b", .5, False, "x")]).withColumn("artboard_id", F.lit(None).cast("string"))
+    cands = cands.withColumn("source_id", F.lit("1")).unionByName(cands.withColumn("source_id", F.lit("2")))
+    none = cands.select("source_id", cd.signature().alias("signature")).where("false")
+    assert [r.source_id for r in cd.keep_verified(cands, none, heard).collect()] == ["2"]
+
+
+def test_later_writes_keep_other_workspaces(spark, tmp_path):
+    from redpencil.sources import content as src
+
+    ws = lambda i: spark.createDataFrame([(i, f"n{i}")], "id string, name string")
+    for i in ("w1", "w2", "w1"):
+        src.write_workspaces(ws(i), str(tmp_path / "ws"))
+    assert {r.id for r in src.read_workspaces(spark, str(tmp_path / "ws/*")).collect()} == {"w1", "w2"}
+
+
 def test_merge_prefers_rules_then_longer(spark):
     cols = "ord bigint, source_type string, source_id string, severity string, original string, span_start int, span_end int, issue_id string"
     rules = spark.createDataFrame([(0, "caption", "1", "low", "ab", 0, 2, "rule")], cols)
