@@ -267,6 +267,25 @@ def _(spark, d):
     return joined_hits(documents(spark, d).select("doc_id", "text"), words.select(F.col("wrong").alias("list"), "wrong", F.upper("wrong").alias("right")), ["doc_id"])
 
 
+@register("check_large_lexicon", f"""with posts as ({_DOCS}), {spans_cte('wd', r'[\p{L}\p{N}_]+', w())},
+  g as (select doc_id, s, lead(e) over v as e, concat(o, ' ', lead(o) over v) as o, gap from wd window v as (partition by doc_id order by s)),
+  b as (select item_id as doc_id, text from benchmark), bw as (select doc_id, s, o, gap from (with posts as (select * from b), {spans_cte('wd', r'[\p{L}\p{N}_]+', w())} select * from wd)),
+  k as (select distinct lower(concat(o, ' ', lead(o) over v)) as w, gap from bw window v as (partition by doc_id order by s))
+  select doc_id, cast(s as int) as span_start, cast(e as int) as span_end, o as original, 'OK GO' as suggestion from g
+  where gap = ' ' and lower(o) in (select w from k where gap = ' ' and w is not null)""")
+def _(spark, d):
+    """R66 with a lexicon table: all neighbouring words of all benchmark texts, matched inside the checker."""
+    x, i = fresh("x"), fresh("i")
+    from redpencil.functions.exprs import spans
+    pairs = table(spark, d, "benchmark").select("text", F.expr(spans("text", r"[\p{L}\p{N}_]+")).alias("w")).select(F.explode(F.expr(
+        f"filter(transform(slice(w, 1, greatest(size(w) - 1, 0)), ({x}, {i}) -> substring(text, {x}.s + 1, w[{i} + 1].e - {x}.s)), "
+        f"{x} -> {x} rlike '^[^ ]+ [^ ]+$' and not {x} rlike '[^\\\\p{{L}}\\\\p{{N}}_ ]')")).alias("pair"))
+    lexi = pairs.select(F.lower("pair").alias("wrong")).distinct().select(
+        F.lit("product_terms").alias("list"), "wrong", F.lit("OK GO").alias("right"), F.lit(None).cast("string").alias("priority"), F.lit(0).alias("ord"))
+    from redpencil.lexicon import Lexicon
+    return checker.rule_hits(documents(spark, d).select("doc_id", "text"), Lexicon(), {66}, ["doc_id"], guard=False, resolve=False, table=lexi).drop("code")
+
+
 # -- candidates (J8-J16) --------------------------------------------------------------
 
 _AT = "cast(doc_id * 7919 % greatest(n_chars - 6, 1) + 2 as int)"

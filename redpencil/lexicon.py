@@ -1,9 +1,8 @@
 """Lexicon: the terminology a checker run uses.
 
-A lexicon is a small table ``(list, wrong, right, priority, ord)``.  Up to
-``INLINE_LIMIT`` rows it is folded into the plan as literals, so that checking
-stays one narrow projection.  Larger ones keep living in a table and are
-matched by the n-gram join of :mod:`redpencil.operators.dictionary`.
+A lexicon is a table ``(list, wrong, right, priority, ord)``.  House rules that a program holds
+are folded into the plan as literals (``Lexicon``), so that checking stays one narrow projection.
+A table of any size goes to ``check(..., table=...)``, which joins it to the words of the texts.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INLINE_LIMIT = 2000
-
 SCHEMA = T.StructType([
     T.StructField("list", T.StringType()),
     T.StructField("wrong", T.StringType()),
@@ -40,6 +37,7 @@ BUILTIN_SPELLINGS = {
 # Default house dictionaries.
 DEFAULT_SPELLINGS = {"ko": "không", "k": "không", "dc": "được", "mik": "mình", "bn": "bạn",
                      "hok": "không", "thui": "thôi"}
+# Preferred wording.
 DEFAULT_WORDING = {
     "xịn sò": "nổi bật", "siêu xịn": "ấn tượng", "lụm ngay": "khám phá ngay", "đỉnh của chóp": "ấn tượng",
     "hết nước chấm": "rất ấn tượng", "chất lừ": "chất lượng cao", "thần thánh": "xuất sắc",
@@ -47,6 +45,7 @@ DEFAULT_WORDING = {
     "ngon lành": "tuyệt vời", "mlem mlem": "hấp dẫn", "oke lá cờ": "đồng ý", "chắc kèo": "chắc chắn",
     "auto đăng ký": "đăng ký ngay", "xịn xò": "nổi bật",
 }
+# Words written without their tone marks.
 DEFAULT_MISSING_TONES = {
     "khong": "không", "duoc": "được", "nguoi dung": "người dùng", "cong nghe": "công nghệ",
     "trai nghiem": "trải nghiệm", "san pham": "sản phẩm", "ket noi": "kết nối", "dong hanh": "đồng hành",
@@ -57,6 +56,7 @@ DEFAULT_MISSING_TONES = {
     "khach hang": "khách hàng", "cong dong": "cộng đồng", "bao mat": "bảo mật", "toc do": "tốc độ",
     "hieu qua": "hiệu quả", "thuc hien": "thực hiện",
 }
+# Words written with wrong tone marks.
 DEFAULT_WRONG_TONES = {
     "hổ trợ": "hỗ trợ", "trãi nghiệm": "trải nghiệm", "chia sẽ": "chia sẻ", "sữa lỗi": "sửa lỗi",
     "xữ lý": "xử lý", "dử liệu": "dữ liệu", "nổ lực": "nỗ lực", "xãy ra": "xảy ra", "phãi": "phải",
@@ -64,12 +64,10 @@ DEFAULT_WRONG_TONES = {
     "thỏa mãng": "thỏa mãn", "nổi bậc": "nổi bật", "hưỡng dẫn": "hướng dẫn", "tuỡng": "tưởng",
     "chuẫn": "chuẩn",
 }
+# Risky words and their priority.
 DEFAULT_RISKY = {
-    "lừa đảo": ("high", "trung lập hơn"), "sập app": ("high", "thông báo kỹ thuật"),
-    "lỗi hệ thống": ("high", "bảo trì hệ thống"), "bug đầy": ("medium", "cần tối ưu thêm"),
-    "toang": ("medium", "gặp sự cố"), "tệ quá": ("medium", "mang tính xây dựng"),
-    "dở hơi": ("high", "tránh xúc phạm"), "vô dụng": ("high", "tránh tiêu cực"),
-    "thất bại": ("medium", "chưa đạt mục tiêu"), "phá sản": ("high", "tránh gây hoang mang"),
+    "lừa đảo": "high", "sập app": "high", "lỗi hệ thống": "high", "bug đầy": "medium", "toang": "medium",
+    "tệ quá": "medium", "dở hơi": "high", "vô dụng": "high", "thất bại": "medium", "phá sản": "high",
 }
 # Words that look like glued acronyms on purpose.
 INTENTIONAL_CAMEL = ["iphone", "ipad", "macos", "tiktok", "youtube", "linkedin", "wordpress",
@@ -84,7 +82,7 @@ def normalise_term(term: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Driver-side view of a size-checked lexicon."""
+    """The entries a program holds itself."""
 
     brand_terms: list[str] = field(default_factory=list)
     protected_terms: list[str] = field(default_factory=list)
@@ -108,7 +106,7 @@ class Lexicon:
             preferred_wording=dict(DEFAULT_WORDING),
             missing_tone_map=dict(DEFAULT_MISSING_TONES),
             wrong_tone_map=dict(DEFAULT_WRONG_TONES),
-            risky_words=dict(DEFAULT_RISKY),
+            risky_words={w: (priority, "") for w, priority in DEFAULT_RISKY.items()},
         )
 
     def protected(self) -> list[str]:
@@ -134,24 +132,6 @@ class Lexicon:
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), SCHEMA)
 
-    @staticmethod
-    def from_df(df: DataFrame, limit: int = INLINE_LIMIT) -> "Lexicon":
-        """Read a lexicon table into the plan; refuses tables over ``limit`` rows."""
-        rows = df.select("list", "wrong", "right", "priority", "ord").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(
-                f"lexicon has more than {limit} rows: match it with operators.dictionary.joined_hits")
-        lex = Lexicon()
-        for r in sorted(rows, key=lambda r: (r["list"], r["ord"] if r["ord"] is not None else 0)):
-            name = r["list"]
-            if name in (*TERM_LISTS, "acronyms", "value_words"):
-                getattr(lex, name).append(r["right"])
-            elif name in (*MAP_LISTS, "legacy_names"):
-                getattr(lex, name)[r["wrong"]] = r["right"]
-            elif name == "risky_words":
-                lex.risky_words[r["wrong"]] = (r["priority"] or "medium", r["right"])
-        return lex
-
 
 def protected_terms(lexicon: DataFrame) -> DataFrame:
     """J2 on a lexicon table of any size."""

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
 from redpencil.functions.exprs import (
-    HIT_TYPE, any_contains, any_overlap, contains, empty, field, fresh, let, lit, overlaps, scan, spans,
+    HIT_TYPE, any_contains, any_overlap, contains, empty, field, fresh, let, lit, merge_ranges, overlaps, scan, spans,
 )
 from redpencil.lexicon import Lexicon
 from redpencil.operators import ranges as rg
 from redpencil.operators import rulebook as rb
 from redpencil.operators import structure_rules as st
-from redpencil.operators.dictionary import phrase_hits
+from redpencil.operators.dictionary import candidate_hits, candidate_terms, phrase_hits, with_candidates
 from redpencil.operators.span_rules import span_hits, static_rules
 
 ALL_RULES = set(range(1, 80))
@@ -38,7 +38,7 @@ def _heading_aware(found: str, headings: str) -> str:
 
 
 def all_hits(t: str, low: str, caption: str, excluded: str, headings: str,
-             lex: Lexicon, rules: set[int]) -> list[str]:
+             lex: Lexicon, rules: set[int], candidates: str | None = None) -> list[str]:
     """Hits of the selected rules, before guards, as a few array expressions."""
     parts = []
     static = [r for r in static_rules(lex) if r.code // 10 in rules]
@@ -61,6 +61,8 @@ def all_hits(t: str, low: str, caption: str, excluded: str, headings: str,
     dictionary = set(rb.DICTIONARY_RULES) & rules
     if dictionary:
         parts.append(phrase_hits(t, low, caption, headings, lex, dictionary))
+        if candidates:
+            parts.append(candidate_hits(t, low, caption, headings, candidates, dictionary))
     return parts
 
 
@@ -147,20 +149,31 @@ def bind(expr: str, **columns: str) -> str:
 
 
 def with_hits(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, *, guard: bool = True,
-              resolve: bool = True) -> DataFrame:
-    """``content`` plus an array column ``hits``; all stages are projections."""
+              resolve: bool = True, table: DataFrame | None = None) -> DataFrame:
+    """``content`` plus an array column ``hits``; all stages are projections.
+
+    ``table``: further lexicon rows, any number of them.  They are joined to the words of the texts
+    first; their hits and protected terms then pass the same guards, suppression and resolution.
+    """
     rules = ALL_RULES if rules is None else rules
+    names = content.columns
+    content = content.withColumn("text", F.expr(tx.strip_reserved("text")))
+    if table is not None:
+        content = with_candidates(content, table)
     caption = "coalesce(source_type, 'caption') = 'caption'" if "source_type" in content.columns else "true"
     df = (content.withColumn("_low", F.expr(tx.folded("text")))
           .withColumn("_urls", F.expr(rg.url_ranges("text", "_low")))
-          .withColumn("_terms", F.expr(rg.term_ranges("_low", lex.protected())))
-          .withColumn("_excluded", F.expr("concat(_urls, _terms)")))
+          .withColumn("_terms", F.expr(rg.term_ranges("_low", lex.protected()))))
+    if table is not None:
+        more = bind(candidate_terms("text", "_low", "@candidates"), **{"@candidates": "_candidates"})
+        df = df.withColumn("_more", F.expr(more)).withColumn("_terms", F.expr(merge_ranges("concat(_terms, _more)")))
+    df = (df.withColumn("_excluded", F.expr("concat(_urls, _terms)")))
     needs_headings = rules & ({14, 15} | HEADING_AWARE_SPANS | set(rb.DICTIONARY_RULES))
     heads = rg.uppercase_headings("text", "_excluded") if needs_headings else empty(
         "struct<ls:int,le:int,s:int,t:string>")
     df = df.withColumn("_headings", F.expr(heads))
-    bound = {"@excluded": "_excluded", "@headings": "_headings"}
-    parts = all_hits("text", "_low", caption, "@excluded", "@headings", lex, rules)
+    bound = {"@excluded": "_excluded", "@headings": "_headings", "@candidates": "_candidates"}
+    parts = all_hits("text", "_low", caption, "@excluded", "@headings", lex, rules, "@candidates" if table is not None else None)
     df = df.withColumns({
         f"_part{i}": F.expr(bind(part, **{k: v for k, v in bound.items() if k in part}))
         for i, part in enumerate(parts)
@@ -175,7 +188,7 @@ def with_hits(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, *
               .withColumn("hits", F.expr(f"flatten(transform(_islands, {i} -> {settle(i)}))")))
     else:
         df = df.withColumn("hits", F.col("_raw"))
-    return df.select(*content.columns, "hits")
+    return df.select(*names, "hits")
 
 
 def unpack(found: DataFrame) -> DataFrame:
@@ -197,8 +210,8 @@ def rule_hits(content: DataFrame, lex: Lexicon, rules: set[int], id_cols: list[s
                     F.col("e").alias("span_end"), F.col("o").alias("original"), F.col("g").alias("suggestion")))
 
 
-def check(content: DataFrame, lex: Lexicon, rules: set[int] | None = None) -> DataFrame:
-    """Content rows -> issue rows.
+def check(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Content rows -> issue rows; ``table`` adds a lexicon of any size (list, wrong, right, priority, ord).
 
     ``content`` needs workspace_id, source_type, source_id and text; artboard_id
     and box_id are taken over when present.
@@ -206,7 +219,7 @@ def check(content: DataFrame, lex: Lexicon, rules: set[int] | None = None) -> Da
     ids = ["workspace_id", "source_type", "source_id"]
     optional = [F.col(c) if c in content.columns else F.lit(None).cast("string").alias(c)
                 for c in ("artboard_id", "box_id")]
-    found = with_hits(content.select(*ids, *optional, "text"), lex, rules)
+    found = with_hits(content.select(*ids, *optional, "text"), lex, rules, table=table)
     rows = unpack(found)
     issue_id = F.sha2(F.to_json(F.struct(*ids, "artboard_id", "box_id", "r", "s", "e", "o", "g")), 256)
     return rows.select(

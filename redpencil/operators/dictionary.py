@@ -1,12 +1,11 @@
 """Dictionary rules (R65-R70, R74): lexicon phrases found as whole words.
 
-Two exact ways:
+Two exact ways to the same hits:
 
-* ``phrase_hits``   lexicon folded into the plan (size-checked); per text start
-  positions come from one zero-width alternation, so overlapping and nested
-  phrases are all found.
-* ``joined_hits``   lexicon of any size in a table; words become n-grams and
-  meet the lexicon in a hash join (broadcast only below a checked row count).
+* ``phrase_hits``     lexicon entries folded into the plan; per text start positions come from one
+  zero-width alternation, so overlapping and nested phrases are all found.
+* ``candidate_hits``  lexicon of any size in a table; the first one or two words of each phrase
+  meet the words of the texts in a join, and what is left of the phrase is compared in the text.
 """
 
 from __future__ import annotations
@@ -14,14 +13,16 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
-from redpencil.functions.exprs import HIT_TYPE, empty, fresh, gate, let, lit, spans, wrap
+from redpencil.functions.exprs import HIT_TYPE, empty, fresh, let, lit, merge_ranges, spans, wrap
 from redpencil.lexicon import BUILTIN_SPELLINGS, Lexicon
 from redpencil.operators import ranges as rg
 
-MAX_BROADCAST_ROWS = 200_000
+WORD_RUN = r"[\p{L}\p{N}_]+"
+CANDIDATE_TYPE = "struct<c:int,k:int,s:int,n:int,w:string,g:string,p:boolean>"
 
 
 def entries(lex: Lexicon, rules: set[int] | None = None) -> list[tuple]:
@@ -51,6 +52,12 @@ def entries(lex: Lexicon, rules: set[int] | None = None) -> list[tuple]:
     return [e for e in out if rules is None or e[0] // 10 in rules]
 
 
+def _initial(t: str, caption: str, start: str) -> str:
+    """Does a sentence of a caption start here?"""
+    return (f"({caption} and ({start} = 0 or ({tx.rtrim_ws(f'left({t}, {start})')} rlike '[.!?]$' "
+            f"and substring({t}, {start}, 1) rlike {lit(tx.WS)})))")
+
+
 def phrase_hits(t: str, low: str, caption: str, headings: str, lex: Lexicon, rules: set[int] | None = None) -> str:
     """All phrase occurrences as ``array<hit>`` with final suggestions."""
     table = entries(lex, rules)
@@ -65,9 +72,8 @@ def phrase_hits(t: str, low: str, caption: str, headings: str, lex: Lexicon, rul
     longest = max(len(e[2]) for e in table)
     pattern = rf"(?={tx.first_chars(words)}){tx.NOT_AFTER_WORD}(?={tx.trie(words)}{tx.NOT_BEFORE_WORD})"
     starts = spans(low, pattern, wrap(""), zero_width=True)
-    st, en, h = fresh("st"), fresh("en"), fresh("h")
-    initial = (f"({caption} and ({st}.s = 0 or ({tx.rtrim_ws(f'left({t}, {st}.s)')} rlike '[.!?]$' "
-               f"and substring({t}, {st}.s, 1) rlike {lit(tx.WS)})))")
+    st, en = fresh("st"), fresh("en")
+    initial = _initial(t, caption, f"{st}.s")
 
     def at_start(seg: str) -> str:
         fits = (f"startswith(lower({seg}), {en}.w) "
@@ -78,7 +84,12 @@ def phrase_hits(t: str, low: str, caption: str, headings: str, lex: Lexicon, rul
         return f"transform(filter(array({rows}), {en} -> {fits}), {en} -> {hit})"
 
     per_start = let(f"substring({t}, {st}.s + 1, {longest + 1})", at_start)
-    raw = f"flatten(transform({starts}, {st} -> {per_start}))"
+    return cased(f"flatten(transform({starts}, {st} -> {per_start}))", headings)
+
+
+def cased(raw: str, headings: str) -> str:
+    """Suggestions in the letter case of the place they go to."""
+    h = fresh("h")
     g = (f"case when {h}.g is null then {h}.o when {rg.in_heading(h, headings)} then upper({h}.g) "
          f"when {h}.p then {tx.preserve_case(f'{h}.o', f'{h}.g')} else {h}.g end")
     return (f"transform({raw}, {h} -> named_struct('r', {h}.r, 'k', {h}.k, 's', {h}.s, 'e', {h}.e, "
@@ -93,32 +104,106 @@ def tokens(content: DataFrame, id_cols: list[str]) -> DataFrame:
                     F.lower("h.o").alias("word")))
 
 
-def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Phrase occurrences for a lexicon of any size: n-gram hash join.
+def phrase_keys(phrases: DataFrame, phrase: str = "w") -> DataFrame:
+    """Add ``key`` (the first one or two words with what stands between them) and ``lead`` (what stands before)."""
+    first = rf"^([^\p{{L}}\p{{N}}_]*)({WORD_RUN}(?:[^\p{{L}}\p{{N}}_]+{WORD_RUN})?)"
+    return phrases.withColumn("key", F.expr(f"regexp_extract({phrase}, {lit(first)}, 2)")).withColumn(
+        "lead", F.length(F.expr(f"regexp_extract({phrase}, {lit(first)}, 1)"))).where("key <> ''")
+
+
+def text_keys(texts: DataFrame, id_cols: list[str]) -> DataFrame:
+    """(ids, key, at): each word, and each two neighbouring words with what stands between them."""
+    x, i = fresh("x"), fresh("i")
+    ones = f"transform(w, {x} -> named_struct('key', {x}.o, 'at', {x}.s))"
+    twos = (f"transform(slice(w, 1, greatest(size(w) - 1, 0)), ({x}, {i}) -> "
+            f"named_struct('key', substring(low, {x}.s + 1, w[{i} + 1].e - {x}.s), 'at', {x}.s))")
+    words = texts.select(*id_cols, F.expr(tx.folded("text")).alias("low")).withColumn("w", F.expr(spans("low", WORD_RUN)))
+    return words.select(*id_cols, F.explode(F.expr(f"concat({ones}, {twos})")).alias("g")).select(*id_cols, "g.key", "g.at")
+
+
+def occurs(t: str, low: str, c: str) -> str:
+    """Does the candidate's whole phrase stand at its place, as a whole word?"""
+    return (f"({c}.s >= 0 and substring({low}, {c}.s + 1, {c}.n) = {c}.w "
+            f"and not substring({t}, {c}.s + {c}.n + 1, 1) rlike {lit(tx.WORD)} "
+            f"and not ({c}.s > 0 and substring({t}, {c}.s, 1) rlike {lit(tx.WORD)}))")
+
 
-    ``lexicon``: (list, wrong, right).  Only word counts that occur in the
-    lexicon are generated; the phrase join decides.  Phrases with characters
-    other than word characters and single blanks use ``phrase_hits``.
+def table_entries(lexicon: DataFrame) -> DataFrame:
+    """(c, k, w, g, p, key, lead) of a lexicon table; code 0 marks protected terms.
+
+    Phrases without a letter or digit cannot be met by words; they belong in an inline lexicon.
     """
-    lex = (lexicon.where(F.expr(rf"wrong rlike {lit(r'^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*$')}"))
-           .select("list", F.lower("wrong").alias("phrase"), "wrong", "right"))
-    sizes = [r[0] for r in lex.select(F.size(F.split("phrase", " "))).distinct().limit(33).collect()]
-    if len(sizes) > 32:
-        raise ValueError("phrases of more than 32 different word counts")
-    found = spans("text", r"[\p{L}\p{N}_]+")
-    grams = []
-    for n in sorted(sizes):
-        x, i = fresh("x"), fresh("i")
-        last = f"w[{i} + {n - 1}]"
-        piece = f"{x}.o" if n == 1 else f"substring(text, {x}.s + 1, {last}.e - {x}.s)"
-        grams.append(
-            f"transform(slice(w, 1, greatest(size(w) - {n - 1}, 0)), ({x}, {i}) -> "
-            f"named_struct('s', {x}.s, 'e', {last}.e, 'o', {piece}))")
-    words = content.select(*id_cols, "text", F.expr(found).alias("w"))
-    rows = (words.select(*id_cols, F.explode(F.expr(f"concat({', '.join(grams)})")).alias("g"))
-            .select(*id_cols, F.col("g.s").alias("span_start"), F.col("g.e").alias("span_end"),
-                    F.col("g.o").alias("original"), F.lower("g.o").alias("phrase")))
-    small = lex.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    side = F.broadcast(lex) if small else lex
-    return (rows.join(side, "phrase")
-            .select(*id_cols, "list", "span_start", "span_end", "original", F.col("right").alias("suggestion")))
+    rows = lexicon.where("trim(coalesce(wrong, right, '')) <> ''")
+    norm = F.trim(F.regexp_replace("right", r"\s+", " "))
+    canonical = (rows.where(F.col("list").isin("brand_terms", "protected_terms", "do_not_change", "product_terms"))
+                 .select(F.lower(F.trim("right")).alias("same")).where("same <> ''").distinct())
+    codes = ("case list when 'preferred_spellings' then array(650) when 'product_terms' then array(660) when 'missing_tone_map' then array(670) "
+             "when 'wrong_tone_map' then array(680) when 'preferred_wording' then array(690, 740) "
+             "when 'risky_words' then array(case priority when 'high' then 700 when 'low' then 702 else 701 end) end")
+    phrases = (rows.where("wrong is not null").where("list not in ('preferred_spellings', 'product_terms') or wrong <> right")
+               .withColumn("c", F.explode(F.expr(codes))))
+    # longer phrases come first, but spellings and sentence starts keep the order of the table
+    order = W.partitionBy("c").orderBy(F.expr("if(c in (650, 740), 0, -length(wrong))"), "ord", "wrong")
+    fixed = f"right rlike {lit(tx.FIXED_CASE)}"
+    shaped = f"c in (670, 680, 690, 660, 740) and same is null and not {fixed}"
+    phrases = phrases.join(canonical, F.lower(F.trim(F.col("right"))) == F.col("same"), "left").select(
+        F.col("c").cast("int").alias("c"), (F.row_number().over(order) + TABLE_ORDER).alias("k"), F.expr(tx.folded("wrong")).alias("w"),
+        F.when(F.col("c").between(700, 702), F.lit(None)).otherwise(F.col("right")).alias("g"), F.expr(shaped).alias("p"))
+    brands = phrase_keys(rows.where("list = 'brand_terms'").select(F.expr(tx.folded("right")).alias("w"))).select("w", "key")
+    named = phrases.where("c = 650").select(F.col("g").alias("text")).distinct()
+    named = text_keys(named.withColumn("id", F.col("text")), ["id"]).join(brands, "key").where(f"contains({tx.folded('id')}, w)").select(
+        F.col("id").alias("named")).distinct()
+    phrases = phrases.join(named, F.col("g") == F.col("named"), "left").withColumn(
+        "c", F.expr("cast(if(c = 650 and named is not null, 651, c) as int)")).drop("named")
+    terms = rows.where(F.col("list").isin("brand_terms", "protected_terms", "do_not_change", "product_terms", "preferred_spellings")).select(
+        F.expr(tx.folded("trim(regexp_replace(right, '\\\\s+', ' '))")).alias("w")).where("w <> ''").distinct()
+    terms = terms.select(F.lit(0).alias("c"), F.lit(0).alias("k"), "w", F.lit(None).cast("string").alias("g"), F.lit(False).alias("p"))
+    return phrase_keys(phrases.unionByName(terms))
+
+
+TABLE_ORDER = 1_000_000  # entries of a table come after inline ones of the same rule
+
+
+def with_candidates(content: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``content`` plus ``_candidates``: where phrases of the lexicon table may stand in each text.
+
+    Words meet the phrases' first words in one join whose sides Spark broadcasts or shuffles by
+    their size; a text gets its candidates back by a hash of its row.
+    """
+    keyed = content.withColumn("_row", F.sha2(F.to_json(F.struct(*content.columns)), 256))
+    entries = table_entries(lexicon)
+    met = text_keys(keyed.select("_row", "text"), ["_row"]).join(entries, "key")
+    item = F.struct("c", "k", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), "w", "g", "p")
+    found = met.groupBy("_row").agg(F.collect_set(item.cast(CANDIDATE_TYPE)).alias("_candidates"))
+    return keyed.join(found, "_row", "left").withColumn(
+        "_candidates", F.coalesce("_candidates", F.expr(f"cast(array() as array<{CANDIDATE_TYPE}>)"))).drop("_row")
+
+
+def candidate_hits(t: str, low: str, caption: str, headings: str, candidates: str, rules: set[int]) -> str:
+    """Hits of a lexicon table from the candidates of the text."""
+    c, d = fresh("c"), fresh("d")
+    wanted = f"{c}.c div 10 in ({', '.join(map(str, sorted(rules)))})"
+    keep = f"{wanted} and {occurs(t, low, c)} and ({c}.c <> 740 or {_initial(t, caption, f'{c}.s')})"
+    raw = (f"transform(filter({candidates}, {c} -> {keep}), {d} -> named_struct('r', {d}.c, 'k', {d}.k, 's', {d}.s, "
+           f"'e', {d}.s + {d}.n, 'o', substring({t}, {d}.s + 1, {d}.n), 'g', {d}.g, 'p', {d}.p))")
+    return cased(raw, headings)
+
+
+def candidate_terms(t: str, low: str, candidates: str) -> str:
+    """J3 for a lexicon table: merged ranges of its protected terms."""
+    c, d = fresh("c"), fresh("d")
+    return merge_ranges(f"transform(filter({candidates}, {c} -> {c}.c = 0 and {occurs(t, low, c)}), "
+                        f"{d} -> named_struct('s', {d}.s, 'e', {d}.s + {d}.n))")
+
+
+def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Plain phrase occurrences for a lexicon of any size: (list, wrong, right) met by words."""
+    lex = phrase_keys(lexicon.select("list", F.expr(tx.folded("wrong")).alias("w"), "right").where("w <> ''"))
+    met = text_keys(content, id_cols).join(lex, "key")
+    item = F.struct("list", "right", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"))
+    found = met.groupBy(*id_cols).agg(F.collect_list(item).alias("c"))
+    texts = content.select(*id_cols, "text").join(found, id_cols).withColumn("low", F.expr(tx.folded("text")))
+    c = fresh("c")
+    rows = texts.withColumn("c", F.expr(f"filter(c, {c} -> {occurs('text', 'low', c)})")).select(*id_cols, "text", F.explode("c").alias("c"))
+    return rows.select(*id_cols, "c.list", F.col("c.s").alias("span_start"), F.expr("c.s + c.n").alias("span_end"),
+                       F.expr("substring(text, c.s + 1, c.n)").alias("original"), F.col("c.right").alias("suggestion"))

@@ -142,13 +142,22 @@ def test_risky_words_bypass_guards(spark):
     assert got == {("thất bại", "medium"), ("phá sản", "high")}
 
 
-def test_large_lexicon_join_equals_inline(spark):
+def test_a_lexicon_table_gives_what_an_inline_lexicon_gives(spark):
     from redpencil.operators.checker import rule_hits
     from redpencil.operators.dictionary import joined_hits
 
-    lex = Lexicon(missing_tone_map={"bao mat": "bảo mật", "toc": "tốc"})
-    df = spark.createDataFrame([("1", "Toc do va bao mat, toc!"), ("2", "baomat")], "source_id string, text string")
-    inline = rule_hits(df, lex, {67}, ["source_id"], guard=False, resolve=False)
-    joined = joined_hits(df, lex.to_df(spark), ["source_id"])
-    key = lambda d: sorted((r["source_id"], r["span_start"], r["span_end"], r["original"]) for r in d.collect())
-    assert key(inline) == key(joined) and len(key(inline)) == 3
+    lex = Lexicon(
+        brand_terms=["Blue-Door", "R&D Lab"], do_not_change=["old mill"], product_terms={"blue door": "Blue-Door", "c++ club": "C++ Club", "a.b": "A.B"},
+        preferred_spellings={"teh": "the", "blu": "Blue-Door shop"}, missing_tone_map={"bao mat": "bảo mật", "toc": "tốc"},
+        preferred_wording={"very very good idea": "fine idea"}, risky_words={"boom": ("high", ""), "bang-bang": ("low", "")})
+    texts = ["Teh blue door and the c++ club, a.b? BOOM bang-bang!", "Very very good idea. Very very good idea", "toc bao mat, toc", "baomat teh-teh _teh blu",
+             "GRAND blue door OPENING PARTY TODAY\nold mill teh R&D Lab", "", "no hit at all"]
+    df = spark.createDataFrame([("w", "caption", str(i), t) for i, t in enumerate(texts)], "workspace_id string, source_type string, source_id string, text string")
+    rules = {65, 66, 67, 68, 69, 70, 74}
+    key = lambda d: sorted((r["source_id"], r["span_start"], r["span_end"], r["original"], r["suggestion"], r["reason_code"]) for r in d.collect())
+    inline, table = check(df, lex, rules), check(df, Lexicon(), rules, table=lex.to_df(spark))
+    assert key(inline) == key(table) and len(key(inline)) >= 12
+    plain = rule_hits(df.select("source_id", "text"), Lexicon(missing_tone_map=lex.missing_tone_map), {67}, ["source_id"], guard=False, resolve=False)
+    joined = joined_hits(df.select("source_id", "text"), Lexicon(missing_tone_map=lex.missing_tone_map).to_df(spark), ["source_id"])
+    spans = lambda d: sorted((r["source_id"], r["span_start"], r["span_end"], r["original"]) for r in d.collect())
+    assert spans(plain) == spans(joined) and len(spans(plain)) == 3
