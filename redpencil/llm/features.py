@@ -45,6 +45,18 @@ def counted(buckets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarra
     return at, total[at].astype(float)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, kind: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
+    """Whole texts and labels of a bounded sample.
+
+    The sample is drawn from the narrow label rows and is broadcast (about ``per_label`` rows of
+    each label), so the texts of all other documents never leave the scan.
+    """
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast(kind).alias("label"))
+    chosen = bounded_sample(known, "label", "id", per_label)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(chosen), "id").select("text", "label")
+
+
 def bounded_sample(labelled: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
     """About ``per_label`` rows of each label, chosen by a hash of the id.
 

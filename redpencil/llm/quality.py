@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redpencil.llm.common import arrow_rows
-from redpencil.llm.features import bounded_sample, codes, counted, ngram_buckets
+from redpencil.llm.features import codes, counted, labelled_sample, ngram_buckets
 
 BITS = 16
 SIZES = (2, 3)
@@ -83,11 +83,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     return w, np.cumsum(np.r_[free[0], np.exp(free[1:])])
 
 
-def train(rated: DataFrame, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, rated: DataFrame | None = None, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text",
           per_label: int = PER_LABEL) -> dict | None:
-    """Fit on a bounded sample of rows with a grade (any ordered numbers), whole texts; None without two grades."""
-    rows = rated.where(F.col(grade_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(grade_col).cast("double").alias("grade"))
+    """Fit on a bounded sample of the documents with a grade (any ordered numbers), whole texts; None without two grades.
+
+    ``rated`` has id and grade; without it the documents carry the grade themselves.
+    """
     taken = T.StructType([T.StructField("grade", T.DoubleType()), T.StructField("at", T.ArrayType(T.IntegerType())),
                           T.StructField("x", T.ArrayType(T.FloatType()))])
     made = T.StructType([T.StructField("grades", T.ArrayType(T.DoubleType())), T.StructField("thresholds", T.ArrayType(T.DoubleType())),
@@ -108,7 +109,8 @@ def train(rated: DataFrame, grade_col: str = "grade", id_col: str = "doc_id", te
             w, t = fit(data, np.searchsorted(levels, grades), len(levels))
             yield from arrow_rows([[{"grades": levels, "thresholds": t.tolist(), "weights": w.tolist()}]], made)
 
-    sample = bounded_sample(rows, "grade", "id", per_label).select("text", "grade").mapInArrow(hashed, taken)
+    rows = labelled_sample(docs, docs if rated is None else rated, grade_col, "double", id_col, text_col, per_label)
+    sample = rows.mapInArrow(hashed, taken)
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("at", "x"), "grade")  # a fixed order
     found = one.mapInArrow(learn, made).collect()
     if not found:

@@ -22,7 +22,7 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(fold(F.col("doc_id")), F.lit(5)) == 3
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", grade.alias("grade"))
-    model = quality.train(docs.select("doc_id", "text").where(~held_out).join(rated, "doc_id"))
+    model = quality.train(docs.where(~held_out), rated)
     return quality.rate(docs, model, tail=1, held_out=held_out)
 
 
@@ -95,8 +95,7 @@ def _toxic_held_out() -> Column:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The machine, trained on the labelled documents outside the held-out third."""
-    known = labels.where(~_toxic_held_out()).select("doc_id", "toxic")
-    return toxicity.train(docs.select("doc_id", "text").where(~_toxic_held_out()).join(known, "doc_id"))
+    return toxicity.train(docs.where(~_toxic_held_out()), labels.where(~_toxic_held_out()))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redpencil.llm.common import arrow_rows
-from redpencil.llm.features import bounded_sample
+from redpencil.llm.features import labelled_sample
 
 PER_LABEL = 1500     # texts of each label that the machine is trained on
 LANDMARKS = 256
@@ -231,11 +231,12 @@ def _platt(value: np.ndarray, truth: np.ndarray, steps: int = 200) -> dict:
     return {"slope": float(max(w[0], 0.1)), "shift": float(w[1])}
 
 
-def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           per_label: int = PER_LABEL) -> dict | None:
-    """Fit on a bounded sample of rows with a 0/1 label, whole texts; None if there is no such row."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+    """Fit on a bounded sample of the documents with a 0/1 label, whole texts; None if there is none.
+
+    ``labels`` has id and label; without it the documents carry the label themselves.
+    """
     bag = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
     made = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]
                         + [T.StructField(k, T.DoubleType()) for k in ("bias", "slope", "shift")])
@@ -255,7 +256,8 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
             yield from arrow_rows([[{"codes": at.tolist(), "weights": model["table"][at].tolist(),
                                      **{k: model[k] for k in ("bias", "slope", "shift")}}]], made)
 
-    sample = bounded_sample(rows, "label", "id", per_label).select("text", "label").mapInArrow(bags, bag)
+    rows = labelled_sample(docs, docs if labels is None else labels, label_col, "int", id_col, text_col, per_label)
+    sample = rows.mapInArrow(bags, bag)
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("words"), "label")  # a fixed order
     found = one.mapInArrow(learn, made).collect()
     if not found:
