@@ -28,6 +28,7 @@ SPAN = 6             # characters that a matching triple may stretch over
 DECAY = 0.7          # weight of each character of that stretch
 LONGEST = 24         # longer words are compared by overlapping windows
 ALPHABET = 64        # 0 pads, 1 starts a word, then digits and letters; others share the rest
+DECIDED = 4_000      # words whose matrices are in memory at a time
 COMMON = 0.25        # words this often in toxic texts, against the text's most shared one, are examples too
 NO_WORDS = -3.0      # decision value of a text without words
 _OFFSETS = list(combinations(range(1, SPAN), 2))
@@ -151,8 +152,8 @@ def decide(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """Decision value of each word."""
     out = np.zeros(len(words))
     order = sorted(range(len(words)), key=lambda k: len(words[k]))  # words of like length share a matrix
-    for at in range(0, len(order), 50_000):
-        some = order[at:at + 50_000]
+    for at in range(0, len(order), DECIDED):
+        some = order[at:at + DECIDED]
         part = [words[k] for k in some]
         total = np.zeros(len(part))
         for code, weight in triples(part):
