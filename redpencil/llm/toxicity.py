@@ -8,7 +8,9 @@ order three, in which each matching triple of characters counts less the longer
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -22,12 +24,12 @@ from pyspark.sql import types as T
 from redpencil.llm.common import arrow_rows
 from redpencil.llm.features import labelled_sample
 
-PER_LABEL = 1500     # texts of each label that the machine is trained on
+PER_LABEL = 2500     # texts of each label that the machine is trained on
 LANDMARKS = 256
 SPAN = 6             # characters that a matching triple may stretch over
 DECAY = 0.7          # weight of each character of that stretch
 LONGEST = 24         # longer words are compared by overlapping windows
-ALPHABET = 64        # 0 pads, 1 starts a word, then digits and letters; others share the rest
+ALPHABET = 64        # 0 pads, 1 starts and 2 ends a word, then digits and letters; others share the rest
 DECIDED = 4_000      # words whose matrices are in memory at a time
 COMMON = 0.25        # words this often in toxic texts, against the text's most shared one, are examples too
 NO_WORDS = -3.0      # decision value of a text without words
@@ -37,10 +39,10 @@ _MARKS = re.compile(r"[\W_]+")
 
 
 def _classes() -> np.ndarray:
-    table = 38 + np.arange(1 << 16) % (ALPHABET - 38)
-    table[0], table[1] = 0, 1
-    table[ord("0"):ord("9") + 1] = np.arange(2, 12)
-    table[ord("a"):ord("z") + 1] = np.arange(12, 38)
+    table = 39 + np.arange(1 << 16) % (ALPHABET - 39)
+    table[0], table[1], table[2] = 0, 1, 2
+    table[ord("0"):ord("9") + 1] = np.arange(3, 13)
+    table[ord("a"):ord("z") + 1] = np.arange(13, 39)
     return table.astype(np.int32)
 
 
@@ -65,9 +67,9 @@ def units(chunk: str) -> list[str]:
 
 
 def _matrix(words: list[str]) -> np.ndarray:
-    """Character classes of words, a start mark before and padding behind."""
-    wide = max(map(len, words)) + 1
-    flat = "".join(["\x01" + w.ljust(wide - 1 + SPAN, "\0") for w in words])
+    """Character classes of words, a mark before and one after each, and padding behind."""
+    wide = max(map(len, words)) + 2
+    flat = "".join(["\x01" + (w + "\x02").ljust(wide - 1 + SPAN, "\0") for w in words])
     points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")
     return _CLASS[points & 0xFFFF].reshape(len(words), wide + SPAN)
 
@@ -172,13 +174,22 @@ def fit(bags: list[set[str]], labels: list[int], rounds: int = 4) -> dict:
     back = [k for k in range(len(bags)) if k % 4 == 3] if len(bags) >= 40 else own
     bad = [sorted(bags[k]) for k in own if labels[k] == 1]
     clean = Counter(w for k in own if labels[k] != 1 for w in bags[k])
-    novel = Counter(w for words in bad for w in words if w not in clean)
-    # first guess: of the words that no clean text has, those that most toxic texts share, text by text
+    # how many unlike toxic texts share a word that no clean text has: near copies, which share
+    # such words by the dozen, count once
+    kin = [min((zlib.crc32(w.encode()) for w in words if w not in clean), default=0) for words in bad]
+    shared: dict[str, set[int]] = {}
+    for words, group in zip(bad, kin, strict=True):
+        for w in words:
+            if w not in clean:
+                shared.setdefault(w, set()).add(group)
+    novel = {w: len(groups) for w, groups in shared.items()}
+    # first guess: of each text the words that most others share
+    least = min(3, max(novel.values(), default=0))
     positive: Counter = Counter()
     for words in bad:
         mine = [w for w in words if w in novel]
         top = max(map(novel.__getitem__, mine), default=0)
-        positive.update(w for w in mine if novel[w] >= max(COMMON * top, min(3, top)))
+        positive.update(w for w in mine if novel[w] >= max(COMMON * top, least))
     guess = set(positive)
     usual = [w for w, _ in sorted(clean.items(), key=lambda e: (-e[1], e[0]))]
     if not positive or not usual:
@@ -187,27 +198,30 @@ def fit(bags: list[set[str]], labels: list[int], rounds: int = 4) -> dict:
     rng = np.random.default_rng(11)
     rare = [usual[k] for k in sorted(rng.choice(len(usual), min(len(usual), 6000), replace=False))]
     landmarks = sorted({*ranked[:LANDMARKS // 2], *usual[:LANDMARKS // 4], *rare[:LANDMARKS // 4]})
-    mix = whiten(kernel(landmarks, landmarks))
     negative = sorted({*usual[:3000], *rare})
     table, bias = None, 0.0
     for _ in range(rounds):
         pos = sorted(positive)
         words = pos + [w for w in negative if w not in positive]
         y = np.r_[np.ones(len(pos)), -np.ones(len(words) - len(pos))]
-        share = np.r_[np.sqrt([positive[w] for w in pos]), np.ones(len(words) - len(pos))]
+        # a word counts by the texts it would decide, with falling weight
+        share = np.r_[np.sqrt([positive[w] for w in pos]), [1 + math.log(clean[w]) for w in words[len(pos):]]].astype(float)
         share[:len(pos)] /= share[:len(pos)].sum()
         share[len(pos):] /= share[len(pos):].sum()
+        mix = whiten(kernel(landmarks, landmarks))
         w, bias = hinge(kernel(words, landmarks) @ mix, y, share)
         table = fold_in(landmarks, mix @ w)
-        # the worst words of clean texts become examples; of each toxic text the worst word counts,
-        # and any other beyond the margin
+        # the worst words of clean texts become examples; of each toxic text the worst word counts
+        # unless it looks clean, and any other beyond the margin
         value = decide(usual, table, bias)
         worst = np.argsort(-value, kind="stable")[:1500]
         negative = sorted({*negative, *(usual[k] for k in worst if value[k] > -1)})
+        landmarks = sorted({*landmarks, *(usual[k] for k in worst[:LANDMARKS // 8])})
         fresh = sorted(novel)
         score = dict(zip(fresh, decide(fresh, table, bias), strict=True))
         positive = Counter({w: 1 for w in fresh if score[w] > 1 or w in guess})
-        positive.update(max(mine, key=score.__getitem__) for words in bad if (mine := [w for w in words if w in score]))
+        tops = [max(mine, key=score.__getitem__) for words in bad if (mine := [w for w in words if w in score])]
+        positive.update(w for w in tops if score[w] > -0.5)
     top = np.array([_worst(bags[k], table, bias) for k in back])
     truth = np.array([labels[k] == 1 for k in back])
     return {"table": table, "bias": bias, **_platt(top, truth)}

@@ -12,7 +12,7 @@ def slow_kernel(a, b):
     """Sum over shared triples, in the open."""
     def features(word):
         out = {}
-        ids = [1] + [int(tox._CLASS[ord(c) & 0xFFFF]) for c in word]
+        ids = [1] + [int(tox._CLASS[ord(c) & 0xFFFF]) for c in word] + [2]
         for i, j, k in combinations(range(len(ids)), 3):
             if k - i < tox.SPAN:
                 key = (ids[i], ids[j], ids[k])
