@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redpencil.functions.exprs import CLOSE, MID, OPEN, SEP
 from redpencil.lexicon import Lexicon
-from redpencil.session import spread
 
 IDS = ["doc_id"]
 
@@ -62,11 +61,11 @@ POSTS = (
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, each followed by announcement lines built from its columns."""
-    return spread(view(spark, sf_dir, POSTS, "documents"))
+    return view(spark, sf_dir, POSTS, "documents")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 # -- oracle helpers -------------------------------------------------------------------

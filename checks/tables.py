@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from redpencil.operators import boxes as bx
 from redpencil.operators import candidates as cd
 from redpencil.operators import checker, decisions as dc, patches as pt, ranges as rg
 from redpencil.plans import report as rp
-from redpencil.session import spread
+from redpencil.session import shared_folder
 from redpencil.sources import lexicons as lx
 from redpencil.sources import replies as rl
 from redpencil.streaming import incremental as inc
@@ -227,7 +227,7 @@ def _merge_sql(src: str) -> str:
 
 def _ranges(kind):
     def run(spark, d):
-        src = (spread(table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")) if kind == "url"
+        src = (table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")) if kind == "url"
                else documents(spark, d))
         e = rg.url_ranges("text", "lower(text)") if kind == "url" else rg.term_ranges(
             "lower(text)", ["the of", "of the", "the", "les", "de la", "and in"])
@@ -673,7 +673,7 @@ shared("box_read_status", lambda s, d: bx.read_status(boxes(s, d)),
 _PLAIN = lambda s, d: boxes(s, d).withColumn("visual_role", F.lit("graphic_text")).withColumn("visual_should_check", F.lit(True))
 _TINY = f"({_AL} <= 2 and not regexp_matches(text, '[0-9]'))"
 shared("box_low_confidence", lambda s, d: bx.low_confidence_issues(_PLAIN(s, d)).select("box_id", "original", "reason", "confidence"),
-       f"select box_id, substr(text, 1, 80) as original, concat('Text may be misread (', cast(floor(confidence * 100 + 0.5) as int), '%).') as reason, confidence from {_BX} where trim(text) <> '' and not ({_TINY} and confidence < 0.62) and confidence < 0.5")
+       f"select box_id, text as original, concat('Text may be misread (', cast(floor(confidence * 100 + 0.5) as int), '%).') as reason, confidence from {_BX} where trim(text) <> '' and not ({_TINY} and confidence < 0.62) and confidence < 0.5")
 shared("box_reviewable", lambda s, d: boxes(s, d).where(bx.REVIEWABLE).select("box_id"),
        f"select box_id from {_BX} where trim(text) <> '' and not {_TINY} and confidence >= 0.5")
 
@@ -693,7 +693,7 @@ shared("box_batches", lambda s, d: bx.budget_batches(boxes(s, d)),
          from r join b on b.workspace_id = r.workspace_id and b.k = r.k + 1) select workspace_id, ord, box_id, batch_id from r""")
 _SCORE = (r"(case when confidence < 0.8 then 5 when confidence < 0.9 then 3 else 0 end + case when regexp_matches(text, '[;:]') then 3 else 0 end "
           r"+ case when regexp_matches(text, ' {2,}|#\s+|\S +[.,!?;:]') then 5 else 0 end + case when regexp_matches(lower(text), 'đối tượng|hình thức|thời gian|địa điểm|deadline|hạn chót|đăng ký|tham gia|giải thưởng|thể lệ|lưu ý|link|form') then 4 else 0 end "
-          r"+ case when regexp_matches(lower(text), 'starter|ai agent|non-tech|no-tech') then 3 else 0 end + case when length(text) <= 140 then 1 else 0 end)")
+          r"+ case when length(text) <= 140 then 1 else 0 end)")
 shared("box_top_k", lambda s, d: bx.review_top_k(boxes(s, d)).select("workspace_id", "box_id", "score", "rank"),
        f"""with s as (select *, {_SCORE} as score from {_BX}), r as (select *, row_number() over (partition by workspace_id order by score desc, confidence, ord) as rank,
        count(*) over (partition by workspace_id) as n, count(*) filter (score > 0) over (partition by workspace_id) as pos from s)
@@ -880,7 +880,7 @@ def _stream(spark, d, name: str):
 def _run(stream, mode: str):
     """Run a stream over what is there now and read its sink."""
     spark = stream.sparkSession
-    folder = tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q_ = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
               .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())

@@ -179,14 +179,15 @@ def read_status(boxes: DataFrame) -> DataFrame:
         "ocr_status", F.expr("if(avg_confidence < 0.6, 'low_confidence', 'done')"))
 
 
-def low_confidence_issues(boxes: DataFrame) -> DataFrame:
-    """Poorly read boxes become review issues (tiny noise is skipped)."""
+def low_confidence_issues(boxes: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Poorly read boxes become review issues (tiny noise is skipped), quoted whole or up to ``max_chars``."""
+    quote = "text" if max_chars is None else f"substring(text, 1, {max_chars})"
     rows = boxes.where(f"{CHECKABLE} and not ({TINY_NOISE} and confidence < 0.62) and confidence < 0.5")
     return rows.select(
         F.concat(F.lit("issue_ocrconf_"), "box_id").alias("issue_id"), F.lit("image").alias("source_type"),
         F.col("asset_id").alias("source_id"), "box_id", F.lit("ocr_low_confidence").alias("type"),
-        F.lit("needs_review").alias("severity"), F.expr("substring(text, 1, 80)").alias("original"),
-        F.expr("substring(text, 1, 80)").alias("suggestion"),
+        F.lit("needs_review").alias("severity"), F.expr(quote).alias("original"),
+        F.expr(quote).alias("suggestion"),
         F.expr("concat('Text may be misread (', cast(floor(confidence * 100 + 0.5) as int), '%).')").alias("reason"),
         "confidence", F.lit(False).alias("is_definite"), "bbox", F.lit("open").alias("status"),
         F.lit("ocr_service").alias("created_by"))
@@ -198,11 +199,13 @@ def rule_boxes(boxes: DataFrame) -> DataFrame:
         "workspace_id", F.lit("image").alias("source_type"), F.col("asset_id").alias("source_id"), "box_id", "text")
 
 
+# Budget of a batch.
 MAX_BATCH_BOXES, MAX_BATCH_CHARS, BATCH_OVERHEAD = 36, 5200, 80
 
 
-def budget_batches(boxes: DataFrame, group: str = "workspace_id") -> DataFrame:
-    """Consecutive boxes share a batch until 36 boxes or 5200 characters.
+def budget_batches(boxes: DataFrame, group: str = "workspace_id", max_boxes: int = MAX_BATCH_BOXES,
+                   max_chars: int = MAX_BATCH_CHARS, overhead: int = BATCH_OVERHEAD) -> DataFrame:
+    """Consecutive boxes share a batch until ``max_boxes`` boxes or ``max_chars`` characters; every box gets one.
 
     The running budget resets at every cut, so a group is read in order; rows
     stream through one task with constant memory (no group is collected).
@@ -215,10 +218,10 @@ def budget_batches(boxes: DataFrame, group: str = "workspace_id") -> DataFrame:
         for pdf in batches:
             ids = []
             for g, n in zip(pdf[group], pdf["n"]):
-                cost = n + BATCH_OVERHEAD
+                cost = n + overhead
                 if g != current:
                     current, batch, count, chars = g, 0, 0, 0
-                elif count >= MAX_BATCH_BOXES or chars + cost > MAX_BATCH_CHARS:
+                elif count >= max_boxes or chars + cost > max_chars:
                     batch, count, chars = batch + 1, 0, 0
                 count, chars = count + 1, chars + cost
                 ids.append(batch)
@@ -229,8 +232,9 @@ def budget_batches(boxes: DataFrame, group: str = "workspace_id") -> DataFrame:
         cut, f"{group} {kind[group]}, ord {kind['ord']}, box_id {kind['box_id']}, batch_id int")
 
 
-def review_score(text: str, confidence: str) -> str:
-    """How much a box deserves a look."""
+def review_score(text: str, confidence: str, words: tuple[str, ...] = ()) -> str:
+    """How much a box deserves a look; ``words`` are names that deserve one by themselves."""
+    # Words of labels.
     labels = ("đối tượng|hình thức|thời gian|địa điểm|deadline|hạn chót|đăng ký|tham gia|giải thưởng|thể lệ|"
               "lưu ý|link|form")
     date = fresh("d")
@@ -241,27 +245,36 @@ def review_score(text: str, confidence: str) -> str:
             f"+ if({text} rlike '[;:]', 3, 0) + if({ok}, 3, 0) "
             f"+ if({text} rlike {lit(rf' {{2,}}|#{tx.WS}+|{tx.NOT_WS} +[.,!?;:]')}, 5, 0) "
             f"+ if(lower({text}) rlike {lit(labels)}, 4, 0) "
-            f"+ if(lower({text}) rlike 'starter|ai agent|non-tech|no-tech', 3, 0) "
-            f"+ if(length({text}) <= 140, 1, 0))")
+            + (f"+ if(lower({text}) rlike {lit('|'.join(tx.escape(x.lower()) for x in words))}, 3, 0) " if words else "")
+            + f"+ if(length({text}) <= 140, 1, 0))")
 
 
-def review_top_k(boxes: DataFrame, group: str = "workspace_id") -> DataFrame:
-    """All boxes of small groups; of others the 10..24 best-scored.
+# A quick look takes at least and at most so many boxes.
+FEWEST, MOST = 10, 24
 
-    k depends on how many score above zero, capped at 24, so only the top 24
-    rows per group are ever ranked against each other (grouped rank limit).
+
+def review_top_k(boxes: DataFrame, group: str = "workspace_id", fewest: int = FEWEST, most: int = MOST,
+                 words: tuple[str, ...] = ()) -> DataFrame:
+    """All boxes of small groups; of others the ``fewest`` .. ``most`` best-scored.
+
+    k depends on how many score above zero, so only the top ``most`` rows per group are ever
+    ranked against each other (grouped rank limit).
     """
-    scored = boxes.withColumn("score", F.expr(review_score("text", "confidence")))
+    scored = boxes.withColumn("score", F.expr(review_score("text", "confidence", words)))
     totals = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("score") > 0).alias("_pos"))
     w = W.partitionBy(group).orderBy(F.desc("score"), F.asc("confidence"), F.asc("ord"))
-    top = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 24")
-    return (top.join(totals, group).where("_n <= 24 or rank <= least(24, greatest(10, _pos))").drop("_n", "_pos"))
+    top = scored.withColumn("rank", F.row_number().over(w)).where(f"rank <= {most}")
+    return (top.join(totals, group).where(f"_n <= {most} or rank <= least({most}, greatest({fewest}, _pos))").drop("_n", "_pos"))
+
+
+# Detected texts taken over for an asset.
+MAX_DETECTED = 16
 
 
-def add_detected(boxes: DataFrame, detected: DataFrame) -> DataFrame:
-    """First 16 detected texts per asset that no box reads already."""
+def add_detected(boxes: DataFrame, detected: DataFrame, most: int = MAX_DETECTED) -> DataFrame:
+    """The first ``most`` detected texts per asset that no box reads already."""
     w = W.partitionBy("asset_id").orderBy("ord")
-    d = (detected.where("trim(text) <> ''").withColumn("_n", F.row_number().over(w)).where("_n <= 16")
+    d = (detected.where("trim(text) <> ''").withColumn("_n", F.row_number().over(w)).where(f"_n <= {most}")
          .withColumn("text", F.expr(f"trim({tx.collapse_ws('text')})"))
          .withColumn("confidence", F.expr("greatest(0.35D, least(0.82D, coalesce(confidence, 0.62D)))")))
     have = boxes.select("asset_id", F.expr(tx.comparable("text")).alias("_key")).distinct()

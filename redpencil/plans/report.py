@@ -13,6 +13,7 @@ from redpencil.operators.structure_rules import date_tokens, reformat_date
 ACTIVE = "status not in ('ignored', 'resolved')"
 OPEN = "status in ('open', 'needs_human_review')"
 
+# Labels of categories, violations and final statuses.
 CATEGORY = (
     "case when type = 'spacing' then 'Spacing' when type = 'punctuation' then 'Punctuation' "
     "when type = 'hashtag' then 'Hashtag' when type in ('brand_term', 'terminology') then 'Brand Style' "
@@ -50,8 +51,9 @@ def summary(issues: DataFrame, by: list[str]) -> DataFrame:
             .select(*by, "total_issues", "definite_errors", "suggestions", "needs_review", "by_severity", "by_source"))
 
 
-def sessions(content: DataFrame, issues: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """A2, A3: one row per text (and asset) with counts and final status."""
+def sessions(content: DataFrame, issues: DataFrame, assets: DataFrame | None = None, input_chars: int | None = None) -> DataFrame:
+    """A2, A3: one row per text (and asset) with counts and final status; the text is shown whole or
+    up to ``input_chars`` characters."""
     key = ["workspace_id", "source_type", "source_id"]
     i = issues.withColumn("category", F.expr(CATEGORY))
     per_cat = i.groupBy(*key, "category").agg(
@@ -61,7 +63,8 @@ def sessions(content: DataFrame, issues: DataFrame, assets: DataFrame | None = N
         F.sum("n").alias("issue_count"), F.max("review").alias("review"), F.max("open").alias("open"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_counts"))
     has_images = (assets.select("workspace_id").distinct().withColumn("_img", F.lit(True)) if assets is not None else None)
-    c = content.where("trim(text) <> ''").select(*key, F.expr("substring(trim(text), 1, 260)").alias("user_input"))
+    c = content.where("trim(text) <> ''").select(
+        *key, F.expr("trim(text)" if input_chars is None else f"substring(trim(text), 1, {input_chars})").alias("user_input"))
     if has_images is not None:
         c = c.join(has_images, "workspace_id", "left").withColumn(
             "format", F.expr("if(_img, 'Text + Image', 'Text')")).withColumn(

@@ -1,8 +1,10 @@
-"""Session helpers: settings that suit the engine, and lineage cuts that survive executor loss."""
+"""Session helpers: settings that suit the engine, and the folder that executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import SparkSession
 
 
 def build(master: str = "local[*]", app: str = "redpencil", **config: str) -> SparkSession:
@@ -15,28 +17,12 @@ def build(master: str = "local[*]", app: str = "redpencil", **config: str) -> Sp
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small table that sits in a single row group.
-
-    Larger inputs already come in many splits and are left as they are, so no
-    big table is ever shuffled for this.
-    """
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism * 2)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

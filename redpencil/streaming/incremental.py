@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from redpencil.lexicon import Lexicon
 from redpencil.operators.checker import check
-from redpencil.operators.decisions import fingerprint
+from redpencil.operators.candidates import merge_issues
+from redpencil.operators.decisions import NARROW, fingerprint
 
 
 def changed_content(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -27,7 +28,7 @@ def fast_issues(stream: DataFrame, lex: Lexicon, rules: set[int] | None = None)
 
 def with_decisions(stream: DataFrame, decided: DataFrame) -> DataFrame:
     """Stream-static join; ``decided`` holds one status per narrow key."""
-    key = ["source_type", "source_id", "original", "suggestion"]
+    key = NARROW
     d = decided.select(*key, F.col("status").alias("_status"))
     return (stream.join(d, key, "left").withColumn("status", F.coalesce("_status", "status")).drop("_status"))
 
@@ -38,11 +39,18 @@ def reject_stale(stream: DataFrame, current: DataFrame) -> DataFrame:
     return stream.join(now, "source_id", "left").withColumn("stale", F.expr("not (fingerprint <=> _now)")).drop("_now")
 
 
-def merge_sink(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that writes one directory per batch, so a replayed
-    batch overwrites itself (exactly once)."""
+def merge_sink(path: str, stored: DataFrame, keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that merges late candidates into the issues stored so far.
+
+    Batch n reads version n - 1 (at first the fast issues in ``stored``) and writes version n, so a
+    replayed batch overwrites its own version and nothing else.  ``candidates`` carry ``ord``.
+    """
+    spark = stored.sparkSession
+
     def write(batch: DataFrame, epoch: int) -> None:
-        merge(batch, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        before = stored if epoch == 0 else spark.read.schema(stored.schema).parquet(f"{path}/version={epoch - 1}")
+        merged = merge_issues(before, batch, keys).select(*before.columns)
+        merged.write.mode("overwrite").parquet(f"{path}/version={epoch}")
     return write
 
 
