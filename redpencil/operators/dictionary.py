@@ -22,7 +22,7 @@ from redpencil.lexicon import BUILTIN_SPELLINGS, Lexicon
 from redpencil.operators import ranges as rg
 
 WORD_RUN = r"[\p{L}\p{N}_]+"
-CANDIDATE_TYPE = "struct<c:int,k:int,s:int,n:int,w:string,g:string,p:boolean>"
+CANDIDATE_TYPE = "struct<c:int,k:int,s:int,n:int,w:string,g:string,p:boolean,x:boolean>"
 
 
 def entries(lex: Lexicon, rules: set[int] | None = None) -> list[tuple]:
@@ -122,8 +122,9 @@ def text_keys(texts: DataFrame, id_cols: list[str]) -> DataFrame:
 
 
 def occurs(t: str, low: str, c: str) -> str:
-    """Does the candidate's whole phrase stand at its place, as a whole word?"""
-    return (f"({c}.s >= 0 and substring({low}, {c}.s + 1, {c}.n) = {c}.w "
+    """Does the candidate's whole phrase stand at its place, as a whole word?  A phrase of one or two
+    words that is its own key has been compared by the join."""
+    return (f"({c}.x or {c}.s >= 0 and substring({low}, {c}.s + 1, {c}.n) = {c}.w "
             f"and not substring({t}, {c}.s + {c}.n + 1, 1) rlike {lit(tx.WORD)} "
             f"and not ({c}.s > 0 and substring({t}, {c}.s, 1) rlike {lit(tx.WORD)}))")
 
@@ -173,7 +174,7 @@ def with_candidates(content: DataFrame, lexicon: DataFrame) -> DataFrame:
     keyed = content.withColumn("_row", F.sha2(F.to_json(F.struct(*content.columns)), 256))
     entries = table_entries(lexicon)
     met = text_keys(keyed.select("_row", "text"), ["_row"]).join(entries, "key")
-    item = F.struct("c", "k", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), "w", "g", "p")
+    item = F.struct("c", "k", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), "w", "g", "p", (F.col("w") == F.col("key")).alias("x"))
     found = met.groupBy("_row").agg(F.collect_set(item.cast(CANDIDATE_TYPE)).alias("_candidates"))
     return keyed.join(found, "_row", "left").withColumn(
         "_candidates", F.coalesce("_candidates", F.expr(f"cast(array() as array<{CANDIDATE_TYPE}>)"))).drop("_row")
@@ -200,10 +201,11 @@ def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> D
     """Plain phrase occurrences for a lexicon of any size: (list, wrong, right) met by words."""
     lex = phrase_keys(lexicon.select("list", F.expr(tx.folded("wrong")).alias("w"), "right").where("w <> ''"))
     met = text_keys(content, id_cols).join(lex, "key")
-    item = F.struct("list", "right", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"))
+    item = F.struct("list", "right", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), (F.col("w") == F.col("key")).alias("x"))
     found = met.groupBy(*id_cols).agg(F.collect_list(item).alias("c"))
-    texts = content.select(*id_cols, "text").join(found, id_cols).withColumn("low", F.expr(tx.folded("text")))
+    texts = content.select(*id_cols, "text").join(found, id_cols)
     c = fresh("c")
-    rows = texts.withColumn("c", F.expr(f"filter(c, {c} -> {occurs('text', 'low', c)})")).select(*id_cols, "text", F.explode("c").alias("c"))
+    kept = let(tx.folded("text"), lambda low: f"filter(c, {c} -> {occurs('text', low, c)})")  # fold the text once
+    rows = texts.withColumn("c", F.expr(kept)).select(*id_cols, "text", F.explode("c").alias("c"))
     return rows.select(*id_cols, "c.list", F.col("c.s").alias("span_start"), F.expr("c.s + c.n").alias("span_end"),
                        F.expr("substring(text, c.s + 1, c.n)").alias("original"), F.col("c.right").alias("suggestion"))
