@@ -22,6 +22,22 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _word_ends(path: str):
+    """Which ids end a word, for tokenizers that mark word ends; None for others."""
+    import json
+
+    import numpy as np
+
+    model = json.loads(_encoder(path).to_str())["model"]
+    mark = model.get("end_of_word_suffix")
+    if not mark:
+        return None
+    flags = np.zeros(max(model["vocab"].values()) + 1, bool)
+    flags[[k for token, k in model["vocab"].items() if token.endswith(mark)]] = True
+    return flags
+
+
 class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes, by the words' lower-cased bytes."""
 
@@ -42,8 +58,26 @@ class WordIds:
             parts[w] = (head, core, tail) if plain else (w,)
         new = [p for p in {p for split in parts.values() for p in split} if p and p not in known]
         encode = _encoder(self.path).encode_batch_fast
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
+        ends = _word_ends(self.path)
+        letters = [p for p in new if p.decode().lower().isalpha()] if ends is not None else []
+        plain = set(letters)
+        other = [p for p in new if p not in plain]
+        for at in range(0, len(letters), 20_000):
+            # a word of letters is one unit of the tokenizer, whose last id says that the word ends:
+            # many such words are encoded as one line and cut apart at those ids
+            some = letters[at:at + 20_000]
+            lines = [b" ".join(some[k:k + 64]).decode() for k in range(0, len(some), 64)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in encode(lines, add_special_tokens=False)])
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                other += some  # a letter that the tokenizer does not take for one
+                continue
+            flat, start = ids.tobytes(), 0
+            for word, end in zip(some, (4 * cuts).tolist(), strict=True):
+                known[word] = flat[start:end]
+                start = end
+        for at in range(0, len(other), 20_000):
+            some = other[at:at + 20_000]
             for word, found in zip(some, encode([p.decode() for p in some], add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, "<u4").tobytes()
         known[b""] = b""
