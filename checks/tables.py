@@ -704,10 +704,17 @@ shared("text_bbox", lambda s, d: boxes(s, d).select("box_id", F.expr(cd.text_bbo
        m as (select *, greatest(cs + 1, least(e, stop)) as ce, greatest(4.0::double, floor(wd * 0.01 + 0.5)) as pad from n)
        select box_id, case when e <= 1 then x0 else greatest(x0, floor(x0 + (cs - lead) / n::double * wd - pad + 0.5)) end as x0,
          case when e <= 1 then x1 else least(x1, floor(x0 + (ce - lead) / n::double * wd + pad + 0.5)) end as x1 from m""")
-shared("box_detected", lambda s, d: bx.add_detected(boxes(s, d).where("ord % 3 = 0"), boxes(s, d).where("ord % 3 <> 0")).select("box_id", "text", "confidence"),
+shared("box_detected", lambda s, d: bx.add_detected(boxes(s, d).where("ord % 3 = 0"), bx.first_detected(boxes(s, d).where("ord % 3 <> 0"), 16)[0]).select("box_id", "text", "confidence"),
        rf"""with d as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t, row_number() over (partition by asset_id order by ord) as n from {_BX} where ord % 3 <> 0 and trim(text) <> '')
        select box_id, t as text, greatest(0.35, least(0.82, confidence)) as confidence from d where n <= 16 and not exists (select 1 from {_BX} b where b.ord % 3 = 0 and b.asset_id = d.asset_id
          and lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))) = lower(t))""")
+_NEW = rf"""with d as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from {_BX} where ord % 3 <> 0 and trim(text) <> ''),
+       k as (select distinct asset_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from {_BX} where ord % 3 = 0),
+       n as (select *, row_number() over (partition by asset_id order by ord) as n from d where not exists (select 1 from k where k.asset_id = d.asset_id and k.t = lower(d.t)))"""
+shared("box_detected_all", lambda s, d: bx.add_detected(boxes(s, d).where("ord % 3 = 0"), boxes(s, d).where("ord % 3 <> 0")).select("box_id", "text", "confidence"),
+       f"{_NEW} select box_id, t as text, greatest(0.35, least(0.82, confidence)) as confidence from n")
+shared("box_detected_rejects", lambda s, d: bx.split_detected(boxes(s, d).where("ord % 3 = 0"), boxes(s, d).where("ord % 3 <> 0"), 16)[1].select("box_id", "text", "reject_reason"),
+       f"{_NEW} select box_id, t as text, 'over_limit' as reject_reason from n where n > 16")
 _LA = f"from ({LAYERS}) l join (select asset_id, width as aw, height as ah from ({ASSETS})) a using (asset_id)"
 shared("layout_upscaled", lambda s, d: bx.upscaled(layers(s, d), assets(s, d)).select("artboard_id", "asset_id", "scale"),
        f"select artboard_id, asset_id, greatest(width / aw, height / ah) as scale {_LA} where greatest(width / aw, height / ah) > 1.5")

@@ -267,19 +267,36 @@ def review_top_k(boxes: DataFrame, group: str = "workspace_id", fewest: int = FE
     return (top.join(totals, group).where(f"_n <= {most} or rank <= least({most}, greatest({fewest}, _pos))").drop("_n", "_pos"))
 
 
-# Detected texts taken over for an asset.
-MAX_DETECTED = 16
+def first_detected(detected: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` texts per asset by ``ord`` (texts that share the last place all stay), and the rejected rest.
 
-
-def add_detected(boxes: DataFrame, detected: DataFrame, most: int = MAX_DETECTED) -> DataFrame:
-    """The first ``most`` detected texts per asset that no box reads already."""
+    Only the head of an asset is ranked (grouped rank limit); the rest is told by the last place taken.
+    """
     w = W.partitionBy("asset_id").orderBy("ord")
-    d = (detected.where("trim(text) <> ''").withColumn("_n", F.row_number().over(w)).where(f"_n <= {most}")
+    head = detected.where("trim(text) <> ''").withColumn("_n", F.rank().over(w)).where(f"_n <= {most}").drop("_n")
+    last = head.groupBy(F.col("asset_id").alias("_a")).agg(F.max("ord").alias("_last"))
+    rest = (detected.where("trim(text) <> ''").join(last, F.col("asset_id").eqNullSafe(F.col("_a")), "left")
+            .where("coalesce(ord > _last, ord is not null)").drop("_a", "_last")
+            .withColumn("reject_reason", F.lit("over_limit")))
+    return head, rest
+
+
+def split_detected(boxes: DataFrame, detected: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Detected texts that no box of their asset reads already, all or the first ``most`` per asset;
+    and the new texts that ``most`` cuts, with ``reject_reason``."""
+    d = (detected.where("trim(text) <> ''")
          .withColumn("text", F.expr(f"trim({tx.collapse_ws('text')})"))
          .withColumn("confidence", F.expr("greatest(0.35D, least(0.82D, coalesce(confidence, 0.62D)))")))
     have = boxes.select("asset_id", F.expr(tx.comparable("text")).alias("_key")).distinct()
-    return (d.withColumn("_key", F.expr(tx.comparable("text"))).join(have, ["asset_id", "_key"], "left_anti")
-            .drop("_key", "_n"))
+    new = d.withColumn("_key", F.expr(tx.comparable("text"))).join(have, ["asset_id", "_key"], "left_anti").drop("_key")
+    if most is None:
+        return new, new.where("false").withColumn("reject_reason", F.lit("over_limit"))
+    return first_detected(new, most)
+
+
+def add_detected(boxes: DataFrame, detected: DataFrame, most: int | None = None) -> DataFrame:
+    """Detected texts that no box reads already, all or the first ``most`` per asset."""
+    return split_detected(boxes, detected, most)[0]
 
 
 # -- layout (B18-B21) -----------------------------------------------------------------

@@ -63,11 +63,12 @@ def clean_document(x: str, max_chars: int | None = None) -> str:
     return tx.trim_ws(x) if max_chars is None else f"substring({tx.trim_ws(x)}, 1, {max_chars})"
 
 
-def pairs_from_text(docs: DataFrame, id_col: str) -> DataFrame:
-    """Lines like ``wrong -> right`` (bullets and comments aside)."""
+def pairs_from_text(docs: DataFrame, id_col: str, max_chars: int | None = None) -> DataFrame:
+    """Lines like ``wrong -> right`` (bullets and comments aside), with sides of any length or up to ``max_chars``."""
     line = docs.select(id_col, F.posexplode(F.split("text", "\r?\n")).alias("ord", "line"))
     line = line.withColumn("line", F.expr(f"regexp_replace({tx.trim_ws('line')}, {lit(f'^[-*•]{tx.WS}+')}, '')"))
-    arrow = rf"^([^\n]{{1,120}}?){tx.WS}*(?:→|->|=>|>>){tx.WS}*([^\n]{{1,120}})$"
+    many = "+" if max_chars is None else f"{{1,{max_chars}}}"
+    arrow = rf"^([^\n]{many}?){tx.WS}*(?:→|->|=>|>>){tx.WS}*([^\n]{many})$"
     got = line.where(f"line <> '' and not startswith(line, '#') and line rlike {lit(arrow)}")
     return got.select(id_col, "ord", F.expr(f"regexp_extract(line, {lit(arrow)}, 1)").alias("wrong"),
                       F.expr(f"regexp_extract(line, {lit(arrow)}, 2)").alias("right"))
@@ -98,18 +99,21 @@ def glossary_pairs(rows: DataFrame) -> DataFrame:
                     F.expr("coalesce(get(cells, if(_named, ri - 1, 1)), '')").alias("right")))
 
 
-# Longest side of a glossary pair.
-MAX_PAIR = 120
-
-
-def dedupe_pairs(pairs: DataFrame, ord_col: str = "ord", max_chars: int = MAX_PAIR) -> DataFrame:
-    """First pair per case-insensitive key; equal, empty or overlong ones go."""
+def split_pairs(pairs: DataFrame, ord_col: str = "ord", max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """First pair per case-insensitive key, without equal or empty ones; and the pairs with a side
+    over ``max_chars`` characters, with ``reject_reason``."""
     p = pairs.withColumn("wrong", F.expr(tx.trim_ws("wrong"))).withColumn("right", F.expr(tx.trim_ws("right")))
-    p = p.where("wrong <> '' and right <> '' and wrong <> right "
-                f"and length(wrong) <= {max_chars} and length(right) <= {max_chars}")
-    g = p.groupBy(F.lower("wrong"), F.lower("right")).agg(
+    p = p.where("wrong <> '' and right <> '' and wrong <> right")
+    long = "false" if max_chars is None else f"length(wrong) > {max_chars} or length(right) > {max_chars}"
+    g = p.where(f"not ({long})").groupBy(F.lower("wrong"), F.lower("right")).agg(
         F.min_by(F.struct("wrong", "right"), ord_col).alias("p"), F.min(ord_col).alias(ord_col))
-    return g.select(ord_col, "p.wrong", "p.right")
+    return (g.select(ord_col, "p.wrong", "p.right"),
+            p.where(long).select(ord_col, "wrong", "right", F.lit("over_limit").alias("reject_reason")))
+
+
+def dedupe_pairs(pairs: DataFrame, ord_col: str = "ord", max_chars: int | None = None) -> DataFrame:
+    """First pair per case-insensitive key, of any length or up to ``max_chars`` characters a side."""
+    return split_pairs(pairs, ord_col, max_chars)[0]
 
 
 def write_pairs_csv(pairs: DataFrame, path: str) -> None:
