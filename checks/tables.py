@@ -470,6 +470,15 @@ shared("add_terms", lambda s, d: dc.add_terms(issues(s, d), issues(s, d).where("
        f"""with i as ({ISSUES}), t as (select distinct original, suggestion from i where status = 'ignored')
        select issue_id, case when exists (select 1 from t where t.original = i.original and t.suggestion = i.suggestion) then 'ignored' else status end as status from i""")
 
+_HELD = """select 'product_terms' as list, concat(event_type, user_id) as wrong, concat('r', event_id) as right, cast(null as string) as priority, event_id as ord from events where event_id % 2 = 0
+  union all select 'brand_terms', null, concat('b', user_id), null, event_id from events where event_id % 2 = 0"""
+_ADDED = """select 'product_terms' as list, concat(event_type, user_id) as wrong, concat(' n', event_id) as right, event_id as ord from events where event_id % 2 = 1
+  union all select 'brand_terms', null, concat('b', user_id, ' '), event_id from events where event_id % 2 = 1"""
+shared("append_terms", lambda s, d: dc.append_terms(view(s, d, _HELD, "events"), view(s, d, _ADDED, "events"))[0].select("list", "wrong", "right", "ord"),
+       f"""with u as (select list, wrong, "right", ord from ({_HELD}) union all select list, wrong, trim("right") as "right", 1000000000000 + ord from ({_ADDED})),
+       g as (select list, wrong, arg_max("right", ord) as "right", min(ord) as place from u where wrong is not null group by all union all select list, null, "right", min(ord) from u where wrong is null group by all),
+       t as (select list, max(ord) as top from ({_HELD}) group by all)
+       select list, wrong, "right", case when place < 1000000000000 then place else top + 1 + place - 1000000000000 end as ord from g join t using (list)""")
 BOARDS = """select concat('a', k) as artboard_id, k as ord, case k % 3 when 0 then 'visual' when 1 then 'caption' else 'note' end as kind,
   concat('Card ', k) as label, 1080.0 as width, 1350.0 as height, 'carousel_slide' as format from (select distinct user_id % 7 as k from events)"""
 LAYERS = """select concat('l', p_partkey) as layer_id, concat('a', p_partkey % 7) as artboard_id, concat('d', p_partkey % 50) as asset_id,
@@ -806,6 +815,22 @@ shared("peak_hours", lambda s, d: rp.peak_hours(table(s, d, "events"), ["event_t
        f"with {_PEAK} select event_type, concat(lpad(cast(hh as varchar), 2, '0'), ':00 - ', lpad(cast((hh + 2) % 24 as varchar), 2, '0'), ':00') as peak_hours, sessions from pk")
 
 
+WORKSPACES = "select concat('w', user_id % 20) as workspace_id, concat('Workspace ', user_id % 20) as name, min(ts) as created_at from events group by user_id % 20"
+RUNS = "select distinct concat('w', user_id % 20) as workspace_id from events where user_id % 20 % 3 = 0"
+spaces = lambda s, d: view(s, d, WORKSPACES, "events")
+daily = lambda s, d: rp.activity(spaces(s, d), sess(s, d), issues(s, d), view(s, d, RUNS, "events"), ["workspace_id"], "2030-01-01")
+shared("report_activity", daily,
+       f"""with {_SESS}, k as (select workspace_id, count(*) as total from sess group by all), n as (select workspace_id, count(*) as issues from ({ISSUES}) group by all),
+       a as (select workspace_id, greatest(1, least(480, coalesce(total, 0) * 7 + coalesce(issues, 0) * 0.75 + case when workspace_id in ({RUNS}) then 12 else 0 end))::double as active_minutes,
+         greatest(1, ceil((epoch_ms(timestamp '2030-01-01') - epoch_ms(created_at)) / 86400000.0))::bigint as active_days from ({WORKSPACES}) left join k using (workspace_id) left join n using (workspace_id))
+       select *, active_minutes / active_days as daily_minutes from a""")
+STEPS = f"""select user_id as run_id, event_type as step, case event_id % 5 when 0 then 'failed' when 1 then 'skipped' when 2 then 'running' else 'completed' end as status,
+  case when event_id % 5 in (1, 2) then null else cast(floor(value * 100) as bigint) end as duration_ms, event_id % 4 as items from events"""
+shared("run_trace", lambda s, d: rp.run_trace(view(s, d, STEPS, "events")),
+       f"""select run_id, step, count(*) as steps, count(*) filter (status = 'running') as running, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed,
+       count(*) filter (status = 'skipped') as skipped, cast(sum(items) as bigint) as items, count(duration_ms) as timed, cast(sum(duration_ms) as bigint) as duration_ms, max(duration_ms) as longest_ms from ({STEPS}) group by all""")
+
+
 def _durations(spark, d):
     e = table(spark, d, "events")
     steps = e.select(F.col("user_id").alias("run_id"), F.expr("if(event_type = 'error', 0, cast(floor(value * 100) as bigint))").alias("duration_ms")).where("run_id % 10 <> 0")
@@ -856,6 +881,40 @@ shared("report_markdown", lambda s, d: rp.markdown_lines(issues(s, d), ["workspa
        f"""with i as ({ISSUES}), l as (select workspace_id, concat('## ', upper(severity), ' (', count(*), ')') as line from i where status <> 'resolved' group by workspace_id, severity union all
        select workspace_id, concat('- **[', source_type, ']** `', original, '` → `', suggestion, '` — ', reason, case when status <> 'open' then concat(' _(', status, ')_') else '' end) from i where status <> 'resolved'
        union all select workspace_id, concat('- `', original, '` — ', reason) from i where status = 'ignored') select workspace_id, count(*) as lines, max(line) as last from l group by all""")
+_fixed = lambda s, d: sources(s, d).select("workspace_id", "source_id", F.col("text").alias("corrected"))
+_out = lambda s, kind: f"{shared_folder(s)}/{kind}-{uuid.uuid4().hex}"
+_ALL = f"""i as ({ISSUES}), w as ({WORKSPACES}), cap as ({SOURCES}), lv as (select * from i where status <> 'resolved'), ac as (select * from i where {_ACT}), ig as (select * from i where status = 'ignored')"""
+
+
+def _report(spark, d):
+    rp.write_report(rp.report_lines(spaces(spark, d), issues(spark, d), _fixed(spark, d), ["workspace_id"], "now"), ["workspace_id"], path := _out(spark, "report"))
+    return spark.read.text(path).groupBy("workspace_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _records(spark, d):
+    month = rp.kpis(sess(spark, d), ["workspace_id"]).drop("active_minutes").join(daily(spark, d), "workspace_id")
+    rp.write_report_json(rp.report_records(spaces(spark, d), issues(spark, d), _fixed(spark, d), month, ["workspace_id"], "now"), ["workspace_id"], path := _out(spark, "json"))
+    named = {"issue": "issue_id", "corrected": "corrected", "summary": "total_issues", "monthly_report": "total", "workspace": "name"}
+    what = " ".join(f"when '{k}' then get_json_object(body, '$.{v}')" for k, v in named.items())
+    return spark.read.json(path, schema="workspace_id string, section string, body string").select(
+        "workspace_id", "section", F.expr(f"case section {what} end").alias("what"))
+
+
+_LABEL = rp.SOURCE_LABEL
+shared("report_full", _report,
+       f"""with {_ALL}, k as (select workspace_id, name, (select count(*) from ac where ac.workspace_id = w.workspace_id) as t, (select count(*) from ac where ac.workspace_id = w.workspace_id and is_definite) as e,
+       (select count(*) from ac where ac.workspace_id = w.workspace_id and not is_definite and severity <> 'needs_review') as g, (select count(*) from ac where ac.workspace_id = w.workspace_id and severity = 'needs_review') as r from w),
+       l as (select workspace_id, unnest(['# QA Report — ' || name, '', 'Tạo lúc: now', '', '## Tổng quan', '', '- Tổng số issue: **' || t || '**', '- Lỗi chắc chắn: **' || e || '**', '- Gợi ý: ' || g, '- Cần người review: ' || r, '', '| Nguồn | Số issue |', '|---|---:|', '']) as line from k
+       union all select workspace_id, '| ' || {_LABEL} || ' | ' || count(*) || ' |' from ac group by workspace_id, source_type
+       union all select workspace_id, unnest(['## ' || upper(severity) || ' (' || n || ')', '', '']) from (select workspace_id, severity, count(*) as n from lv group by all)
+       union all select workspace_id, '- **[' || {_LABEL} || ']** `' || original || '` → `' || suggestion || '` — ' || reason || case when status <> 'open' then ' _(' || status || ')_' else '' end from lv
+       union all select workspace_id, unnest(['## Caption đã sửa', '']) from (select distinct workspace_id from cap) union all select workspace_id, unnest(['```', text, '```', '']) from cap
+       union all select workspace_id, unnest(['## Đã bỏ qua (' || n || ')', '']) from (select workspace_id, count(*) as n from ig group by all) union all select workspace_id, '- `' || original || '` — ' || reason from ig)
+       select workspace_id, line, count(*) as n from l group by all""")
+shared("report_json", _records,
+       f"""with {_ALL}, {_SESS} select workspace_id, 'workspace' as section, name as what from w union all select workspace_id, 'issue', issue_id from i union all select workspace_id, 'corrected', text from cap
+       union all select workspace_id, 'summary', cast((select count(*) from ac where ac.workspace_id = w.workspace_id) as varchar) from w
+       union all select workspace_id, 'monthly_report', cast(count(*) as varchar) from sess semi join w using (workspace_id) group by workspace_id""")
 shared("report_log", lambda s, d: rp.detailed_log(sess(s, d)).select("source_type", "source_id", "groups", "final_status"),
        f"""with {_SESS}, g as (select workspace_id, source_type, source_id, {_CATSQL} as category, count(*) as n from ({ISSUES}) group by all),
        a as (select workspace_id, source_type, source_id, string_agg(concat(category, ': ', n), '; ' order by category) as groups from g group by all)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redpencil.lexicon import MAP_LISTS
+from redpencil.sources.lexicons import layered
+
 NARROW = ["workspace_id", "source_type", "source_id", "original", "suggestion"]
 WIDE = ["workspace_id", "source_type", "source_id", "artboard_id", "box_id", "original", "suggestion"]
 
@@ -71,6 +74,33 @@ def add_terms(issues: DataFrame, terms: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("_hit"), "ignored").otherwise(F.col("status"))).select(*issues.columns)
 
 
+# Lists of pairs; the others hold single terms.
+PAIR_LISTS = (*MAP_LISTS, "legacy_names", "risky_words")
+
+
+def append_terms(lexicon: DataFrame, additions: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The lexicon with new terms, and the additions that lack a side, with ``reject_reason``.
+
+    A pair replaces the right side of an equal wrong side in its place; a term that its list holds is
+    not added again; new entries follow the last of their list in their own order.
+    ``lexicon``: list, wrong, right, priority, ord; ``additions``: list, wrong, right, ord.
+    """
+    by = by or []
+    pair = F.col("list").isin(*PAIR_LISTS)
+    good = "coalesce(trim(right), '') <> '' and (not _pair or coalesce(trim(wrong), '') <> '')"
+    new = additions.withColumn("_pair", pair)
+    rejects = new.where(f"not ({good})").drop("_pair").withColumn("reject_reason", F.lit("missing_side"))
+    new = new.where(good).select(
+        *by, "list", F.expr("if(_pair, trim(wrong), null)").alias("wrong"), F.expr("trim(right)").alias("right"),
+        F.expr("if(list = 'risky_words', 'medium', null)").alias("priority"), F.lit(1).alias("layer_ord"),
+        F.col("ord").cast("bigint").alias("ord"))
+    old = lexicon.select(*by, "list", "wrong", "right", "priority", F.lit(0).alias("layer_ord"), F.col("ord").cast("bigint").alias("ord"))
+    last = old.groupBy(*by, "list").agg(F.max("ord").alias("_last"))
+    both = layered(old.unionByName(new), by).join(F.broadcast(last) if not by else last, [*by, "list"], "left")
+    return both.select(*by, "list", "wrong", "right", "priority",
+                       F.expr("if(layer_ord = 0, ord, coalesce(_last, -1) + 1 + ord)").alias("ord")), rejects
+
+
 def first_artboard(layers: DataFrame, artboards: DataFrame) -> DataFrame:
     """The first artboard that uses an asset."""
     j = layers.select("asset_id", "artboard_id").join(artboards.select("artboard_id", "ord"), "artboard_id")

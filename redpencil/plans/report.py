@@ -96,6 +96,20 @@ def kpis(sess: DataFrame, by: list[str]) -> DataFrame:
         F.expr("greatest(1D, least(480D, total * 7 + issues * 0.75D + 12))").alias("active_minutes"))
 
 
+def activity(workspaces: DataFrame, sess: DataFrame, issues: DataFrame, runs: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Estimated minutes, with twelve only where a run was traced, and their average per day from
+    ``created_at`` of ``workspaces`` to ``at``; one row per workspace."""
+    total = sess.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    found = issues.groupBy(*by).agg(F.count(F.lit(1)).alias("_issues"))
+    traced = runs.select(*by).distinct().withColumn("_run", F.lit(True))
+    j = workspaces.join(total, by, "left").join(found, by, "left").join(traced, by, "left")
+    minutes = "coalesce(_total, 0) * 7 + coalesce(_issues, 0) * 0.75D + if(coalesce(_run, false), 12, 0)"
+    days = f"(unix_millis(cast({lit(at)} as timestamp)) - unix_millis(cast(created_at as timestamp))) / 86400000D"
+    return (j.withColumn("active_minutes", F.expr(f"greatest(1D, least(480D, {minutes}))"))
+            .withColumn("active_days", F.expr(f"greatest(1, cast(ceil({days}) as bigint))"))
+            .select(*by, "active_minutes", "active_days", F.expr("active_minutes / active_days").alias("daily_minutes")))
+
+
 def top_violations(issues: DataFrame, by: list[str], k: int = 5) -> DataFrame:
     """Most frequent violations with their share.
 
@@ -135,6 +149,21 @@ def step_duration(steps: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", F.expr(f"coalesce(ms, {wall}, 0D) / 1000D").alias("seconds"))
 
 
+# States of a step.
+STEP_STATES = ("running", "completed", "failed", "skipped")
+
+
+def run_trace(steps: DataFrame, by: tuple[str, ...] = ("run_id", "step")) -> DataFrame:
+    """Steps by state, the items they counted and their durations, per run and step or per ``by``.
+
+    ``steps``: (run_id, step, status, duration_ms, items); a step that was skipped or still runs has no duration.
+    """
+    return steps.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("status") == s).alias(s) for s in STEP_STATES],
+        F.sum("items").alias("items"), F.count("duration_ms").alias("timed"), F.sum("duration_ms").alias("duration_ms"),
+        F.max("duration_ms").alias("longest_ms"))
+
+
 def insights(k: DataFrame, top: DataFrame, peaks: DataFrame, by: list[str]) -> DataFrame:
     """Up to four sentences per group."""
     lead = top.where("rank = 1").select(*by, "label", "violations", "percent")
@@ -238,8 +267,93 @@ def write_markdown(issues: DataFrame, by: list[str], path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path))
 
 
+# Labels of sources in a report.
+SOURCE_LABEL = "case source_type when 'caption' then 'Caption' when 'image' then 'Ảnh' when 'layout' then 'Layout' else source_type end"
+REPORT_ORDER = ["part", "at", "source_id", "pos", "line"]
+
+
+def report_lines(workspaces: DataFrame, issues: DataFrame, corrected: DataFrame, by: list[str], generated_at: str) -> DataFrame:
+    """The lines of whole reports, in the order of ``REPORT_ORDER``: title, overview, count per source,
+    a part per severity, corrected captions, ignored issues.
+
+    ``workspaces``: by, name; ``corrected``: by, source_id, corrected, one per caption (C1).
+    """
+    def lines(df, part, at, line, source="''", pos="0"):
+        return df.select(*by, F.expr(f"cast({part} as int)").alias("part"), F.expr(f"cast({at} as int)").alias("at"),
+                         F.expr(f"coalesce({source}, '')").alias("source_id"), F.expr(f"cast({pos} as int)").alias("pos"),
+                         F.expr(line).alias("line"))
+
+    s = workspaces.select(*by, "name").join(summary(issues, by), by, "left").na.fill(
+        0, ["total_issues", "definite_errors", "suggestions", "needs_review"])
+    top = ["concat('# QA Report — ', coalesce(name, ''))", "''", f"concat('Tạo lúc: ', {lit(generated_at)})", "''",
+           "'## Tổng quan'", "''", "concat('- Tổng số issue: **', total_issues, '**')",
+           "concat('- Lỗi chắc chắn: **', definite_errors, '**')", "concat('- Gợi ý: ', suggestions)",
+           "concat('- Cần người review: ', needs_review)", "''", "'| Nguồn | Số issue |'", "'|---|---:|'"]
+    head = s.select(*by, F.posexplode(F.expr(f"array({', '.join(top)})")).alias("i", "l"))
+    per = issues.where(ACTIVE).groupBy(*by, "source_type").agg(F.count(F.lit(1)).alias("n"))
+    rank = f"coalesce({tx.severity_rank('severity')}, 9)"
+    live = issues.where("status <> 'resolved'")
+    group = live.groupBy(*by, "severity").agg(F.count(F.lit(1)).alias("n"))
+    text = corrected.where("trim(corrected) <> ''")
+    ignored = issues.where("status = 'ignored'")
+    passed = ignored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    once = text.select(*by).distinct()
+    parts = [
+        lines(head, 0, 0, "l", pos="i"),
+        lines(per, 1, 0, f"concat('| ', {SOURCE_LABEL}, ' | ', n, ' |')", source="source_type"), lines(s, 1, 1, "''"),
+        lines(group, f"10 + {rank}", 0, "concat('## ', upper(severity), ' (', n, ')')"),
+        lines(group, f"10 + {rank}", 0, "''", pos="1"),
+        lines(live, f"10 + {rank}", 1, f"concat('- **[', {SOURCE_LABEL}, ']** `', coalesce(original, ''), '` → `', coalesce(suggestion, ''), "
+              "'` — ', coalesce(reason, ''), if(status <> 'open', concat(' _(', status, ')_'), ''))",
+              source="source_id", pos="coalesce(span_start, 0)"),
+        lines(group, f"10 + {rank}", 2, "''"),
+        lines(once, 30, 0, "'## Caption đã sửa'"), lines(once, 30, 0, "''", pos="1"),
+        lines(text, 30, 1, "'```'", source="source_id"), lines(text, 30, 1, "corrected", source="source_id", pos="1"),
+        lines(text, 30, 1, "'```'", source="source_id", pos="2"), lines(text, 30, 1, "''", source="source_id", pos="3"),
+        lines(passed, 40, 0, "concat('## Đã bỏ qua (', n, ')')"), lines(passed, 40, 0, "''", pos="1"),
+        lines(ignored, 40, 1, "concat('- `', coalesce(original, ''), '` — ', coalesce(reason, ''))", source="source_id",
+              pos="coalesce(span_start, 0)"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_report(lines: DataFrame, by: list[str], path: str) -> None:
+    """A folder per workspace with its report in files that follow each other by name; a large report
+    is cut into ranges, and a later write leaves other workspaces."""
+    order = [*by, *REPORT_ORDER]
+    (lines.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select(*by, F.col("line").alias("value")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path))
+
+
+def report_records(workspaces: DataFrame, issues: DataFrame, corrected: DataFrame, monthly: DataFrame, by: list[str],
+                   generated_at: str) -> DataFrame:
+    """Whole reports as JSON records (by, section, body): workspace, summary, every issue, every
+    corrected caption and the monthly report; a record per row, so no report is gathered in one place.
+
+    ``monthly``: by and any columns, a row per workspace.
+    """
+    def records(df, section):
+        return df.select(*by, F.lit(section).alias("section"), F.to_json(F.struct(*df.columns)).alias("body"))
+
+    named = workspaces.select(*by, "name").withColumn("generated_at", F.lit(generated_at))
+    totals = workspaces.select(*by).join(summary(issues, by), by, "left").na.fill(
+        0, ["total_issues", "definite_errors", "suggestions", "needs_review"])
+    return (records(named, "workspace").unionByName(records(totals, "summary")).unionByName(records(issues, "issue"))
+            .unionByName(records(corrected.select(*by, "source_id", "corrected"), "corrected"))
+            .unionByName(records(monthly, "monthly_report")))
+
+
+def write_report_json(records: DataFrame, by: list[str], path: str) -> None:
+    """A folder per workspace and section; a later write leaves other workspaces."""
+    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "section").json(path))
+
+
 def write_json(summary_df: DataFrame, path: str) -> None:
-    """S19."""
+    """The summary alone."""
     summary_df.write.mode("overwrite").json(path)
 
 
