@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
+from redpencil.llm import centroids, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -112,6 +112,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_key").cast("long").alias("refers_to"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -123,11 +127,42 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The same rounds as a chain of common tables: a<n> assigns, c<n> moves the centroids."""
+    steps = [f"""
+        kept as materialized (
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+          from embeddings where len(embedding) = {dims}
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c0 as materialized (select row_number() over (order by h, v) - 1 as c, v from (
+          select sha256('2:' || coalesce(cast(vec_id as varchar), '')) as h, v from kept order by h, v limit {k}))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} as materialized (
+          select r, vec_id, v, min((d, c)) as m from (
+            select kept.*, c, list_sum(list_transform(list_zip(kept.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+            from kept, c{n}) group by r, vec_id, v)""")
+        if n < rounds:
+            steps.append(f"""
+        s{n} as (select m[2] as c, i, sum(v[i]) as s, count(*) as n from a{n}, range(1, {dims + 1}) t(i) group by all),
+        m{n} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from s{n} group by c),
+        c{n + 1} as materialized (select c, coalesce(m{n}.v, c{n}.v) as v from c{n} left join m{n} using (c))""")
+    return f"""
+        with {",".join(steps)}
+        select vec_id, cast(m[2] as int) as cluster, cast(m[1] as bigint) as distance,
+          cast(sum(m[1]) over (partition by m[2]) as bigint) as cluster_inertia, cast(sum(m[1]) over () as bigint) as inertia,
+          sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} on c = m[2]"""
+
+
 ORACLE_SQL = {
+    "op12_centroid_clustering": _clusters_sql(),
     "op5_exact_dedup": f"""
         with n as (select doc_id, {_NORM} as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
