@@ -56,6 +56,25 @@ def arrow_rows(batches: Iterable[list[dict]], schema: T.StructType) -> Iterator[
         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices of about ``limit`` bytes at most; a longer row is a slice of its own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        end, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = end[at] - size[at]
+            stop = max(at + 1, int(np.searchsorted(end, before + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, ascii_uppercase, ascii_lowercase)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import centroids, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
+from redpencil.llm import alignment, centroids, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -116,6 +116,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path
+    return alignment.link_statistics(
+        _table(spark, sf_dir, "documents"), file("byte_bpe_50k.json"), file("piece_bpe_32k.model"),
+        file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -128,6 +135,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
