@@ -271,7 +271,7 @@ def link_statistics(df: DataFrame, a: str, b: str, ranks: str | None = None, pat
                     "packed": _packed(held, n, size)}]
         return arrow_rows(made(), blocks_schema)
 
-    blocks_schema = T.StructType([*T._parse_datatype_string(_BLOCK).fields, T.StructField("ids", T.ArrayType(kind))])
+    blocks_schema = T.StructType([*T.StructType.fromDDL(_BLOCK).fields, T.StructField("ids", T.ArrayType(kind))])
     blocks = stored(_narrow(df, id_col, text_col).mapInArrow(block, blocks_schema), "blocks")
     held = blocks.select("block", F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).select(
         "block", F.col("p.pairs").alias("pair"), F.col("p.pair_n").alias("n"))
@@ -283,7 +283,7 @@ def link_statistics(df: DataFrame, a: str, b: str, ranks: str | None = None, pat
         F.sort_array(F.collect_list(F.struct("pair", "rated"))).alias("rated"))
     whole = blocks.select("block", "ids", "doc", "packed").join(back, "block", "left").select(
         "ids", "doc", "packed", F.col("rated.rated.n").alias("n"), F.col("rated.rated.best").alias("best"))
-    out = T.StructType([T.StructField("id", kind), *T._parse_datatype_string(
+    out = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL(
         "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string").fields])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import alignment, centroids, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc
+from redpencil.llm import (
+    alignment, centroids, decontamination, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc)
 from redpencil.llm.common import fold, scratch
 
 SHARDS = 8
@@ -112,6 +113,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_key").cast("long").alias("refers_to"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -134,6 +139,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_decontamination": op11_decontamination,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -141,6 +147,23 @@ QUERIES = {
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WORDS = rf"regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_HITS = f"""
+    with d as materialized (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+      b as materialized (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+      win as materialized (
+        select distinct item, least(10, len(w)) as m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+        from b, range(1, greatest(len(w) - 10, 0) + 2) t(i) where len(w) > 0),
+      sizes as (select distinct m from win),
+      grams as (select r, i, m, array_to_string(w[i:i + m - 1], ' ') as g from d, sizes, range(1, len(w) - m + 2) t(i)),
+      hits as materialized (select r, i, m, item from grams join win using (m, g)),
+      words as (select r, count(distinct i + k) as n_hit from hits, range(0, m) t(k) group by r),
+      items as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as names from hits group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+    from d left join words using (r) left join items using (r)"""
+
+
 def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
     """The same rounds as a chain of common tables: a<n> assigns, c<n> moves the centroids."""
     steps = [f"""
@@ -170,6 +193,7 @@ def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
 
 
 ORACLE_SQL = {
+    "op11_decontamination": _HITS,
     "op12_centroid_clustering": _clusters_sql(),
     "op5_exact_dedup": f"""
         with n as (select doc_id, {_NORM} as norm from documents)
