@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from redpencil.llm.common import arrow_rows, by_bytes, stored
 
-BLOCK_BYTES = 4 << 20  # text that is aligned together; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # text that is aligned together; a longer text is a block of its own
 # Characters whose classes are the same in every Unicode version that the two libraries may carry
 _SETTLED = re.compile("[\t\n\r -~¡-¬®-ȳ‐-‧‰-⁞€]*")
 
