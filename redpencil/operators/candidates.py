@@ -12,6 +12,11 @@ from redpencil.lexicon import Lexicon
 from redpencil.operators import ranges as rg
 
 
+def scope(base: list[str], *tables: DataFrame) -> list[str]:
+    """The key of a text within its workspace; tables of a single workspace may leave workspace_id out."""
+    return ["workspace_id", *base] if all("workspace_id" in t.columns for t in tables) else base
+
+
 def located(text: str, original: str, before: str, after: str) -> str:
     """Start of a quote, or null.  Context picks among occurrences; without
     a context match the first occurrence counts."""
@@ -58,18 +63,19 @@ def validate(candidates: DataFrame, content: DataFrame, lex: Lexicon) -> DataFra
     """Candidates whose quote exists and whose edit is allowed.
 
     Links and terms are found once per quoted text (semi-join first), then the
-    candidates join on source_id.
+    candidates join on their workspace and source_id.
     """
-    wanted = content.join(candidates.select("source_id").distinct(), "source_id", "left_semi")
+    keys = scope(["source_id"], candidates, content)
+    wanted = content.join(candidates.select(*keys).distinct(), keys, "left_semi")
     low = tx.folded("text")
-    texts = (wanted.select("source_id", "text")
+    texts = (wanted.select(*keys, "text")
              .withColumn("_urls", F.expr(rg.url_ranges("text", low)))
              .withColumn("_terms", F.expr(rg.term_ranges(low, lex.protected())))
              .withColumn("_heading", F.expr(heading_range("text"))))
     c = candidates.where(
         "coalesce(original, '') <> '' and coalesce(suggestion, '') <> '' "
         "and type is not null and severity is not null and reason is not null")
-    j = (c.join(texts, "source_id")
+    j = (c.join(texts, keys)
          .withColumn("span_start", F.expr(located("text", "original", "context_before", "context_after")))
          .where("span_start is not null")
          .withColumn("span_end", F.expr("span_start + length(original)"))
@@ -89,9 +95,10 @@ def validate(candidates: DataFrame, content: DataFrame, lex: Lexicon) -> DataFra
 
 def validate_boxes(candidates: DataFrame, boxes: DataFrame, lex: Lexicon) -> DataFrame:
     """Candidates quoting a text box; the box must be checkable."""
-    b = boxes.select("box_id", "asset_id", F.col("text").alias("box_text"), F.col("bbox").alias("box_bbox"),
+    keys = scope(["box_id"], candidates, boxes)
+    b = boxes.select(*keys, "asset_id", F.col("text").alias("box_text"), F.col("bbox").alias("box_bbox"),
                      F.col("confidence").alias("box_confidence"), "visual_role", "visual_should_check")
-    j = (candidates.join(b, "box_id")
+    j = (candidates.join(b, keys)
          .where("trim(box_text) <> '' and coalesce(visual_should_check, true) "
                 "and coalesce(visual_role, 'unknown') in ('graphic_text', 'unknown')")
          .where("contains(box_text, original)")
@@ -101,7 +108,7 @@ def validate_boxes(candidates: DataFrame, boxes: DataFrame, lex: Lexicon) -> Dat
          .withColumn("suggestion", F.expr("coalesce(suggestion, original)"))
          .where(tx.compatible("original") != tx.compatible("suggestion"))
          .where(f"not (type in ('brand_term', 'style') and {tx.case_only_change('original', 'suggestion')})"))
-    as_content = boxes.select(F.col("box_id").alias("source_id"), "text")
+    as_content = boxes.select(*keys[:-1], F.col("box_id").alias("source_id"), "text")
     checked = validate(
         j.withColumn("source_id", F.col("box_id")).withColumn("source_type", F.lit("image")), as_content, lex)
     return (checked.withColumn("source_id", F.col("asset_id"))
@@ -148,7 +155,7 @@ def keep_verified(candidates: DataFrame, verdicts: DataFrame, answered: DataFram
     ``verdicts``: (keys, signature), ``answered``: (keys) of every source with an answer, also one
     that keeps nothing; it defaults to the sources of the verdicts.
     """
-    keys = keys or ["source_id"]
+    keys = keys or scope(["source_id"], candidates, verdicts)
     c = candidates.withColumn("signature", signature())
     heard = (verdicts if answered is None else answered).select(*keys).distinct()
     kept = c.join(verdicts.select(*keys, "signature").distinct(), [*keys, "signature"], "left_semi").select(*c.columns)
@@ -172,7 +179,7 @@ def merge_issues(rules: DataFrame, candidates: DataFrame, keys: list[str] | None
     ``candidates`` carries ``ord`` (arrival order).  Both sides share columns.
     The fold runs per island of overlapping candidates, never per source.
     """
-    keys = keys or ["source_type", "source_id"]
+    keys = keys or scope(["source_type", "source_id"], rules, candidates)
     r = rules.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("span_start").alias("rs"),
                      F.col("span_end").alias("re"), F.col("original").alias("ro"))
     same = [F.col(k) == F.col(f"r_{k}") for k in keys]

@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
@@ -22,6 +21,7 @@ from redpencil.lexicon import BUILTIN_SPELLINGS, Lexicon
 from redpencil.operators import ranges as rg
 
 WORD_RUN = r"[\p{L}\p{N}_]+"
+SIGN = r"[^\p{L}\p{N}_\s]"
 CANDIDATE_TYPE = "struct<c:int,k:int,s:int,n:int,w:string,g:string,p:boolean,x:boolean>"
 
 
@@ -96,29 +96,64 @@ def cased(raw: str, headings: str) -> str:
             f"'o', {h}.o, 'g', {g}))")
 
 
-def tokens(content: DataFrame, id_cols: list[str]) -> DataFrame:
-    """TOK: word rows (pos, span_start, span_end, word) of every text."""
-    found = spans("text", r"[\p{L}\p{N}_]+")
-    return (content.select(*id_cols, F.posexplode(F.expr(found)).alias("pos", "h"))
-            .select(*id_cols, "pos", F.col("h.s").alias("span_start"), F.col("h.e").alias("span_end"),
-                    F.lower("h.o").alias("word")))
+def phrase_keys(phrases: DataFrame, phrase: str = "w") -> DataFrame:
+    """Add ``key``, ``lead`` (what stands before it in the phrase) and ``first``, the word or sign that must stand in a text.
 
+    The key is the first one or two words with what stands between them, or, for a phrase without a
+    letter or digit such as an arrow, its first sign.
+    """
+    words = rf"^([^\p{{L}}\p{{N}}_]*)({WORD_RUN}(?:[^\p{{L}}\p{{N}}_]+{WORD_RUN})?)"
+    signs = rf"^({tx.WS}*)({SIGN})"
+    has_word = f"{phrase} rlike {lit(WORD_RUN)}"
+    pick = lambda n: f"if({has_word}, regexp_extract({phrase}, {lit(words)}, {n}), regexp_extract({phrase}, {lit(signs)}, {n}))"
+    return (phrases.withColumn("key", F.expr(pick(2))).withColumn("lead", F.length(F.expr(pick(1))))
+            .withColumn("first", F.expr(f"if({has_word}, regexp_extract(key, {lit(WORD_RUN)}, 0), key)")).where("key <> ''"))
+
+
+BITS = 1 << 20  # of the filter of lexicon keys; the driver holds it, 128 KB however large the lexicon
 
-def phrase_keys(phrases: DataFrame, phrase: str = "w") -> DataFrame:
-    """Add ``key`` (the first one or two words with what stands between them) and ``lead`` (what stands before)."""
-    first = rf"^([^\p{{L}}\p{{N}}_]*)({WORD_RUN}(?:[^\p{{L}}\p{{N}}_]+{WORD_RUN})?)"
-    return phrases.withColumn("key", F.expr(f"regexp_extract({phrase}, {lit(first)}, 2)")).withColumn(
-        "lead", F.length(F.expr(f"regexp_extract({phrase}, {lit(first)}, 1)"))).where("key <> ''")
 
+class KeyFilter:
+    """Which words, word pairs and signs can be keys of a lexicon; a text drops all others before it meets the lexicon."""
 
-def text_keys(texts: DataFrame, id_cols: list[str]) -> DataFrame:
-    """(ids, key, at): each word, and each two neighbouring words with what stands between them."""
-    x, i = fresh("x"), fresh("i")
+    def __init__(self, keyed: DataFrame) -> None:
+        both = keyed.select(F.explode(F.array("key", "first")).alias("key"), (~F.col("first").rlike(WORD_RUN)).alias("sign"))
+        at = F.pmod(F.xxhash64("key"), F.lit(BITS))
+        words = both.groupBy((at / 64).cast("long").alias("i")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits"), F.bool_or("sign").alias("sign"))
+        bits, self.signs = [0] * (BITS // 64), False
+        for r in words.collect():  # BITS / 64 rows at most
+            bits[r["i"]] = r["bits"]
+            self.signs |= r["sign"]
+        # the optimizer folds this into one array of the plan
+        self.bits = f"from_json('[{','.join(map(str, bits))}]', 'array<bigint>')"
+
+    def may(self, key: str) -> str:
+        at = f"pmod(xxhash64({key}), {BITS})"
+        return f"shiftright(element_at({self.bits}, cast({at} div 64 as int) + 1), cast({at} % 64 as int)) % 2 <> 0"
+
+
+def text_keys(texts: DataFrame, id_cols: list[str], only: KeyFilter | None = None) -> DataFrame:
+    """(ids, key, at): each word, and each two neighbouring words with what stands between them.
+
+    With a filter, only keys that it may hold, and signs where the lexicon has any.
+    """
+    x, i, y = fresh("x"), fresh("i"), fresh("y")
     ones = f"transform(w, {x} -> named_struct('key', {x}.o, 'at', {x}.s))"
     twos = (f"transform(slice(w, 1, greatest(size(w) - 1, 0)), ({x}, {i}) -> "
             f"named_struct('key', substring(low, {x}.s + 1, w[{i} + 1].e - {x}.s), 'at', {x}.s))")
     words = texts.select(*id_cols, F.expr(tx.folded("text")).alias("low")).withColumn("w", F.expr(spans("low", WORD_RUN)))
-    return words.select(*id_cols, F.explode(F.expr(f"concat({ones}, {twos})")).alias("g")).select(*id_cols, "g.key", "g.at")
+    if only is None:
+        return words.select(*id_cols, F.explode(F.expr(f"concat({ones}, {twos})")).alias("g")).select(*id_cols, "g.key", "g.at")
+    # a pair is built only where its first word may begin one
+    pairs = (f"transform(filter(transform(w, ({x}, {i}) -> named_struct('w', {x}, 'e', get(w, {i} + 1).e)), {y} -> {only.may(f'{y}.w.o')}), "
+             f"{y} -> named_struct('one', named_struct('key', {y}.w.o, 'at', {y}.w.s), 'two', "
+             f"named_struct('key', substring(low, {y}.w.s + 1, {y}.e - {y}.w.s), 'at', {y}.w.s)))")
+    keys = f"flatten(transform({pairs}, {x} -> array({x}.one, {x}.two)))"
+    if only.signs:
+        keys = f"concat({keys}, transform({spans('low', SIGN)}, {x} -> named_struct('key', {x}.o, 'at', {x}.s)))"
+    keys = f"filter({keys}, {x} -> coalesce({only.may(f'{x}.key')}, false))"
+    return words.select(*id_cols, F.explode(F.expr(keys)).alias("g")).select(*id_cols, "g.key", "g.at")
 
 
 def occurs(t: str, low: str, c: str) -> str:
@@ -130,9 +165,9 @@ def occurs(t: str, low: str, c: str) -> str:
 
 
 def table_entries(lexicon: DataFrame) -> DataFrame:
-    """(c, k, w, g, p, key, lead) of a lexicon table; code 0 marks protected terms.
+    """(c, o, ord, w, g, p, key, lead, first) of a lexicon table; code 0 marks protected terms.
 
-    Phrases without a letter or digit cannot be met by words; they belong in an inline lexicon.
+    ``o`` and ``ord`` order the entries of a rule.
     """
     rows = lexicon.where("trim(coalesce(wrong, right, '')) <> ''")
     norm = F.trim(F.regexp_replace("right", r"\s+", " "))
@@ -144,11 +179,11 @@ def table_entries(lexicon: DataFrame) -> DataFrame:
     phrases = (rows.where("wrong is not null").where("list not in ('preferred_spellings', 'product_terms') or wrong <> right")
                .withColumn("c", F.explode(F.expr(codes))))
     # longer phrases come first, but spellings and sentence starts keep the order of the table
-    order = W.partitionBy("c").orderBy(F.expr("if(c in (650, 740), 0, -length(wrong))"), "ord", "wrong")
+    order = F.expr("cast(if(c in (650, 740), 0, -length(wrong)) as int)")
     fixed = f"right rlike {lit(tx.FIXED_CASE)}"
     shaped = f"c in (670, 680, 690, 660, 740) and same is null and not {fixed}"
     phrases = phrases.join(canonical, F.lower(F.trim(F.col("right"))) == F.col("same"), "left").select(
-        F.col("c").cast("int").alias("c"), (F.row_number().over(order) + TABLE_ORDER).alias("k"), F.expr(tx.folded("wrong")).alias("w"),
+        F.col("c").cast("int").alias("c"), order.alias("o"), F.col("ord").cast("long").alias("ord"), F.expr(tx.folded("wrong")).alias("w"),
         F.when(F.col("c").between(700, 702), F.lit(None)).otherwise(F.col("right")).alias("g"), F.expr(shaped).alias("p"))
     brands = phrase_keys(rows.where("list = 'brand_terms'").select(F.expr(tx.folded("right")).alias("w"))).select("w", "key")
     named = phrases.where("c = 650").select(F.col("g").alias("text")).distinct()
@@ -158,7 +193,8 @@ def table_entries(lexicon: DataFrame) -> DataFrame:
         "c", F.expr("cast(if(c = 650 and named is not null, 651, c) as int)")).drop("named")
     terms = rows.where(F.col("list").isin("brand_terms", "protected_terms", "do_not_change", "product_terms", "preferred_spellings")).select(
         F.expr(tx.folded("trim(regexp_replace(right, '\\\\s+', ' '))")).alias("w")).where("w <> ''").distinct()
-    terms = terms.select(F.lit(0).alias("c"), F.lit(0).alias("k"), "w", F.lit(None).cast("string").alias("g"), F.lit(False).alias("p"))
+    terms = terms.select(F.lit(0).alias("c"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("ord"), "w",
+                         F.lit(None).cast("string").alias("g"), F.lit(False).alias("p"))
     return phrase_keys(phrases.unionByName(terms))
 
 
@@ -168,14 +204,22 @@ TABLE_ORDER = 1_000_000  # entries of a table come after inline ones of the same
 def with_candidates(content: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``content`` plus ``_candidates``: where phrases of the lexicon table may stand in each text.
 
-    Words meet the phrases' first words in one join whose sides Spark broadcasts or shuffles by
-    their size; a text gets its candidates back by a hash of its row.
+    Keys that the lexicon cannot hold are dropped inside the text's own row; the others meet it in
+    one join whose sides Spark broadcasts or shuffles by their size, and a text gets its candidates
+    back by a hash of its row. Entries are ranked among the candidates of their text alone, so the
+    lexicon is never sorted.
     """
-    keyed = content.withColumn("_row", F.sha2(F.to_json(F.struct(*content.columns)), 256))
+    keyed = content.withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(*content.columns)), 256)))
     entries = table_entries(lexicon)
-    met = text_keys(keyed.select("_row", "text"), ["_row"]).join(entries, "key")
-    item = F.struct("c", "k", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), "w", "g", "p", (F.col("w") == F.col("key")).alias("x"))
-    found = met.groupBy("_row").agg(F.collect_set(item.cast(CANDIDATE_TYPE)).alias("_candidates"))
+    met = text_keys(keyed.select("_row", "text"), ["_row"], KeyFilter(entries)).join(entries, "key")
+    whole_key = (F.col("w") == F.col("key")) & F.col("w").rlike(WORD_RUN)
+    item = F.struct(F.expr("c div 10").alias("r"), "o", "ord", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), "c",
+                    F.length("w").cast("int").alias("n"), "g", "p", whole_key.alias("x"))
+    v, i = fresh("v"), fresh("i")
+    ranked = (f"transform(array_sort(c), ({v}, {i}) -> named_struct('c', {v}.c, 'k', {i} + {TABLE_ORDER}, 's', {v}.s, 'n', {v}.n, "
+              f"'w', {v}.w, 'g', {v}.g, 'p', {v}.p, 'x', {v}.x))")
+    found = met.groupBy("_row").agg(F.collect_set(item).alias("c")).select(
+        "_row", F.expr(ranked).cast(f"array<{CANDIDATE_TYPE}>").alias("_candidates"))
     return keyed.join(found, "_row", "left").withColumn(
         "_candidates", F.coalesce("_candidates", F.expr(f"cast(array() as array<{CANDIDATE_TYPE}>)"))).drop("_row")
 
@@ -200,8 +244,9 @@ def candidate_terms(t: str, low: str, candidates: str) -> str:
 def joined_hits(content: DataFrame, lexicon: DataFrame, id_cols: list[str]) -> DataFrame:
     """Plain phrase occurrences for a lexicon of any size: (list, wrong, right) met by words."""
     lex = phrase_keys(lexicon.select("list", F.expr(tx.folded("wrong")).alias("w"), "right").where("w <> ''"))
-    met = text_keys(content, id_cols).join(lex, "key")
-    item = F.struct("list", "right", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), (F.col("w") == F.col("key")).alias("x"))
+    met = text_keys(content, id_cols, KeyFilter(lex)).join(lex, "key")
+    whole_key = (F.col("w") == F.col("key")) & F.col("w").rlike(WORD_RUN)
+    item = F.struct("list", "right", "w", (F.col("at") - F.col("lead")).cast("int").alias("s"), F.length("w").cast("int").alias("n"), whole_key.alias("x"))
     found = met.groupBy(*id_cols).agg(F.collect_list(item).alias("c"))
     texts = content.select(*id_cols, "text").join(found, id_cols)
     c = fresh("c")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions.exprs import fresh, scan
+from redpencil.operators.candidates import scope
 
 KEY = ["source_type", "source_id"]
 _ITEM = "struct<s:int,e:int,g:string>"
@@ -25,25 +26,26 @@ def accepted_patches(issues: DataFrame, content: DataFrame, mode: str) -> DataFr
 
     One row per text with ``text`` and ``patches`` sorted by position.
     """
-    e = issues.where(eligible(mode)).select(*KEY, "issue_id", "span_start", "span_end", "original", "suggestion")
-    t = content.select(*KEY, "text")
-    quoted = (e.join(t, KEY).where("substring(text, span_start + 1, span_end - span_start) = original")
+    key = scope(KEY, issues, content)
+    e = issues.where(eligible(mode)).select(*key, "issue_id", "span_start", "span_end", "original", "suggestion")
+    t = content.select(*key, "text")
+    quoted = (e.join(t, key).where("substring(text, span_start + 1, span_end - span_start) = original")
               .drop("text"))
     item = F.struct((-F.col("span_start")).alias("o"), F.col("issue_id"), F.col("span_start").alias("s"),
                     F.col("span_end").alias("e"), F.col("suggestion").alias("g"))
-    per = quoted.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    per = quoted.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("c"))
     kept = scan(
         "c", "2147483647", "struct<o:int,issue_id:string,s:int,e:int,g:string>",
         lambda st, x: f"if({x}.e > {st}, {st}, {x}.s)",
         lambda st, x: f"if({x}.e > {st}, cast(array() as array<struct<o:int,issue_id:string,s:int,e:int,g:string>>), array({x}))",
     )
-    return per.select(*KEY, F.expr(f"reverse({kept}.out)").alias("patches"))
+    return per.select(*key, F.expr(f"reverse({kept}.out)").alias("patches"))
 
 
 def apply_patches(issues: DataFrame, content: DataFrame, mode: str = "definite") -> DataFrame:
     """Corrected text of every content row, with the applied issue ids."""
     p = accepted_patches(issues, content, mode)
-    j = content.join(p, KEY, "left")
+    j = content.join(p, scope(KEY, content, p), "left")
     x, y = fresh("x"), fresh("y")
     pieces = scan(
         "patches", "0", "string",
@@ -61,24 +63,26 @@ def apply_patches(issues: DataFrame, content: DataFrame, mode: str = "definite")
 def shift_ranges(issues: DataFrame, applied: DataFrame) -> DataFrame:
     """After patches, later issues move and overlapped ones are resolved.
 
-    ``applied``: (issue_id) of patched issues.  One window per text: the shift
-    of an issue is the sum of length changes of the patches that end before it.
+    ``applied``: (issue_id) of patched issues, with workspace_id where the issues carry one. The shift
+    of an issue is the sum of length changes of the patches that end before it.  All frames run from
+    the start of their order, so a text costs the sort of its issues.
     """
-    a = applied.select("issue_id", F.lit(True).alias("_hit"))
-    i = issues.join(a, "issue_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    target = ["source_type", "source_id", "artboard_id", "box_id"]
+    own = scope(["issue_id"], issues, applied)
+    a = applied.select(*own, F.lit(True).alias("_hit")).distinct()
+    i = issues.join(a, own, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    target = scope(["source_type", "source_id", "artboard_id", "box_id"], issues)
     delta = F.when(F.col("_hit"), F.length("suggestion") - (F.col("span_end") - F.col("span_start"))).otherwise(0)
     # Patches do not overlap, so "ends at or before my start" is a prefix in end order.
     ends = i.select("*", F.col("span_end").alias("_at"), delta.alias("_d"), F.lit(0).alias("_q"))
     asks = i.select("*", F.col("span_start").alias("_at"), F.lit(0).alias("_d"), F.lit(1).alias("_q"))
     w = W.partitionBy(*target).orderBy("_at", "_q").rowsBetween(W.unboundedPreceding, 0)
-    last_end = F.max(F.when(F.col("_hit") & (F.col("_q") == 0), F.col("span_end"))).over(w)
-    events = ends.unionByName(asks).withColumn("_shift", F.sum("_d").over(w)).withColumn("_before", last_end)
-    # The next patch start after this issue's start decides overlap on the right.
-    starts = W.partitionBy(*target).orderBy("span_start", "span_end")
-    nxt = F.min(F.when(F.col("_hit"), F.col("span_start"))).over(starts.rowsBetween(1, W.unboundedFollowing))
-    prv = F.max(F.when(F.col("_hit"), F.col("span_end"))).over(starts.rowsBetween(W.unboundedPreceding, -1))
-    out = (events.where("_q = 1").withColumn("_next", nxt).withColumn("_prev", prv))
+    events = ends.unionByName(asks).withColumn("_shift", F.sum("_d").over(w))
+    # The patch that starts last before this issue decides overlap on the left, the next one on the right.
+    up = W.partitionBy(*target).orderBy("span_start", "span_end").rowsBetween(W.unboundedPreceding, -1)
+    down = W.partitionBy(*target).orderBy(F.desc("span_start"), F.desc("span_end")).rowsBetween(W.unboundedPreceding, -1)
+    nxt = F.min(F.when(F.col("_hit"), F.col("span_start"))).over(down)
+    prv = F.max(F.when(F.col("_hit"), F.col("span_end"))).over(up)
+    out = events.where("_q = 1").withColumn("_next", nxt).withColumn("_prev", prv)
     stale = F.expr("not _hit and span_start is not null and (coalesce(_next < span_end, false) "
                    "or coalesce(_prev > span_start, false))")
     return (out.withColumn("status", F.when(F.col("_hit"), "accepted").when(stale, "resolved").otherwise(F.col("status")))
@@ -92,8 +96,9 @@ def segments(issues: DataFrame, content: DataFrame) -> DataFrame:
     overlapping or stale ranges are skipped).  Parts concatenate to the text."""
     o = issues.where("source_type = 'caption' and status = 'open' and span_start is not null")
     item = F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"), "issue_id")
-    per = o.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    j = content.select(*KEY, "text").join(per, KEY, "left").withColumn(
+    key = scope(KEY, issues, content)
+    per = o.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    j = content.select(*key, "text").join(per, key, "left").withColumn(
         "c", F.expr("coalesce(c, cast(array() as array<struct<s:int,e:int,issue_id:string>>))"))
     seg = lambda s, e, i: f"named_struct('seg_start', {s}, 'seg_end', {e}, 'issue_id', {i})"
     skip = lambda st, x: f"({x}.s < {st} or {x}.e > length(text))"
@@ -108,16 +113,17 @@ def segments(issues: DataFrame, content: DataFrame) -> DataFrame:
     f = fresh("f")
     parts = (f"transform(array({folded}), {f} -> if({f}.st < length(text), "
              f"concat({f}.out, array({seg(f'{f}.st', 'length(text)', null_id)})), {f}.out))[0]")
-    return (j.select(*KEY, "text", F.posexplode(F.expr(parts)).alias("pos", "p"))
-            .select(*KEY, "pos", F.expr("substring(text, p.seg_start + 1, p.seg_end - p.seg_start)").alias("segment"),
+    return (j.select(*key, "text", F.posexplode(F.expr(parts)).alias("pos", "p"))
+            .select(*key, "pos", F.expr("substring(text, p.seg_start + 1, p.seg_end - p.seg_start)").alias("segment"),
                     F.col("p.issue_id").alias("issue_id")))
 
 
 def preview(issues: DataFrame, content: DataFrame) -> DataFrame:
     """Corrected text and decision counts per text."""
-    counts = issues.groupBy(*KEY).agg(
+    key = scope(KEY, issues, content)
+    counts = issues.groupBy(*key).agg(
         F.count_if(F.col("status") == "accepted").alias("accepted"),
         F.count_if(F.col("status") == "ignored").alias("ignored"),
         F.count_if((F.col("severity") == "needs_review") & (F.col("status") == "open")).alias("needs_review"))
-    fixed = apply_patches(issues, content, "definite").select(*KEY, "corrected", F.size("applied").alias("pending"))
-    return fixed.join(counts, KEY, "left").na.fill(0, ["accepted", "ignored", "needs_review"])
+    fixed = apply_patches(issues, content, "definite").select(*key, "corrected", F.size("applied").alias("pending"))
+    return fixed.join(counts, key, "left").na.fill(0, ["accepted", "ignored", "needs_review"])

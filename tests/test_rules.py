@@ -161,3 +161,30 @@ def test_a_lexicon_table_gives_what_an_inline_lexicon_gives(spark):
     joined = joined_hits(df.select("source_id", "text"), Lexicon(missing_tone_map=lex.missing_tone_map).to_df(spark), ["source_id"])
     spans = lambda d: sorted((r["source_id"], r["span_start"], r["span_end"], r["original"]) for r in d.collect())
     assert spans(plain) == spans(joined) and len(spans(plain)) == 3
+
+
+def test_phrases_of_any_characters_are_met_from_a_table(spark):
+    from redpencil.lexicon import Lexicon
+    from redpencil.operators.checker import check
+
+    lex = Lexicon(preferred_wording={"->": "→", "&": "and", "a b c": "abc", "(!)": "!", "x": "y", "=> so": "so"},
+                  risky_words={"%%": ("high", "")}, product_terms={"& co": "& Co", "nova node": "NovaNode"}, protected_terms=["<3", "C++"])
+    texts = ["go -> there --> x&y & z (!) end", "& co x a b c => so 5%% %%", "we <3 C++ & nova node, C++, x -> <3", "", "plain words only"]
+    df = spark.createDataFrame([("w", "caption", str(i), t) for i, t in enumerate(texts)],
+                               "workspace_id string, source_type string, source_id string, text string")
+    rules = {66, 69, 70, 74}
+    inline, table = check(df, lex, rules), check(df, Lexicon(), rules, table=lex.to_df(spark))
+    rows = [sorted((r.source_id, r.reason_code, r.span_start, r.span_end, r.suggestion) for r in x.collect()) for x in (inline, table)]
+    assert rows[0] == rows[1] and any(r[4] == "→" for r in rows[0])
+
+
+def test_a_dropped_key_never_loses_a_hit(spark):
+    from redpencil.operators import dictionary as dt
+
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(k, " ".join(words[k::7])) for k in range(7)], "id int, text string")
+    lex = spark.createDataFrame([("l", f"{words[k]} {words[k + 7]}", "x") for k in range(300)] + [("l", w, "y") for w in words[::3]],
+                                "list string, wrong string, right string")
+    got = {(r.id, r.original) for r in dt.joined_hits(df, lex, ["id"]).collect()}
+    want = {(k % 7, f"{words[k]} {words[k + 7]}") for k in range(300)} | {(int(w[1:]) % 7, w) for w in words[::3]}
+    assert got == want
