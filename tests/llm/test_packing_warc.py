@@ -112,3 +112,49 @@ def test_chance_magic_and_damage_are_passed_over():
     found = list(warc.records_in(io.BytesIO(data), len(data), 0, len(data)))
     assert [f["payload"] for _, _, f in found] == [b"body", b"body"]
     assert isinstance(pd.DataFrame([f for _, _, f in found]), pd.DataFrame)
+
+
+def test_special_tokens_are_matched_as_written_and_units_encode_alike():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "a <|EndOfText|> b<|startoftext|>c", "it's WE'LL ''s 'd x'tt 12a3 É÷×ß ÀÞ", "<| x |>", "tab\tand\x0bline\x1fx\x00y"]
+    rng = np.random.default_rng(5)
+    chars = [chr(k) for k in [*range(128), *range(0xC0, 0x100)]]
+    texts += ["".join(rng.choice(chars, 40)) for _ in range(4000)]
+    texts += ["".join(rng.choice(list("'sdltrevm a!"), 30)) for _ in range(2000)]
+    got = tokens.WordIds(PATH)(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_units_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 10_000)
+    ids, fresh = tokens.WordIds(PATH), tokens.WordIds(PATH)
+    for k in range(20):
+        some = [f"word{chr(97 + k)}{chr(97 + j)} again" for j in range(26)]
+        assert ids(some) == fresh(some) and len(ids.known) < 200
+        fresh = tokens.WordIds(PATH)
+
+
+def test_search_ends_by_itself_and_meets_the_bound_where_it_can():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        cap = int(rng.integers(8, 120))
+        lengths = rng.integers(0, cap + 1, int(rng.integers(1, 150)))
+        first = packing.best_fit(lengths, cap)
+        bins = packing.local_search(first, lengths, cap)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(lengths[b].sum() <= cap for b in bins) and len(bins) <= len(first)
+    # best fit decreasing needs three bins here, exchanges need two
+    lengths = np.array([6, 5, 5, 4, 4, 4, 2])
+    assert sum(lengths) == 30 and len(packing.local_search(packing.best_fit(lengths, 15), lengths, 15)) == 2
+    wide = np.full(20_000, 2049)
+    assert len(packing.local_search(packing.best_fit(wide, 4096), wide, 4096)) == 20_000
+
+
+def test_sequences_against_the_least(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "cast(1 + id * 7919 % 37 as long) as length")
+    packed = packing.pack(df, 64, group=200)
+    r = packing.against_least(packed, 64).first()
+    fills = packed.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert packed.count() == 3000 and fills.max() <= 64 and r.sequences == len(fills) and r.least <= r.sequences <= r.least + 2
