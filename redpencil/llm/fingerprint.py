@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from redpencil.llm.common import arrow_rows, stored
+from redpencil.llm.common import arrow_rows, by_bytes, stored
 
 BUCKETS = 256
 _SKIPS = ((1, 2), (1, 3), (2, 3))  # the other two bytes of a triplet, counted from its first
@@ -118,7 +118,7 @@ def edit_trial(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
         def made() -> Iterator[list[dict]]:
             last = None
-            for batch in batches:
+            for batch in by_bytes(batches):
                 some = []
                 for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     mine = digest(text.encode())
@@ -143,7 +143,7 @@ def edit_trial(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         "id", "text", "fingerprint", "next_text", "next_mine")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return arrow_rows(([_judged(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)] for batch in batches),
+        return arrow_rows(([_judged(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)] for batch in by_bytes(batches)),
                           T.StructType(out))
 
     done = kept.where("edge is null").select(*names).unionByName(ends.mapInArrow(finish, T.StructType(out)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redpencil.llm.common import arrow_rows
+from redpencil.llm.common import arrow_rows, by_bytes
 from redpencil.llm.features import bounded_sample, codes, counted, letters, ngram_buckets
 
 BITS = 15
@@ -87,7 +87,7 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[int, np.ndarr
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in by_bytes(batches):
             for text in batch.column(0).to_pylist():
                 df[_grams(text)[0]] += 1
                 n += 1
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[list[dict]]:
-            for batch in batches:
+            for batch in by_bytes(batches):
                 yield [{"lang": lang, "at": at.tolist(), "n": k.astype(int).tolist()}
                        for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, k in [_grams(text)]]
         return arrow_rows(made(), schema)
@@ -171,7 +171,7 @@ def identify(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             found = [predict_one(t, held.value) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.float64())], names=schema.names)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redpencil.llm.common import arrow_rows
+from redpencil.llm.common import arrow_rows, by_bytes
 from redpencil.llm.features import codes, counted, labelled_sample, ngram_buckets
 
 BITS = 16
@@ -97,7 +97,7 @@ def train(docs: DataFrame, rated: DataFrame | None = None, grade_col: str = "gra
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return arrow_rows(([{"grade": g, "at": at.tolist(), "x": x.tolist()}
                             for t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, x in [features(t)]]
-                           for batch in batches), taken)
+                           for batch in by_bytes(batches)), taken)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, data = [], []
@@ -141,7 +141,7 @@ def rate(df: DataFrame, model: dict | None, tail: float, keep_from: float = 0.5,
                            T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [(None, None) if held.value is None else grade_one(t, held.value, tail) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redpencil.llm.common import arrow_rows
+from redpencil.llm.common import arrow_rows, by_bytes
 from redpencil.llm.features import labelled_sample
 
 PER_LABEL = 2500     # texts of each label that the machine is trained on
@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, label_col: str = "to
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return arrow_rows(([{"label": y, "words": sorted({u for c in chunks(t) for u in units(c)})}
-                            for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)] for batch in batches), bag)
+                            for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)] for batch in by_bytes(batches)), bag)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, words = [], []
@@ -296,7 +296,7 @@ def probabilities(texts: list[str], model: dict | None) -> np.ndarray:
 
 
 def score(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", name: str = "score",
-          texts_at_once: int = 2000, **more: Column) -> DataFrame:
+          bytes_at_once: int = 4 << 20, **more: Column) -> DataFrame:
     """id, the columns in ``more`` and the probability for each row's whole text.
 
     The model is one table of fixed size and is broadcast. Defined cases: null and empty texts and
@@ -309,25 +309,21 @@ def score(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: s
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, texts_at_once):
-                some = batch.slice(at, texts_at_once)
-                p = probabilities(some.column(some.num_columns - 1).to_pylist(), held.value)
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(p)], names=schema.names)
+        for some in by_bytes(batches, bytes_at_once):
+            p = probabilities(some.column(some.num_columns - 1).to_pylist(), held.value)
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(p)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def drop_toxic(df: DataFrame, model: dict | None, threshold: float = 0.7, text_col: str = "text",
-               texts_at_once: int = 2000) -> DataFrame:
+               bytes_at_once: int = 4 << 20) -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns: one pass, no shuffle."""
     held, schema, at_text = df.sparkSession.sparkContext.broadcast(model), df.schema, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, texts_at_once):
-                some = batch.slice(at, texts_at_once)
-                p = probabilities([t or "" for t in some.column(at_text).to_pylist()], held.value)
-                yield some.filter(pa.array(p < threshold))
+        for some in by_bytes(batches, bytes_at_once):
+            p = probabilities([t or "" for t in some.column(at_text).to_pylist()], held.value)
+            yield some.filter(pa.array(p < threshold))
 
     return df.mapInArrow(run, schema)
