@@ -41,9 +41,10 @@ def shared(name: str, spark_expr, sql: str):
 # -- derived tables, in SQL both engines accept --------------------------------------
 
 _V = "cast(floor(value) as int)"
+_SRC = "concat('d', cast(floor(user_id / 20) as bigint))"  # every source id stands in many workspaces
 ISSUES = f"""select concat('i', event_id) as issue_id, concat('w', user_id % 20) as workspace_id,
   case event_id % 5 when 0 then 'image' when 1 then 'layout' else 'caption' end as source_type,
-  concat('d', user_id) as source_id, case when event_id % 3 = 0 then concat('a', user_id % 7) end as artboard_id,
+  {_SRC} as source_id, case when event_id % 3 = 0 then concat('a', user_id % 7) end as artboard_id,
   case when event_id % 5 = 0 then concat('b', event_id % 11) end as box_id,
   case {_V} % 7 when 0 then 'spacing' when 1 then 'punctuation' when 2 then 'spelling' when 3 then 'grammar'
     when 4 then 'brand_term' when 5 then 'ocr_low_confidence' else 'style' end as type,
@@ -56,16 +57,24 @@ ISSUES = f"""select concat('i', event_id) as issue_id, concat('w', user_id % 20)
   case event_id % 7 when 0 then 'accepted' when 1 then 'ignored' when 2 then 'resolved'
     when 3 then 'needs_human_review' else 'open' end as status, event_type as created_by, ts, event_id as ord from events"""
 
-_WORDS = ["the", "of", "les", "de", "and", "un", "the of", "in the"]
-FIXES = " union all ".join(
-    f"select concat('{i}-', doc_id) as issue_id, 'caption' as source_type, cast(doc_id as string) as source_id, "
-    f"cast(null as string) as artboard_id, cast(null as string) as box_id, '{wd}' as original, "
-    f"upper('{wd}') as suggestion, cast(instr(text, '{wd}') - 1 as int) as span_start, "
-    f"cast(instr(text, '{wd}') - 1 + {len(wd)} as int) as span_end, "
-    f"case when (doc_id + {i}) % 5 = 0 then 'ignored' when (doc_id + {i}) % 5 = 1 then 'accepted' else 'open' end as status, "
-    f"(n_chars + {i}) % 3 <> 0 as is_definite, 0.8 + cast((n_chars + {i}) % 20 as double) / 100 as confidence, "
-    f"'medium' as severity from documents where instr(text, '{wd}') > 0" for i, wd in enumerate(_WORDS))
-TEXTS = "select 'caption' as source_type, cast(doc_id as string) as source_id, source as workspace_id, text from documents"
+# every occurrence of these words, and of two pairs of them that overlap the words
+_FIX_WORDS = ["the", "of", "les", "de", "and", "un", "in"]
+_FIX_PAIRS = ["the of", "in the"]
+_FIX_COLUMNS = [
+    "concat(doc_id, '-', span_start, '-', length(original)) as issue_id", "source as workspace_id", "'caption' as source_type",
+    "cast(doc_id as string) as source_id", "cast(null as string) as artboard_id", "cast(null as string) as box_id", "original",
+    "upper(original) as suggestion", "span_start", "cast(span_start + length(original) as int) as span_end",
+    "case when (doc_id + span_start) % 5 = 0 then 'ignored' when (doc_id + span_start) % 5 = 1 then 'accepted' else 'open' end as status",
+    "(n_chars + span_start) % 3 <> 0 as is_definite", "0.8 + cast((n_chars + span_start) % 20 as double) / 100 as confidence", "'medium' as severity"]
+_FIX_SQL = f"""(with posts as (select doc_id, text from documents), {spans_cte('wd', r'[\p{L}\p{N}_]+', w())},
+  g as (select doc_id, cast(s as int) as span_start, o, lead(o) over v as o2, lead(gap) over v as g2, gap from wd window v as (partition by doc_id order by s)),
+  h as (select doc_id, span_start, o as original from g where o in ({", ".join(q(x) for x in _FIX_WORDS)})
+    union all select doc_id, span_start, concat(o, ' ', o2) from g where gap = ' ' and concat(o, ' ', o2) in ({", ".join(q(x) for x in _FIX_PAIRS)}))
+  select h.*, n_chars, source from h join documents using (doc_id))"""
+FIXES = f"select {', '.join(_FIX_COLUMNS)} from {_FIX_SQL}"
+# every document stands under the same id in its own workspace and in one more that has no fixes
+TEXTS = ("select 'caption' as source_type, cast(doc_id as string) as source_id, source as workspace_id, text from documents union all "
+         "select 'caption', cast(doc_id as string), 'mirror', text from documents")
 
 # boxes: each word (even turns) or sentence (odd turns) of every conversation text
 _BOX_COLS = """concat('w', conv_id % 10) as workspace_id, concat('as', conv_id % 400) as asset_id,
@@ -81,7 +90,14 @@ def issues(spark, d):
 
 
 def fixes(spark, d):
-    return view(spark, d, FIXES, "documents")
+    from redpencil.functions.exprs import lit, spans
+    x, i = fresh("x"), fresh("i")
+    found = documents(spark, d).select("doc_id", "n_chars", "source", "text", F.expr(spans("text", r"[\p{L}\p{N}_]+")).alias("w"))
+    pair = f"substring(text, {x}.s + 1, get(w, {i} + 1).e - {x}.s)"
+    hits = (f"concat(transform(w, {x} -> named_struct('span_start', {x}.s, 'original', {x}.o)), "
+            f"transform(w, ({x}, {i}) -> named_struct('span_start', {x}.s, 'original', {pair})))")
+    fits = f"filter({hits}, {x} -> coalesce({x}.original in ({', '.join(lit(v) for v in [*_FIX_WORDS, *_FIX_PAIRS])}), false))"
+    return found.select("doc_id", "n_chars", "source", F.expr(f"inline({fits})")).selectExpr(*_FIX_COLUMNS)
 
 
 def texts(spark, d):
@@ -289,7 +305,7 @@ def _(spark, d):
 # -- candidates (J8-J16) --------------------------------------------------------------
 
 _AT = "cast(doc_id * 7919 % greatest(n_chars - 6, 1) + 2 as int)"
-CANDS = f"""select cast(d.doc_id as string) as source_id, 'caption' as source_type, cast(null as string) as artboard_id,
+CANDS = f"""select source as workspace_id, cast(d.doc_id as string) as source_id, 'caption' as source_type, cast(null as string) as artboard_id,
   cast(null as string) as box_id, 'style' as type, 'low' as severity, substr(text, {_AT}, 6) as original,
   reverse(substr(text, {_AT}, 6)) as suggestion, 'r' as reason, cast(n_chars % 13 as double) / 10 as confidence,
   n_chars % 2 = 0 as is_definite, case when n_chars % 3 = 0 then substr(text, {_AT} - 1, 1) end as context_before,
@@ -304,7 +320,7 @@ _LOC = (f"case when instr(text, concat({_CB}, original, {_CA})) > 0 then instr(t
   on cast(d.doc_id as string) = c.source_id where original <> '' and instr(text, original) > 0""")
 def _(spark, d):
     """J8."""
-    j = view(spark, d, CANDS, "documents").join(texts(spark, d).select("source_id", "text"), "source_id")
+    j = view(spark, d, CANDS, "documents").join(texts(spark, d).select("workspace_id", "source_id", "text"), ["workspace_id", "source_id"])
     return (j.select("source_id", F.expr(cd.located("text", "original", "context_before", "context_after")).alias("span_start"))
             .where("span_start is not null"))
 
@@ -362,37 +378,30 @@ def _(spark, d):
 _SIG = "concat_ws('|', type, severity, lower(original), lower(suggestion), source_type, coalesce(artboard_id, ''), coalesce(box_id, ''))"
 
 
-@register("verifier_filter", f"""with c as (select *, {_SIG} as sig from ({ISSUES})), v as (select distinct source_id, sig from c where status = 'open' and ord % 2 = 0)
-  select issue_id from c where exists (select 1 from v where v.source_id = c.source_id and v.sig = c.sig)
-    or not exists (select 1 from v where v.source_id = c.source_id)""")
+@register("verifier_filter", f"""with c as (select *, {_SIG} as sig from ({ISSUES})), v as (select distinct workspace_id, source_id, sig from c where status = 'open' and ord % 2 = 0)
+  select issue_id from c where exists (select 1 from v where v.workspace_id = c.workspace_id and v.source_id = c.source_id and v.sig = c.sig)
+    or not exists (select 1 from v where v.workspace_id = c.workspace_id and v.source_id = c.source_id)""")
 def _(spark, d):
     """J11."""
     c = issues(spark, d)
-    v = c.where("status = 'open' and ord % 2 = 0").select("source_id", cd.signature().alias("signature"))
+    v = c.where("status = 'open' and ord % 2 = 0").select("workspace_id", "source_id", cd.signature().alias("signature"))
     return cd.keep_verified(c, v).select("issue_id")
 
 
 @register("merge_rule_wins", f"""with i as ({ISSUES}), r as (select * from i where ord % 2 = 0), c as (select * from i where ord % 2 = 1)
-  select source_type, source_id, issue_id from c where not exists (select 1 from r where r.source_type = c.source_type and r.source_id = c.source_id
+  select source_type, source_id, issue_id from c where not exists (select 1 from r where r.workspace_id = c.workspace_id and r.source_type = c.source_type and r.source_id = c.source_id
    and ((r.span_start < c.span_end and c.span_start < r.span_end) or (r.original = c.original and r.span_start = c.span_start)))""")
 def _(spark, d):
     """J12, first half: candidates that clash with a rule issue go."""
     i = issues(spark, d)
-    r = i.where("ord % 2 = 0").select(F.col("source_type").alias("a"), F.col("source_id").alias("b"), F.col("span_start").alias("rs"),
+    r = i.where("ord % 2 = 0").select(F.col("source_type").alias("a"), F.col("source_id").alias("b"), F.col("workspace_id").alias("w"), F.col("span_start").alias("rs"),
                                       F.col("span_end").alias("re"), F.col("original").alias("ro"))
     c = i.where("ord % 2 = 1")
-    out = c.join(r, (F.col("source_type") == F.col("a")) & (F.col("source_id") == F.col("b"))
+    out = c.join(r, (F.col("source_type") == F.col("a")) & (F.col("source_id") == F.col("b")) & (F.col("workspace_id") == F.col("w"))
                  & F.expr("(rs < span_end and span_start < re) or (ro = original and rs = span_start)"), "left_anti")
     return out.select("source_type", "source_id", "issue_id")
 
 
-@register("merge_issues")
-def _(spark, d):
-    """Full merge with replacement among candidates."""
-    i = issues(spark, d)
-    return cd.merge_issues(i.where("ord % 4 = 0"), i.where("ord % 4 <> 0")).select("issue_id", "source_id", "severity", "span_start", "span_end")
-
-
 @register("unique_issues")
 def _(spark, d):
     """Related issues of a block are folded into one."""
@@ -742,41 +751,62 @@ shared("layout_repeated", lambda s, d: bx.repeated_images(layers(s, d), boards(s
 
 # -- corrected text (C1-C6) -----------------------------------------------------------
 
-_ACCEPT = f"""e as (select f.*, text from ({FIXES}) f join documents d on cast(d.doc_id as varchar) = f.source_id
-   where original <> suggestion and (f.status = 'accepted' or (f.status = 'open' and is_definite and confidence >= 0.85))),
-  k as (select *, row_number() over (partition by source_id order by span_start desc, issue_id) as k from e),
-  r(source_id, k, last, issue_id, span_start, span_end, suggestion, hit) as (select source_id, k, span_start, issue_id, span_start, span_end, suggestion, true from k where k = 1 union all
-   select k.source_id, k.k, case when k.span_end > r.last then r.last else k.span_start end, k.issue_id, k.span_start, k.span_end, k.suggestion, k.span_end <= r.last from r join k on k.source_id = r.source_id and k.k = r.k + 1),
+_ACCEPT = f"""e as (select f.* from ({FIXES}) f where original <> suggestion and (f.status = 'accepted' or (f.status = 'open' and is_definite and confidence >= 0.85))),
+  isl as (select *, sum(opens) over (partition by source_id order by span_start, span_end) as island from (select *, case when span_start < max(span_end) over
+    (partition by source_id order by span_start, span_end rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from e)),
+  k as (select *, row_number() over (partition by source_id, island order by span_start desc, issue_id) as k from isl),
+  r(source_id, island, k, last, issue_id, span_start, span_end, suggestion, hit) as (select source_id, island, k, span_start, issue_id, span_start, span_end, suggestion, true from k where k = 1 union all
+   select k.source_id, k.island, k.k, case when k.span_end > r.last then r.last else k.span_start end, k.issue_id, k.span_start, k.span_end, k.suggestion, k.span_end <= r.last
+   from r join k on k.source_id = r.source_id and k.island = r.island and k.k = r.k + 1),
   acc as (select *, coalesce(lag(span_end) over (partition by source_id order by span_start), 0) as prev from r where hit)"""
 _CORRECT = f"""with recursive {_ACCEPT}, pieces as (select source_id, string_agg(concat(substr(text, prev + 1, span_start - prev), suggestion), '' order by span_start) as head, max(span_end) as fin, count(*) as n
    from acc join documents d on cast(d.doc_id as varchar) = source_id group by all)
-  select cast(doc_id as varchar) as source_id, case when head is null then text else concat(head, substr(text, fin + 1)) end as corrected, coalesce(n, 0) as applied from documents d left join pieces p on p.source_id = cast(d.doc_id as varchar)"""
-shared("apply_patches", lambda s, d: pt.apply_patches(fixes(s, d), texts(s, d)).select("source_id", "corrected", F.size("applied").alias("applied")), _CORRECT)
-shared("correction_preview", lambda s, d: pt.preview(fixes(s, d), texts(s, d)).select("source_id", F.length("corrected").alias("n"), "pending", "accepted", "ignored", "needs_review"),
-       f"""with c as ({_CORRECT}), k as (select source_id, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'ignored') as ignored from ({FIXES}) group by all)
-       select source_id, length(corrected) as n, applied as pending, coalesce(accepted, 0) as accepted, coalesce(ignored, 0) as ignored, 0 as needs_review from c left join k using (source_id)""")
+  select source as workspace_id, cast(doc_id as varchar) as source_id, md5(case when head is null then text else concat(head, substr(text, fin + 1)) end) as corrected,
+    length(case when head is null then text else concat(head, substr(text, fin + 1)) end) as n, coalesce(n, 0) as applied from documents d left join pieces p on p.source_id = cast(d.doc_id as varchar)
+  union all select 'mirror', cast(doc_id as varchar), md5(text), length(text), 0 from documents"""
+shared("apply_patches", lambda s, d: pt.apply_patches(fixes(s, d), texts(s, d)).select(
+    "workspace_id", "source_id", F.md5("corrected").alias("corrected"), F.length("corrected").alias("n"), F.size("applied").alias("applied")), _CORRECT)
+shared("correction_preview", lambda s, d: pt.preview(fixes(s, d), texts(s, d)).select("workspace_id", "source_id", F.length("corrected").alias("n"), "pending", "accepted", "ignored", "needs_review"),
+       f"""with c as ({_CORRECT}), k as (select workspace_id, source_id, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'ignored') as ignored from ({FIXES}) group by all)
+       select workspace_id, source_id, n, applied as pending, coalesce(accepted, 0) as accepted, coalesce(ignored, 0) as ignored, 0 as needs_review from c left join k using (workspace_id, source_id)""")
 
 
 def _shift(spark, d):
     i = fixes(spark, d).withColumn("suggestion", F.concat("suggestion", F.lit("!!")))
-    hit = pt.accepted_patches(i, texts(spark, d), "definite").select(F.explode(F.expr("transform(patches, p -> p.issue_id)")).alias("issue_id"))
+    hit = pt.accepted_patches(i, texts(spark, d), "definite").select(F.explode(F.expr("transform(patches, p -> p.issue_id)")).alias("issue_id"), "workspace_id")
     return pt.shift_ranges(i, hit).select("issue_id", "status", "span_start", "span_end")
 
 
-shared("shift_ranges", _shift, f"""with recursive {_ACCEPT}, h as (select source_id, issue_id, span_start, span_end from acc)
-  select f.issue_id, case when exists (select 1 from h where h.issue_id = f.issue_id) then 'accepted'
-     when exists (select 1 from h where h.source_id = f.source_id and h.span_start < f.span_end and f.span_start < h.span_end) then 'resolved' else status end as status,
-   case when exists (select 1 from h where h.issue_id = f.issue_id) then null else span_start + 2 * (select count(*) from h where h.source_id = f.source_id and h.span_end <= f.span_start) end as span_start,
-   case when exists (select 1 from h where h.issue_id = f.issue_id) then null else span_end + 2 * (select count(*) from h where h.source_id = f.source_id and h.span_end <= f.span_start) end as span_end
-  from ({FIXES}) f""")
-
-
-@register("segments", "select cast(doc_id as varchar) as source_id, md5(text) as text from documents where text <> ''")
+shared("shift_ranges", _shift, f"""with recursive {_ACCEPT}, h as (select source_id, issue_id, span_start, span_end, row_number() over (partition by source_id order by span_end) as n from acc),
+  f as (select * from ({FIXES})),
+  b as (select f.issue_id, h.n, h.span_end as before_end from f asof left join h on f.source_id = h.source_id and f.span_start >= h.span_end),
+  o as (select f.issue_id, h.span_end > f.span_start as cut from f asof left join h on f.source_id = h.source_id and f.span_end > h.span_start)
+  select f.issue_id, case when x.issue_id is not null then 'accepted' when o.cut then 'resolved' else status end as status,
+   case when x.issue_id is null then cast(f.span_start + 2 * coalesce(b.n, 0) as int) end as span_start,
+   case when x.issue_id is null then cast(f.span_end + 2 * coalesce(b.n, 0) as int) end as span_end
+  from f left join (select issue_id from h) x using (issue_id) join b using (issue_id) join o using (issue_id)""")
+
+
+_SEGMENTS = f"""with recursive o as (select * from ({FIXES}) where status = 'open'),
+  isl as (select *, sum(opens) over (partition by source_id order by span_start, span_end) as island from (select *, case when span_start < max(span_end) over
+    (partition by source_id order by span_start, span_end rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from o)),
+  k as (select *, row_number() over (partition by source_id, island order by span_start, span_end, issue_id) as k from isl),
+  r(source_id, island, k, last, issue_id, span_start, span_end, hit) as (select source_id, island, k, span_end, issue_id, span_start, span_end, true from k where k = 1 union all
+   select k.source_id, k.island, k.k, case when k.span_start < r.last then r.last else k.span_end end, k.issue_id, k.span_start, k.span_end, k.span_start >= r.last
+   from r join k on k.source_id = r.source_id and k.island = r.island and k.k = r.k + 1),
+  m as (select *, coalesce(lag(span_end) over (partition by source_id order by span_start), 0) as prev from r where hit),
+  s as (select source_id, span_start as a, span_end as b, issue_id from m union all select source_id, prev, span_start, null from m where prev < span_start
+    union all select cast(doc_id as varchar), coalesce(fin, 0), length(text), null from documents left join (select source_id, max(span_end) as fin from m group by all) on source_id = cast(doc_id as varchar)
+      where coalesce(fin, 0) < length(text))
+  select d.source as workspace_id, source_id, issue_id, md5(substr(text, a + 1, b - a)) as segment, row_number() over (partition by source_id order by a) - 1 as pos
+  from s join documents d on cast(d.doc_id as varchar) = source_id
+  union all select 'mirror', cast(doc_id as varchar), null, md5(text), 0 from documents where text <> ''"""
+
+
+@register("segments", _SEGMENTS)
 def _(spark, d):
-    """Segments concatenate to the text again."""
-    s = pt.segments(fixes(spark, d), texts(spark, d))
-    return (s.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "segment"))).alias("c"))
-            .select("source_id", F.md5(F.expr("array_join(transform(c, x -> x.segment), '')")).alias("text")))
+    """Every part with its place and issue; the parts of a text concatenate to it."""
+    return pt.segments(fixes(spark, d), texts(spark, d)).select("workspace_id", "source_id", "issue_id", F.md5("segment").alias("segment"), "pos")
 
 
 # -- reports (A1-A17, X1, X2, S19-S21) ------------------------------------------------
@@ -786,7 +816,7 @@ shared("issue_summary", lambda s, d: rp.summary(issues(s, d), ["workspace_id"]).
     "workspace_id", "total_issues", "definite_errors", "suggestions", "needs_review", F.expr("by_severity['high']").alias("high"), F.expr("by_source['image']").alias("image")),
     f"""select workspace_id, count(*) as total_issues, count(*) filter (is_definite) as definite_errors, count(*) filter (not is_definite and severity <> 'needs_review') as suggestions,
     count(*) filter (severity = 'needs_review') as needs_review, nullif(count(*) filter (severity = 'high'), 0) as high, nullif(count(*) filter (source_type = 'image'), 0) as image from ({ISSUES}) where {_ACT} group by all""")
-SOURCES = "select distinct concat('w', user_id % 20) as workspace_id, 'caption' as source_type, concat('d', user_id) as source_id, concat('text ', user_id) as text from events"
+SOURCES = f"select distinct concat('w', user_id % 20) as workspace_id, 'caption' as source_type, {_SRC} as source_id, concat('text ', user_id) as text from events"
 sources = lambda s, d: view(s, d, SOURCES, "events")
 sess = lambda s, d: rp.sessions(sources(s, d), issues(s, d), assets(s, d))
 _CATSQL = rp.CATEGORY.replace("bool_or", "bool_or")
@@ -968,25 +998,6 @@ def _(spark, d):
     return _run(inc.fast_issues(s, Lexicon(), {57}), "append").select("source_id", "span_start", "span_end", "original", "suggestion")
 
 
-@register("stream_changed_content", "select text as source_id, 1 as versions from documents group by text")
-def _(spark, d):
-    """Every version once, repeats dropped."""
-    s = _stream(spark, d, "documents").select(F.lit("w").alias("workspace_id"), F.lit("caption").alias("source_type"), F.col("text").alias("source_id"),
-                                              "text", F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    out = _run(inc.changed_content(s), "append")
-    return out.groupBy("source_id").agg(F.expr("cast(count(1) as int)").alias("versions"))
-
-
-@register("stream_jobs", f"select job_id, count(*) as events from ({JOBS}) group by all")
-def _(spark, d):
-    """State machine over job events."""
-    s = _stream(spark, d, "events")
-    s.createOrReplaceTempView("events_stream")
-    j = spark.sql(JOBS.replace("from events", "from events_stream"))
-    out = _run(inc.job_stream(j), "update")
-    return out.groupBy("job_id").agg(F.max("events").alias("events"))
-
-
 @register("stream_stale", "select doc_id as source_id, n_chars % 4 = 0 as stale from documents")
 def _(spark, d):
     """T4."""

@@ -1,24 +1,15 @@
-"""Incremental runs as structured streams."""
+"""Stateless streams and job tables (T1, T3-T7); merging, re-checks and timers have modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from redpencil.lexicon import Lexicon
+from redpencil.operators.candidates import scope
 from redpencil.operators.checker import check
-from redpencil.operators.candidates import merge_issues
-from redpencil.operators.decisions import NARROW, fingerprint
-
-
-def changed_content(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each version of a text once; the watermark bounds the state."""
-    return (stream.withColumn("fingerprint", fingerprint("workspace_id", "source_type", "source_id", "text"))
-            .withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source_id", "fingerprint"]))
+from redpencil.operators.decisions import NARROW
+from redpencil.streaming.stateful import PROGRESS, STALL_SECONDS
 
 
 def fast_issues(stream: DataFrame, lex: Lexicon, rules: set[int] | None = None) -> DataFrame:
@@ -35,29 +26,9 @@ def with_decisions(stream: DataFrame, decided: DataFrame) -> DataFrame:
 
 def reject_stale(stream: DataFrame, current: DataFrame) -> DataFrame:
     """T4: mark results whose fingerprint no longer holds."""
-    now = current.select("source_id", F.col("fingerprint").alias("_now"))
-    return stream.join(now, "source_id", "left").withColumn("stale", F.expr("not (fingerprint <=> _now)")).drop("_now")
-
-
-def merge_sink(path: str, stored: DataFrame, keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that merges late candidates into the issues stored so far.
-
-    Batch n reads version n - 1 (at first the fast issues in ``stored``) and writes version n, so a
-    replayed batch overwrites its own version and nothing else.  ``candidates`` carry ``ord``.
-    """
-    spark = stored.sparkSession
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        before = stored if epoch == 0 else spark.read.schema(stored.schema).parquet(f"{path}/version={epoch - 1}")
-        merged = merge_issues(before, batch, keys).select(*before.columns)
-        merged.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-    return write
-
-
-# Progress per phase; a completed phase adds six, up to 96.
-PROGRESS = {"ocr": 42, "caption_ai": 58, "image_ai": 72, "self_check": 86, "merge": 94}
-TERMINAL = ("completed", "failed")
-STALL_SECONDS = 270
+    keys = scope(["source_id"], stream, current)
+    now = current.select(*keys, F.col("fingerprint").alias("_now"))
+    return stream.join(now, keys, "left").withColumn("stale", F.expr("not (fingerprint <=> _now)")).drop("_now")
 
 
 def job_state(events: DataFrame) -> DataFrame:
@@ -75,36 +46,6 @@ def job_state(events: DataFrame) -> DataFrame:
                f"else {base} end").alias("progress"), "updated_at")
 
 
-def job_stream(events: DataFrame) -> DataFrame:
-    """Job state machine; state goes when a job ends.
-
-    Stalled jobs (T5) are found over the event table by :func:`stalled_jobs`, so
-    the stream needs no timers and ends cleanly under ``availableNow``.
-    """
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (job_id,) = key
-        phase, status, seen = state.get if state.exists else ("queued", "queued", 0)
-        latest = None
-        for pdf in batches:
-            seen += len(pdf)
-            row = pdf.sort_values("ts").iloc[-1]
-            if latest is None or row["ts"] >= latest["ts"]:
-                latest = row
-        if latest is not None:
-            phase, status = str(latest["phase"]), str(latest["status"])
-        if phase in TERMINAL or status == "failed":
-            if state.exists:
-                state.remove()
-        else:
-            state.update((phase, status, seen))
-        shown = phase if phase in TERMINAL else ("failed" if status == "failed" else "running")
-        yield pd.DataFrame({"job_id": [job_id], "phase": [phase], "status": [shown], "events": [seen]})
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        update, "job_id string, phase string, status string, events bigint",
-        "phase string, status string, events bigint", "update", GroupStateTimeout.NoTimeout)
-
-
 def stalled_jobs(events: DataFrame, now: str) -> DataFrame:
     """T5 in batch: jobs without a terminal event for longer than the limit."""
     last = events.groupBy("job_id").agg(

@@ -90,17 +90,17 @@ def test_merge_prefers_rules_then_longer(spark):
 
 
 def test_late_candidates_merge_into_stored_issues(spark, tmp_path):
-    from redpencil.streaming.incremental import merge_sink
-
-    cols = "source_type string, source_id string, severity string, original string, span_start int, span_end int, issue_id string"
-    fast = spark.createDataFrame([("caption", "1", "low", "ab", 0, 2, "rule")], cols)
-    late = [[("caption", "1", "high", "bc", 1, 3, "clash", 1), ("caption", "1", "low", "xyz", 10, 13, "new", 2)],
-            [("caption", "1", "low", "yz", 11, 13, "inside", 3), ("caption", "2", "low", "q", 0, 1, "other", 4)]]
-    sink = merge_sink(str(tmp_path / "issues"), fast)
-    for epoch in (0, 1, 1):  # the last batch is replayed
-        sink(spark.createDataFrame(late[epoch], cols + ", ord bigint"), epoch)
-    got = {r.issue_id for r in spark.read.parquet(str(tmp_path / "issues/version=1")).collect()}
-    assert got == {"rule", "new", "other"}
+    from redpencil.streaming.issue_store import IssueStore
+
+    cols = ("source_type string, source_id string, severity string, original string, span_start int, span_end int, issue_id string, "
+            "origin string, ord bigint")
+    late = [[("caption", "1", "low", "ab", 0, 2, "rule", "rule", 0)],
+            [("caption", "1", "high", "bc", 1, 3, "clash", "candidate", 1), ("caption", "1", "low", "xyz", 10, 13, "new", "candidate", 2)],
+            [("caption", "1", "low", "yz", 11, 13, "inside", "candidate", 3), ("caption", "2", "low", "q", 0, 1, "other", "candidate", 4)]]
+    store = IssueStore(spark, str(tmp_path / "issues"), spark.createDataFrame([], cols).schema, 8, ["source_type", "source_id"])
+    for epoch in (0, 1, 2, 2):  # the last batch is replayed
+        store.write(spark.createDataFrame(late[epoch], cols), epoch)
+    assert {r.issue_id for r in store.issues().collect()} == {"rule", "new", "other"}
 
 
 def test_patches_apply_right_to_left(spark):
