@@ -134,8 +134,9 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: n
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of an A and a B token whose byte ranges overlap, as positions; empty tokens link with nothing."""
     start_a, start_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
-    first = np.searchsorted(ends_b, start_a, side="right")
-    n = np.where(ends_a > start_a, np.searchsorted(start_b, ends_a, side="left") - first, 0)
+    owner = np.repeat(np.arange(len(ends_b)), ends_b - start_b)  # the B token of each byte
+    first = owner[np.minimum(start_a, len(owner) - 1)]
+    n = np.where(ends_a > start_a, owner[ends_a - 1] - first + 1, 0)
     a = np.repeat(np.arange(len(ends_a)), n)
     b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
     full = ends_b[b] > start_b[b]
