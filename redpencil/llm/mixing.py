@@ -106,24 +106,24 @@ def mix(df: DataFrame, levels: dict[str, Column], weight: Callable[[tuple], floa
     plan = [(k, list(p), goal[p] // supply[p] if supply[p] else 0, goal[p] % supply[p] if supply[p] else 0, max(1, -(-r["rows"] // BUCKET_ROWS)))
             for k, r in enumerate(stats) for p in [tuple(r["__path"])]]
     spark = df.sparkSession
-    leaves = spark.createDataFrame(plan, "leaf int, path array<string>, full long, rest long, buckets long")
-    rows = rows.join(F.broadcast(leaves), F.col("__path") == F.col("path"))  # at most MAX_LEAVES rows
-    key = F.pmod(F.xxhash64(F.lit(seed), F.col("full"), F.col(id_col).cast("string")), F.lit(_RING))
-    rows = rows.withColumn("__key", key).withColumn("__bucket", F.expr(f"__key * buckets div {_RING}L"))
-
-    sums = rows.where("rest > 0").groupBy("leaf", "__bucket").agg(F.sum("__tokens").alias("sum"), F.first("rest").alias("rest"))
-    inside = Window.partitionBy("leaf").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(inside), F.lit(0)))
-    cuts = stored(before.where("before < rest and before + sum >= rest").groupBy("leaf").agg(
-        F.min(F.struct("__bucket", "before")).alias("c")).select("leaf", F.col("c.__bucket").alias("cut"), F.col("c.before").alias("before")), "cuts")
-    rows = rows.join(F.broadcast(cuts), "leaf", "left")  # one row for each leaf at most
-
-    everything = rows.where("full > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).withColumn(
+    leaves = spark.createDataFrame(plan, "__leaf int, __leaf_path array<string>, __full long, __rest long, __buckets long")
+    rows = rows.join(F.broadcast(leaves), F.col("__path") == F.col("__leaf_path"))  # at most MAX_LEAVES rows
+    key = F.pmod(F.xxhash64(F.lit(seed), F.col("__full"), F.col(id_col).cast("string")), F.lit(_RING))
+    rows = rows.withColumn("__key", key).withColumn("__bucket", F.expr(f"__key * __buckets div {_RING}L"))
+
+    sums = rows.where("__rest > 0").groupBy("__leaf", "__bucket").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest"))
+    inside = Window.partitionBy("__leaf").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(inside), F.lit(0)))
+    cuts = stored(before.where("__before < __rest and __before + __sum >= __rest").groupBy("__leaf").agg(
+        F.min(F.struct("__bucket", "__before")).alias("c")).select("__leaf", F.col("c.__bucket").alias("__cut"), F.col("c.__before").alias("__before")), "cuts")
+    rows = rows.join(F.broadcast(cuts), "__leaf", "left")  # one row for each leaf at most
+
+    everything = rows.where("__full > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - 1))).withColumn(
         "__taken", F.col("__tokens"))
-    ahead = rows.where("__bucket < cut").withColumn("__epoch", F.col("full")).withColumn("__taken", F.col("__tokens"))
-    order = Window.partitionBy("leaf").orderBy("__key", F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = (rows.where("__bucket = cut").withColumn("__start", F.col("before") + F.sum("__tokens").over(order) - F.col("__tokens"))
-              .where("__start < rest").withColumn("__epoch", F.col("full")).withColumn("__taken", F.least("__tokens", F.col("rest") - F.col("__start"))))
+    ahead = rows.where("__bucket < __cut").withColumn("__epoch", F.col("__full")).withColumn("__taken", F.col("__tokens"))
+    order = Window.partitionBy("__leaf").orderBy("__key", F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_cut = (rows.where("__bucket = __cut").withColumn("__start", F.col("__before") + F.sum("__tokens").over(order) - F.col("__tokens"))
+              .where("__start < __rest").withColumn("__epoch", F.col("__full")).withColumn("__taken", F.least("__tokens", F.col("__rest") - F.col("__start"))))
     out = [F.col(f"`{c}`") for c in names if c not in ("mix_path", "epoch", "tokens", "taken")] + [
         F.col("__path").alias("mix_path"), F.col("__epoch").cast("int").alias("epoch"), F.col("__tokens").alias("tokens"), F.col("__taken").alias("taken")]
     return everything.select(*out).unionByName(ahead.select(*out)).unionByName(at_cut.select(*out))

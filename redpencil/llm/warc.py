@@ -147,15 +147,20 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
         return None
 
 
-def _parse(record: bytes) -> dict:
+def _parse(record: bytes) -> dict | None:
+    """The fields of a record; None if its header does not name a type and a length."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8").split("\r\n")[1:])}
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]  # foreign headers may hold any bytes
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    if "warc-type" not in fields or not fields.get("content-length", "").isdecimal():
+        return None
     block = rest[:int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = fields["warc-type"] == "revisit"
     claimed = fields.get("warc-payload-digest", "").partition(":")[2]
     found = claimed if revisit else base32_sha1(payload)
-    length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), None)
+    sizes = (v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length")
+    length = next((int(v) for v in sizes if v.isdigit()), None)
     return {"record_type": fields["warc-type"], "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"),
             "date": fields.get("warc-date"), "key": fields.get("x-row-key") or None, "refers_key": fields.get("x-refers-to-key"),
             "payload_bytes": length if revisit else len(payload), "payload_digest": found, "digest_ok": found == claimed,
@@ -175,10 +180,11 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, int
         if at >= end:
             return
         member = _member(window, at)
-        if member is None:
+        fields = None if member is None else _parse(member[0])
+        if fields is None:
             at += 1
             continue
-        yield at, member[1] - at, _parse(member[0])
+        yield at, member[1] - at, fields
         at = member[1]
 
 
@@ -189,7 +195,8 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, split_byte
     ``files`` has path and bytes. A task scans its byte range for the gzip magic, accepts a place
     only if the header decoded there is a record's, and owns the records that start inside its
     range, to their end beyond it. So every record is read once, whatever ``split_bytes`` is. A
-    damaged member is passed over and the scan goes on behind its first byte.
+    damaged member, or one whose header names no type or length, is passed over and the scan goes
+    on behind its first byte. Records of other writers carry no row key: key and refers_key are null.
 
     A payload that itself holds a whole stored (not deflated) archive member could be taken for a
     record where a range starts inside it; the writer above always deflates.

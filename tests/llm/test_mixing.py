@@ -82,3 +82,13 @@ def test_edges(spark):
     long = spark.createDataFrame([(1, " a\n" * 100_000)], "doc_id long, text string")
     one = mixing.cut_texts(mixing.mix(long, {"x": F.lit(None)}, lambda p: 1.0, 70_000)).first()
     assert one.taken == 70_000 and len(one.text.split()) == 70_000 and one.text.startswith(" a\n a")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["path", "leaf", "full", "rest", "buckets", "cut", "before", "sum", "c", "rows"]
+    df = spark.createDataFrame([(k, "a b c", "s" + str(k % 2)) for k in range(9)], "doc_id long, text string, source string")
+    wide = df.select("*", *[F.lit(n).alias(n) for n in names])
+    got = mixing.mix(wide, {"source": F.col("source")}, lambda p: 2.0 if p[-1] == "s1" else 1.0, total_tokens=20).collect()
+    plain = mixing.mix(df, {"source": F.col("source")}, lambda p: 2.0 if p[-1] == "s1" else 1.0, total_tokens=20).collect()
+    key = lambda rows: sorted((r.doc_id, r.epoch, r.taken) for r in rows)
+    assert key(got) == key(plain) and all(r[n] == n for r in got for n in names)

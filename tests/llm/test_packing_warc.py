@@ -158,3 +158,13 @@ def test_sequences_against_the_least(spark):
     r = packing.against_least(packed, 64).first()
     fills = packed.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert packed.count() == 3000 and fills.max() <= 64 and r.sequences == len(fills) and r.least <= r.sequences <= r.least + 2
+
+
+def test_foreign_headers_do_not_stop_a_reader():
+    member = lambda head, body=b"": gzip.compress(head + b"\r\n\r\n" + body + b"\r\n\r\n")
+    good = member(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 6\r\nWARC-Target-URI: http://x/\xff", b"\r\n\r\nok")
+    odd = [member(b"WARC/1.0\r\nWARC-Type: response"), member(b"WARC/1.0\r\nContent-Length: 3", b"abc"), member(b"WARC/1.0\r\nWARC-Type: x\r\nContent-Length: many"),
+           member(b"WARC/1.1")]
+    data = b"".join([odd[0], good, *odd[1:], good])
+    found = [f for _, _, f in warc.records_in(io.BytesIO(data), len(data), 0, len(data))]
+    assert [(f["record_type"], f["payload"], f["key"], f["refers_key"]) for f in found] == [("response", b"ok", None, None)] * 2
