@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +9,8 @@ from pyspark.sql import functions as F
 from redpencil.functions import text as tx
 from redpencil.functions.exprs import fresh, lit, spans
 from redpencil.lexicon import Lexicon
+from redpencil.operators import batches
+from redpencil.operators.groups import connected, kept_rows
 from redpencil.operators.structure_rules import DATE_TOKEN
 
 # Words that mark a box as a sentence or an instruction.
@@ -117,19 +116,32 @@ def dedupe_boxes(boxes: DataFrame) -> DataFrame:
     """Same text and overlap above .45 of the smaller area; the most
     confident reading stays, in the place of the first.
 
-    Groups are (asset, text) split further where boxes cannot touch, so one
-    text repeated over a huge image set never meets in one group.
+    Boxes of one asset and text are dealt to the cells of a grid that they touch, and pairs that
+    overlap enough meet in a cell; only boxes that such pairs join are folded together, so a text
+    repeated over a huge image never meets in one group. Boxes that are equal in text and place are
+    one candidate for pairs.
     """
     from pyspark.sql.types import _parse_datatype_string
 
-    key = F.expr(tx.comparable("text"))
-    w = W.partitionBy("asset_id", "_key").orderBy("_x0", "_x1")
-    b = (boxes.withColumn("_key", key).withColumn("_x0", F.col("bbox.x0")).withColumn("_x1", F.col("bbox.x1"))
-         .withColumn("_m", F.max("_x1").over(w.rowsBetween(W.unboundedPreceding, -1)))
-         .withColumn("_o", F.expr("if(_m is null or _x0 >= _m, 1, 0)"))
-         .withColumn("_island", F.sum("_o").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    key = [F.col("asset_id"), F.expr(tx.comparable("text")).alias("_key")]
+    spot = kept_rows(boxes.select(*key, "bbox").distinct().withColumn("node", F.monotonically_increasing_id()), "spots")
+    # cells about as wide as the boxes of the text, so that most touch few of them and none more than some thousand
+    side = lambda c: F.greatest(F.avg(F.expr(f"abs(bbox.{c}1 - bbox.{c}0)")), F.max(F.expr(f"abs(bbox.{c}1 - bbox.{c}0)")) / 32, F.lit(1.0))
+    size = spot.groupBy("asset_id", "_key").agg(side("x").alias("_w"), side("y").alias("_h"))
+    same_text = [F.col("s.asset_id").eqNullSafe(F.col("z.asset_id")), F.col("s._key").eqNullSafe(F.col("z._key"))]
+    j = spot.alias("s").join(size.alias("z"), same_text).select("s.*", "_w", "_h")
+    span = lambda c, w: f"sequence(cast(floor(least(bbox.{c}0, bbox.{c}1) / {w}) as bigint), cast(floor(greatest(bbox.{c}0, bbox.{c}1) / {w}) as bigint))"
+    cells = j.withColumn("_cx", F.explode(F.expr(span("x", "_w")))).withColumn("_cy", F.explode(F.expr(span("y", "_h"))))
+    one = cells.select("asset_id", "_key", "_cx", "_cy", F.col("node").alias("a"), F.struct("bbox").alias("p"))
+    two = cells.select(F.col("asset_id").alias("_a2"), F.col("_key").alias("_k2"), F.col("_cx").alias("_x2"), F.col("_cy").alias("_y2"),
+                       F.col("node").alias("b"), F.struct("bbox").alias("q"))
+    met = one.join(two, one["asset_id"].eqNullSafe(two["_a2"]) & one["_key"].eqNullSafe(two["_k2"]) & (F.col("_cx") == F.col("_x2")) & (F.col("_cy") == F.col("_y2")))
+    pairs = met.where(f"a < b and {_overlap_ratio('p', 'q')} > 0.45").select("a", "b").distinct()
+    island = spot.join(connected(spot, pairs), "node").select("asset_id", "_key", "bbox", F.col("group").alias("_island"))
     item = F.struct("ord", "box_id", "text", "confidence", "bbox").cast(_parse_datatype_string(_BOX))
-    g = b.groupBy("asset_id", "_key", "_island").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    b = boxes.select("*", key[1])
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("asset_id", "_key", "bbox")]
+    g = b.alias("b").join(island.alias("i"), same).select("b.*", "_island").groupBy("asset_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("c"))
     a, x, k, y, i = (fresh(n) for n in "axkyi")
     first = f"array_position(transform({a}, {k} -> {_overlap_ratio(k, x)} > 0.45), true)"
     better = (f"named_struct('ord', {y}.ord, 'box_id', {y}.box_id, 'text', {x}.text, 'confidence', {x}.confidence, "
@@ -205,31 +217,10 @@ MAX_BATCH_BOXES, MAX_BATCH_CHARS, BATCH_OVERHEAD = 36, 5200, 80
 
 def budget_batches(boxes: DataFrame, group: str = "workspace_id", max_boxes: int = MAX_BATCH_BOXES,
                    max_chars: int = MAX_BATCH_CHARS, overhead: int = BATCH_OVERHEAD) -> DataFrame:
-    """Consecutive boxes share a batch until ``max_boxes`` boxes or ``max_chars`` characters; every box gets one.
-
-    The running budget resets at every cut, so a group is read in order; rows
-    stream through one task with constant memory (no group is collected).
-    """
-    sized = boxes.select(group, "ord", "box_id", F.length("text").alias("n"))
-    ordered = sized.repartition(F.col(group)).sortWithinPartitions(group, "ord")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, batch, count, chars = None, 0, 0, 0
-        for pdf in batches:
-            ids = []
-            for g, n in zip(pdf[group], pdf["n"]):
-                cost = n + overhead
-                if g != current:
-                    current, batch, count, chars = g, 0, 0, 0
-                elif count >= max_boxes or chars + cost > max_chars:
-                    batch, count, chars = batch + 1, 0, 0
-                count, chars = count + 1, chars + cost
-                ids.append(batch)
-            yield pd.DataFrame({group: pdf[group], "ord": pdf["ord"], "box_id": pdf["box_id"], "batch_id": ids})
-
-    kind = dict(sized.dtypes)
-    return ordered.mapInPandas(
-        cut, f"{group} {kind[group]}, ord {kind['ord']}, box_id {kind['box_id']}, batch_id int")
+    """Consecutive boxes share a batch until ``max_boxes`` boxes or ``max_chars`` characters; every box gets one."""
+    sized = boxes.select(group, "ord", "box_id", (F.length("text") + overhead).alias("_size"))
+    return batches.budget_batches(sized, group, ["ord", "box_id"], "_size", max_boxes, max_chars).select(
+        group, "ord", "box_id", F.col("batch_id").cast("int").alias("batch_id"))
 
 
 def review_score(text: str, confidence: str, words: tuple[str, ...] = ()) -> str:

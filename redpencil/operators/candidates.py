@@ -10,6 +10,7 @@ from redpencil.functions import text as tx
 from redpencil.functions.exprs import contains, fresh, let, lit, overlaps
 from redpencil.lexicon import Lexicon
 from redpencil.operators import ranges as rg
+from redpencil.operators.groups import connected, containing_pairs, kept_rows
 
 
 def scope(base: list[str], *tables: DataFrame) -> list[str]:
@@ -269,18 +270,49 @@ def unique_issues(issues: DataFrame) -> DataFrame:
     return g.select(F.expr(f"inline({fold})"))
 
 
+def nested_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (full issues without a place in a text) with ``island``: issues that J13 can relate share one.
+
+    Two such issues are related if one original holds the other and one suggestion the other. Equal
+    pairs of texts are one node; nodes meet by rare runs of letters, so a block of any number of
+    issues falls into the groups that its texts make. A combined issue carries the texts of one of
+    its members, so what J14 to J16 do stays inside a group.
+    """
+    texts = [F.expr(tx.comparable("original")).alias("ao"), F.expr(tx.comparable("suggestion")).alias("ag")]
+    fold = [F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("null")).alias(f"_{k}") for k in BLOCK]
+    block = [f"_{k}" for k in BLOCK]
+    keyed = rows.select(*rows.columns, *fold, *texts)
+    nodes = kept_rows(keyed.groupBy(*block, "ao", "ag").agg(F.min(F.struct("ord", "issue_id")).alias("head")).withColumn(
+        "node", F.monotonically_increasing_id()), "nodes")
+    whole = nodes.where("ao is not null and ag is not null")
+    pairs = containing_pairs(whole, block, "ao")
+    ends = nodes.select("node", "ag")
+    both = (pairs.join(ends.select(F.col("node").alias("a"), F.col("ag").alias("ag_a")), "a")
+            .join(ends.select(F.col("node").alias("b"), F.col("ag").alias("ag_b")), "b")
+            .where("contains(ag_a, ag_b) or contains(ag_b, ag_a)").select("a", "b"))
+    groups = connected(nodes, both)
+    island = nodes.join(groups, "node").select(*block, "ao", "ag", F.col("group").alias("island"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"g.{c}")) for c in [*block, "ao", "ag"]]
+    return keyed.alias("k").join(island.alias("g"), same).select(*[F.col(f"k.{c}") for c in rows.columns], F.col("g.island").alias("island"))
+
+
 def _grouped(issues: DataFrame) -> DataFrame:
-    """The issues of each block (and island of a caption) in order, as one array."""
+    """The issues of each group that J13 can relate, in order, as one array: nested texts, or overlapping places of a caption."""
     rows = full_rows(issues)
-    images = rows.where("source_type <> 'caption' or span_start is null").withColumn("island", F.lit(0).cast("bigint"))
+    images = nested_groups(rows.where("source_type <> 'caption' or span_start is null"))
     captions = overlap_islands(rows.where("source_type = 'caption' and span_start is not null"), BLOCK)
     both = images.unionByName(captions.withColumn("island", F.col("island").cast("bigint")))
     return both.groupBy(*BLOCK, "island").agg(F.array_sort(F.collect_list(F.struct(*ISSUE))).alias("c"))
 
 
 def clusters(issues: DataFrame) -> DataFrame:
-    """Every issue joins the first cluster holding a related issue."""
-    g = _grouped(issues)
+    """Every issue joins the first cluster holding a related issue; ``cluster`` counts within ``island``."""
+    g = _clustered(_grouped(issues))
+    return g.select(*BLOCK, "island", F.posexplode("clusters").alias("cluster", "members"))
+
+
+def _clustered(groups: DataFrame) -> DataFrame:
+    """(block, island, clusters) from the ordered issues ``c`` of each group."""
     a, x, k, y, i = (fresh(n) for n in "axkyi")
     z = fresh("z")
     first = f"array_position(transform({a}, {k} -> exists({k}, {z} -> {related(z, x)})), true)"
@@ -288,7 +320,7 @@ def clusters(issues: DataFrame) -> DataFrame:
         f"if({f} = 0, concat({a}, array(array({x}))), "
         f"transform({a}, ({y}, {i}) -> if({i} + 1 = {f}, concat({y}, array({x})), {y})))"))
     fold = f"aggregate(c, cast(array() as array<array<{ISSUE_TYPE}>>), ({a}, {x}) -> {step})"
-    return g.select(*BLOCK, "island", F.posexplode(F.expr(fold)).alias("cluster", "members"))
+    return groups.select(*BLOCK, "island", F.expr(fold).alias("clusters"))
 
 
 CONFIRM = "Needs confirmation: found by one image review step only."
@@ -298,13 +330,16 @@ def accept_by_consensus(candidates: DataFrame, current: DataFrame) -> DataFrame:
     """Clusters backed by a rule, by two sources or by a confident definite
     finding are accepted; of the others the best one is staged for review.
     Result: the block's issues, full rows, after pushing (J14) onto the current ones."""
-    per_block = clusters(candidates.where("source_type = 'image'")).groupBy(*BLOCK).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("island", "cluster", "members"))), lambda t: t["members"]).alias("clusters"))
     now = full_rows(current)
-    cur = now.where("source_type = 'image'").groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct(*ISSUE))).alias("current"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in BLOCK]
-    j = per_block.alias("c").join(cur.alias("p"), same, "left").select(
-        *[F.col(f"c.{k}") for k in BLOCK], "clusters", F.expr(f"coalesce(current, cast(array() as array<{ISSUE_TYPE}>))").alias("current"))
+    # candidates and current issues that can be related form one group; groups do not touch each other
+    tagged = full_rows(candidates.where("source_type = 'image'")).withColumn("_new", F.lit(True)).unionByName(
+        now.where("source_type = 'image'").withColumn("_new", F.lit(False)))
+    tagged = kept_rows(nested_groups(tagged), "tagged")
+    of = lambda new: tagged.where("_new" if new else "not _new").groupBy(*BLOCK, "island").agg(F.array_sort(F.collect_list(F.struct(*ISSUE))).alias("c"))
+    per_group = _clustered(of(True))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*BLOCK, "island"]]
+    j = per_group.alias("c").join(of(False).withColumnRenamed("c", "current").alias("p"), same, "left").select(
+        "c.clusters", F.expr(f"coalesce(current, cast(array() as array<{ISSUE_TYPE}>))").alias("current"))
     state, members = fresh("state"), fresh("members")
     e, m, n, v = (fresh(x) for x in "emnv")
     backed = f"exists({state}, {e} -> exists({members}, {m} -> {related(e, m)}))"
@@ -335,5 +370,7 @@ def accept_by_consensus(candidates: DataFrame, current: DataFrame) -> DataFrame:
     # each cluster is judged against the issues as the clusters before it have left them
     step = push_unique(state, f"if({accepted}, {by_severity}, {review})")
     touched = j.select(F.expr(f"inline(aggregate(clusters, current, ({state}, {members}) -> {step}))"))
-    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in BLOCK]
-    return touched.unionByName(now.alias("i").join(per_block.select(*BLOCK).alias("b"), same, "left_anti").select(*ISSUE))
+    # groups without a candidate, and issues of other sources, stay as they are
+    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*BLOCK, "island"]]
+    rest = tagged.where("not _new").alias("i").join(per_group.select(*BLOCK, "island").alias("b"), same, "left_anti").select(*ISSUE)
+    return touched.unionByName(rest).unionByName(now.where("source_type <> 'image'").select(*ISSUE))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
 from redpencil.functions.exprs import (
-    HIT_TYPE, any_contains, any_overlap, contains, empty, field, fresh, let, lit, merge_ranges, overlaps, scan, spans,
+    HIT_TYPE, any_contains, any_overlap, contains, empty, field, fresh, let, lit, merge_ranges, scan, spans,
 )
 from redpencil.lexicon import Lexicon
 from redpencil.operators import ranges as rg
@@ -130,11 +130,25 @@ def settle(island: str) -> str:
     )
     d = fresh("d")
     pushed = f"if(exists({island}, {d} -> {d}.r div 10 in ({dictionary})), {pushed}, {island})"
-    kept = (
-        f"aggregate({ordered(pushed, rank_key)}, {empty(HIT_TYPE)}, ({k}, {c}) -> "
-        f"if(exists({k}, {q} -> {overlaps(q, c)}), {k}, concat({k}, array({c}))))"
-    )
-    return f"if(size({island}) = 1, {island}, {kept})"
+    return f"if(size({island}) = 1, {island}, {spread(ordered(pushed, rank_key))})"
+
+
+def spread(ranked: str) -> str:
+    """Best first, each hit that overlaps none accepted before it.
+
+    Accepted hits stay in the order of their places, so a hit finds its neighbours by bisection.
+    """
+    k, c, b, n, m = (fresh(x) for x in ("k", "c", "b", "n", "m"))
+    middle = f"cast(({b}.lo + {b}.hi) div 2 as int)"
+    halve = let(middle, lambda mid: (
+        f"if({b}.lo >= {b}.hi, {b}, if(get({k}, {mid}).e > {c}.s, named_struct('lo', {b}.lo, 'hi', {mid}), "
+        f"named_struct('lo', {mid} + 1, 'hi', {b}.hi)))"))
+    # the first accepted hit that ends behind the start of this one
+    place = (f"aggregate(sequence(0, cast(log2(size({k}) + 1) as int)), named_struct('lo', 0, 'hi', size({k})), ({b}, {n}) -> {halve}).lo")
+    step = let(place, lambda at: (
+        f"if({at} < size({k}) and get({k}, {at}).s < {c}.e, {k}, "
+        f"concat(slice({k}, 1, {at}), array({c}), slice({k}, {at} + 1, size({k}))))"))
+    return f"aggregate({ranked}, {empty(HIT_TYPE)}, ({k}, {c}) -> {step})"
 
 
 def bind(expr: str, **columns: str) -> str:

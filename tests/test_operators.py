@@ -135,3 +135,136 @@ def test_validation_keeps_protected_terms(spark, lexicon):
                                row("5", "Silver Fern", "Silver-Fern"), row("6", "recieve", "receive")], cols)
     t = spark.createDataFrame(list(texts.items()), "source_id string, text string")
     assert {r["source_id"] for r in cd.validate(c, t, lexicon).collect()} == {"2", "3"}
+
+
+def _related(a, b):
+    norm = lambda t: " ".join(t.lower().split())
+    inside = lambda x, y: x in y or y in x
+    return inside(norm(a["original"]), norm(b["original"])) and inside(norm(a["suggestion"]), norm(b["suggestion"]))
+
+
+def test_clusters_and_unique_issues_against_brute_force(spark):
+    import random
+
+    rnd, words = random.Random(4), ["a", "ab", "abc", "b c", "xyz", "xy", "", "long text abc", "q"]
+    rows = [(rnd.choice(["spelling", "style"]), rnd.choice(["low", "high"]), rnd.choice(words), rnd.choice(words), rnd.random(), False, "x") for _ in range(60)]
+    df = issue(spark, rows).withColumn("source_id", F.concat(F.lit("s"), F.col("ord") % 3))
+    found = [r.asDict() for r in df.orderBy("ord").collect()]
+    want = []
+    for s in ("s0", "s1", "s2"):
+        groups = []
+        for r in (x for x in found if x["source_id"] == s):
+            home = next((g for g in groups if any(_related(m, r) for m in g)), None)
+            groups.append([r]) if home is None else home.append(r)
+        want += [sorted(m["ord"] for m in g) for g in groups]
+    got = [sorted(m.ord for m in r.members) for r in cd.clusters(df).collect()]
+    assert sorted(got) == sorted(want)
+    pushed = []
+    for s in ("s0", "s1", "s2"):
+        state = []
+        for r in (x for x in found if x["source_id"] == s):
+            home = next((k for k, m in enumerate(state) if _related(m, r)), None)
+            if home is None:
+                state.append(dict(r))
+                continue
+            old = state[home]
+            norm = lambda t: " ".join(t.lower().split())
+            if len(r["original"]) < len(old["original"]) and norm(r["original"]) in norm(old["original"]):
+                old |= {c: r[c] for c in ("type", "original", "suggestion")}
+            old["confidence"] = max(old["confidence"], r["confidence"])
+            old["severity"] = "high" if "high" in (old["severity"], r["severity"]) else "low"
+        pushed += [(m["source_id"], m["ord"], m["type"], m["original"], m["suggestion"], m["severity"], m["confidence"]) for m in state]
+    got = [(r.source_id, r.ord, r.type, r.original, r.suggestion, r.severity, r.confidence) for r in cd.unique_issues(df).collect()]
+    assert sorted(got) == sorted(pushed)
+
+
+def test_a_block_of_many_issues_falls_apart(spark):
+    df = spark.range(20_000).selectExpr(
+        "id as ord", "'image' as source_type", "'s' as source_id", "'b' as box_id", "'style' as type", "'low' as severity",
+        "concat('w', lpad(cast(id div 2 as string), 6, '0'), if(id % 2 = 0, '', ' more')) as original", "concat('g', lpad(cast(id div 2 as string), 6, '0')) as suggestion",
+        "'r' as reason", "0.5D as confidence", "false as is_definite", "cast(null as int) as span_start", "cast(null as int) as span_end", "'open' as status", "'x' as created_by")
+    got = cd.clusters(df).groupBy(F.size("members").alias("n")).count().collect()
+    assert [(r.n, r["count"]) for r in got] == [(2, 10_000)]
+
+
+def _batches_by_loop(rows, most, budget):
+    out, seen = {}, {}
+    for g, o, cost in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        batch, n, total = seen.get(g, (0, 0, 0))
+        if n and (n >= most or total + cost > budget):
+            batch, n, total = batch + 1, 0, 0
+        seen[g] = (batch, n + 1, total + cost)
+        out[g, o] = batch
+    return out
+
+
+def test_budget_batches_equal_the_loop_at_any_chunk(spark, monkeypatch):
+    import random
+
+    from redpencil.operators import batches
+
+    rnd = random.Random(2)
+    rows = [(g, o, rnd.choice([1, 5, 30, 99, 200])) for g, n in (("a", 300), ("b", 41), (None, 90), ("c", 1)) for o in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, cost long").repartition(5)
+    want = _batches_by_loop(rows, 6, 150)
+    for chunk in (16, 4096):
+        monkeypatch.setattr(batches, "CHUNK", chunk)
+        got = {(r.g, r.o): r.batch_id for r in batches.budget_batches(df, "g", ["o"], "cost", 6, 150).collect()}
+        assert got == want
+
+
+def test_near_duplicate_boxes_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for k in range(160):
+        x, y = rnd.randrange(0, 60), rnd.randrange(0, 20)
+        rows.append((rnd.choice("ab"), k, f"b{k}", rnd.choice(["Sale", "sale ", "Off"]), rnd.randrange(100) / 100,
+                     (float(x), float(y), float(x + rnd.choice([4, 10, 40])), float(y + rnd.choice([5, 9])))))
+
+    def ratio(p, q):
+        w = max(0, min(p[2], q[2]) - max(p[0], q[0])) * max(0, min(p[3], q[3]) - max(p[1], q[1]))
+        area = lambda b: max(1, b[2] - b[0]) * max(1, b[3] - b[1])
+        return w / min(area(p), area(q))
+    want = []
+    for a in "ab":
+        for key in ("sale", "off"):
+            kept = []
+            for r in rows:
+                if r[0] == a and r[3].strip().lower() == key:
+                    at = next((k for k, m in enumerate(kept) if ratio(m[3], r[5]) > .45), None)
+                    if at is None:
+                        kept.append([r[2], r[3], r[4], r[5]])
+                    elif r[4] > kept[at][2]:
+                        kept[at][1:] = [r[3], r[4], r[5]]
+            want += [(a, m[0], m[1], m[2]) for m in kept]
+    b = spark.createDataFrame(rows, "asset_id string, ord bigint, box_id string, text string, confidence double, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    assert sorted((r.asset_id, r.box_id, r.text, r.confidence) for r in bx.dedupe_boxes(b).collect()) == sorted(want)
+
+
+def test_long_runs_of_overlapping_hits_settle_as_the_greedy_choice_does(spark):
+    import random
+    import time
+
+    from redpencil.functions.exprs import HIT_TYPE
+    from redpencil.operators.checker import spread
+
+    rnd = random.Random(1)
+
+    def run(n):
+        hits = [(rnd.randrange(2 * n), rnd.randrange(0, 40)) for _ in range(n)]
+        df = spark.createDataFrame([([(0, k, s, s + w, "", "") for k, (s, w) in enumerate(hits)],)], f"h array<{HIT_TYPE}>")
+        start = time.time()
+        got = [r.k for r in df.select(F.expr(spread("h")).alias("h")).first().h]
+        taken, kept = time.time() - start, []
+        free = []
+        for k, (s, w) in enumerate(hits):
+            if not any(a < s + w and s < b for a, b in free):
+                free.append((s, s + w))
+                kept.append(k)
+        assert sorted(got) == kept
+        return taken
+    run(50)
+    run(500)
+    run(3000)
