@@ -402,18 +402,6 @@ def _(spark, d):
     return out.select("source_type", "source_id", "issue_id")
 
 
-@register("unique_issues")
-def _(spark, d):
-    """Related issues of a block are folded into one."""
-    return cd.unique_issues(issues(spark, d)).select("source_id", "box_id", "original", "suggestion", "severity", "confidence", "created_by")
-
-
-@register("issue_clusters")
-def _(spark, d):
-    """J15."""
-    return cd.clusters(issues(spark, d)).select("source_type", "source_id", "box_id", "island", "cluster", F.size("members").alias("members"))
-
-
 @register("consensus")
 def _(spark, d):
     """J16."""
@@ -663,12 +651,6 @@ shared("box_lines", lambda s, d: bx.filter_lines(boxes(s, d)).select("box_id", "
        floor(x0 / 4 + 0.5), floor(y0 / 4 + 0.5), floor(x1 / 4 + 0.5), floor(y1 / 4 + 0.5) order by ord) as n from {_BX} where {_AL} >= 2 and (regexp_matches(text, '\p{{L}}') or regexp_matches(text, '[0-9]{{2,}}'))) where n = 1""")
 
 
-@register("box_near_duplicates")
-def _(spark, d):
-    """B7."""
-    return bx.dedupe_boxes(boxes(spark, d)).select("asset_id", "box_id", "text", "confidence")
-
-
 shared("box_rescale", lambda s, d: boxes(s, d).select("box_id", F.expr(bx.rescale("bbox", "0.37D", "0.5D", "200", "40")).alias("b")).select("box_id", "b.*"),
        f"""select box_id, cast(greatest(0, least(200, floor(x0 / 0.37::double + 0.5))) as double) as x0, cast(greatest(0, least(40, floor(y0 / 0.5 + 0.5))) as double) as y0,
        cast(greatest(0, least(200, floor(x1 / 0.37::double + 0.5))) as double) as x1, cast(greatest(0, least(40, floor(y1 / 0.5 + 0.5))) as double) as y1 from {_BX}""")
