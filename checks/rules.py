@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import IDS, POST, POSTS, PRE, f, lexicon, packed, posts, q, spans_cte, spans_sql, w
+from checks.base import IDS, POST, POSTS, PRE, f, lexicon, packed, posts, q, spans_cte, spans_sql, view, w
 from redpencil.functions import text as tx
 from redpencil.operators import dictionary as dic
 from redpencil.operators.checker import rule_hits
@@ -18,6 +18,18 @@ def _query(rule: int):
 
 QUERIES = {f"rule_{n:02d}": _query(n) for n in range(1, 80)}
 
+# posts with empty lines between, before and after, up to six of them
+SPACED = f"select doc_id, concat(repeat(chr(10), cast(n_chars % 4 as int)), text, repeat(chr(10), cast(n_chars % 7 as int)), 'x', repeat(chr(10), 3), text) as text from ({POSTS})"
+
+
+def _empty_lines(spark, sf_dir):
+    """R3."""
+    hits = rule_hits(view(spark, sf_dir, SPACED, "documents"), lexicon(), {3}, IDS, guard=False, resolve=False)
+    return hits.select("doc_id", "span_start", "span_end", "original", "suggestion")
+
+
+QUERIES["rule_03"] = _empty_lines
+
 pad = lambda x: f"lpad(cast(cast({x} as int) as varchar), 2, '0')"
 H_OK = lambda h, m: f"(cast({h} as int) <= 23 and cast({m} as int) <= 59)"
 EMOJI = tx.PICTOGRAPHIC.replace(r"\x{A9}", r"\x{00A9}").replace(r"\x{AE}", r"\x{00AE}")
@@ -200,7 +212,7 @@ def _date_formats() -> str:
 ORACLES = {
     1: _POSTS + _row("0 | length(regexp_extract(text, '^[ \\t]+')) | regexp_extract(text, '^[ \\t]+') | ''", "posts", "regexp_matches(text, '^[ \\t]')"),
     2: _POSTS + _row("length(text) - length(regexp_extract(text, '[ \\t]+$')) | length(text) | regexp_extract(text, '[ \\t]+$') | ''", "posts", "regexp_matches(text, '[ \\t]$')"),
-    3: spans_sql(r"\n{3,}", w(r"\0", "\n\n")),
+    3: spans_sql(r"\n{3,}", w(r"\0", "\n\n"), src_sql=SPACED),
     4: _LINES + _row("off | off + length(regexp_extract(line, '^[ \\t]+')) | regexp_extract(line, '^[ \\t]+') | ''", "l", "regexp_matches(line, '^[ \\t]')"),
     5: _LINES + _row("off + length(line) - length(regexp_extract(line, '[ \\t]+$')) | off + length(line) | regexp_extract(line, '[ \\t]+$') | ''", "l", "regexp_matches(line, '[ \\t]$')"),
     6: _LINES + _row("off + length(line) - length(ltrim(line)) | off + length(line) - length(ltrim(line)) + length(trim(line)) | trim(line) | ''", "l", "regexp_full_match(trim(line), '-{3,}|[*]{3,}|~{3,}|_{3,}')"),

@@ -490,8 +490,8 @@ assets = lambda s, d: view(s, d, ASSETS, "supplier")
 
 shared("first_artboard", lambda s, d: dc.first_artboard(layers(s, d), boards(s, d)),
        f"select asset_id, arg_min(artboard_id, ord) as artboard_id from ({LAYERS}) join ({BOARDS}) using (artboard_id) group by all")
-shared("panel_scope", lambda s, d: dc.panel_scope(issues(s, d), boards(s, d).where("ord < 5"), layers(s, d)).select("issue_id"),
-       f"""with b as (select * from ({BOARDS}) where ord < 5), u as (select distinct asset_id from ({LAYERS}) l join b using (artboard_id) where b.kind = 'visual')
+shared("panel_scope", lambda s, d: dc.panel_scope(issues(s, d), boards(s, d).where("kind <> 'note'"), layers(s, d)).select("issue_id"),
+       f"""with b as (select * from ({BOARDS}) where kind <> 'note'), u as (select distinct asset_id from ({LAYERS}) l join b using (artboard_id) where b.kind = 'visual')
        select issue_id from ({ISSUES}) i where case source_type when 'caption' then artboard_id is null or artboard_id in (select artboard_id from b)
          when 'image' then coalesce(artboard_id in (select artboard_id from b), false) or source_id in (select asset_id from u)
          else coalesce(artboard_id in (select artboard_id from b), false) end""")
@@ -858,8 +858,9 @@ shared("report_insights", lambda s, d: rp.insights(
     ).select("workspace_id", F.size("insights").alias("n"), F.expr("insights[0]").alias("first")),
     f"""with {_SESS}, {_K}, {_TOP} select workspace_id, 2 + case when floor(1000.0::double * clean / total + 0.5) / 10 < 70 then 1 else 0 end + case when floor(100.0 * text_image / total + 0.5) > 50 then 1 else 0 end as n,
     case when coalesce(violations, 0) > 0 then concat('Train on: ', label, ' (', percent, '%).') else 'Input quality is stable.' end as first from k left join (select * from top where rank = 1) using (workspace_id)""")
-shared("issue_groups", lambda s, d: rp.issue_groups(issues(s, d).withColumn("card_key", F.col("source_id"))).select("workspace_id", "card_key", "issue_id", "position"),
-       f"select workspace_id, source_id as card_key, issue_id, row_number() over (partition by workspace_id, source_id order by list_position(['critical','high','medium','low','suggestion','needs_review'], severity), issue_id) as position from ({ISSUES}) where {_OPEN}")
+shared("issue_groups", lambda s, d: rp.issue_groups(dc.card_labels(issues(s, d), boards(s, d), layers(s, d))).select("workspace_id", "card_key", "issue_id", "position"),
+       f"""with cards as ({ORACLE_SQL["card_labels"]}) select workspace_id, card_key, issue_id, row_number() over (partition by workspace_id, card_key
+       order by list_position(['critical','high','medium','low','suggestion','needs_review'], severity), issue_id) as position from ({ISSUES}) join cards using (issue_id) where {_OPEN}""")
 shared("coverage", lambda s, d: rp.coverage(
     issues(s, d).select(F.col("workspace_id").alias("target"), F.expr("workspace_id = 'w3'").alias("deep_running")).distinct(),
     issues(s, d).withColumn("target", F.col("workspace_id")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
 from redpencil.functions.exprs import lit
+from redpencil.operators.batches import numbered
 from redpencil.operators.structure_rules import date_tokens, reformat_date
 
 ACTIVE = "status not in ('ignored', 'resolved')"
@@ -179,11 +180,11 @@ def insights(k: DataFrame, top: DataFrame, peaks: DataFrame, by: list[str]) -> D
 def issue_groups(labelled: DataFrame, show_done: bool = False, by: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
     """Open issues numbered per card of a workspace, severe ones first.
 
-    A window, not a collected list: a card may hold any number of issues.
+    The rows are sorted over ranges, so a card may hold any number of issues and needs no task for itself.
     """
     rows = labelled if show_done else labelled.where(OPEN)
-    w = W.partitionBy(*by, "card_key").orderBy(F.expr(tx.severity_rank("severity")), "issue_id")
-    return rows.withColumn("position", F.row_number().over(w))
+    ranked = rows.withColumn("_card", F.struct(*by, "card_key")).withColumn("_rank", F.expr(tx.severity_rank("severity")))
+    return numbered(ranked, "_card", ["_rank", "issue_id"]).withColumn("position", (F.col("place") + 1).cast("int")).drop("_card", "_rank", "place")
 
 
 def coverage(targets: DataFrame, issues: DataFrame, assets: DataFrame | None = None) -> DataFrame:
