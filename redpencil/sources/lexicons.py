@@ -17,7 +17,7 @@ KIT_SCHEMA = ", ".join(
     + ["risky_words map<string,struct<priority:string,suggestion:string>>"])
 
 
-def read_terminology_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_terminology_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Wrong,right pairs; comments, blanks and the header are dropped."""
     df = spark.read.csv(path, schema=PAIR_SCHEMA, comment="#", ignoreLeadingWhiteSpace=True,
                         ignoreTrailingWhiteSpace=True)
