@@ -19,8 +19,7 @@ ROWS = [("w1", "caption", "1", "rule", "low", "ab", 0, 2, "rule", 0), ("w1", "ca
         (None, "image", "2", "null", "low", "q", 4, 9, "candidate", 8)]
 
 
-@pytest.mark.parametrize("cuts", [[9], [3, 6, 9], [1, 2, 3, 4, 5, 6, 7, 8, 9], [4, 4, 9]])
-@pytest.mark.parametrize("buckets", [1, 5])
+@pytest.mark.parametrize(("cuts", "buckets"), [([9], 5), ([3, 6, 9], 1), ([1, 3, 4, 6, 9], 5), ([4, 4, 9], 1)])
 def test_any_cut_gives_the_batch_merge(spark, tmp_path, cuts, buckets):
     df = spark.createDataFrame(ROWS, ISSUE)
     want = {r.issue_id for r in cd.merge_issues(df.where("origin = 'rule'").drop("ord"), df.where("origin <> 'rule'")).collect()}
