@@ -56,7 +56,7 @@ def brute(rows):
     return sorted(out, key=str), {key: groups for key, _, _, groups, _ in found}
 
 
-@pytest.mark.parametrize("block", [1, 300, 4 << 20])
+@pytest.mark.parametrize("block", [300, 4 << 20])
 def test_statistics_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(al, "BLOCK_BYTES", block)
     rows = [*enumerate(TEXTS), (None, "no id"), (3, "an id twice")]
