@@ -49,3 +49,18 @@ def test_edges(spark):
     both = spark.createDataFrame([(i, "good text here" if i % 2 else "spam spam spam", i % 2) for i in range(60)], "doc_id long, text string, grade int")
     got = quality.rate(odd, quality.train(both), tail=1).collect()
     assert len(got) == 5 and all(0 <= r.tail_probability <= 1 for r in got)
+
+
+def test_rated_texts_against_the_cumulative_link_written_out(spark):
+    rng = np.random.default_rng(11)
+    w = rng.normal(size=(1 << quality.BITS) + 1)
+    model = {"grades": np.array([0, 1, 4]), "thresholds": np.array([-0.3, 0.9]), "weights": w}
+    texts = ["one two two three", "", None, "été 中文 " * 30, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.rate(df, model, tail=1).collect():
+        at, x = quality.features(texts[r.doc_id] or "")
+        s = sum(float(v) * float(w[k]) for k, v in zip(at, x, strict=True))
+        below = [1 / (1 + np.exp(-(t - s))) for t in (-0.3, 0.9)]  # P(grade <= 0), P(grade <= 1)
+        share = [below[0], below[1] - below[0], 1 - below[1]]
+        assert abs(r.expected_grade - (share[1] + 4 * share[2])) < 1e-9
+        assert abs(r.tail_probability - (share[1] + share[2])) < 1e-9 and r.kept == (r.tail_probability >= 0.5)
