@@ -58,7 +58,8 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
             closer = (near < best[place]) | ((near == best[place]) & (c < number[place]))
             best[place[closer]], number[place[closer]] = near[closer], c[closer]
             frontier = np.minimum(down, up)
-            walking = walking[(frontier * frontier).sum(1) <= best[place]]
+            # a vector that has met every centroid has none left to look for
+            walking = walking[((frontier * frontier).sum(1) <= best[place]) & ~seen[walking].all(1)]
             if not len(walking):
                 break
     return number, best
