@@ -261,13 +261,6 @@ def markdown_lines(issues: DataFrame, by: list[str]) -> DataFrame:
     return heads.unionByName(rows).unionByName(ignored)
 
 
-def write_markdown(issues: DataFrame, by: list[str], path: str) -> None:
-    lines = markdown_lines(issues, by)
-    (lines.repartition(*by).sortWithinPartitions(*by, "sev", "source_id", "pos", "line")
-     .select(*by, F.col("line").alias("value")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path))
-
-
 # Labels of sources in a report.
 SOURCE_LABEL = "case source_type when 'caption' then 'Caption' when 'image' then 'Ảnh' when 'layout' then 'Layout' else source_type end"
 REPORT_ORDER = ["part", "at", "source_id", "pos", "line"]
@@ -286,6 +279,7 @@ def report_lines(workspaces: DataFrame, issues: DataFrame, corrected: DataFrame,
 
     s = workspaces.select(*by, "name").join(summary(issues, by), by, "left").na.fill(
         0, ["total_issues", "definite_errors", "suggestions", "needs_review"])
+    # The report's headings and line forms.
     top = ["concat('# QA Report — ', coalesce(name, ''))", "''", f"concat('Tạo lúc: ', {lit(generated_at)})", "''",
            "'## Tổng quan'", "''", "concat('- Tổng số issue: **', total_issues, '**')",
            "concat('- Lỗi chắc chắn: **', definite_errors, '**')", "concat('- Gợi ý: ', suggestions)",
@@ -353,11 +347,6 @@ def write_report_json(records: DataFrame, by: list[str], path: str) -> None:
     (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "section").json(path))
 
 
-def write_json(summary_df: DataFrame, path: str) -> None:
-    """The summary alone."""
-    summary_df.write.mode("overwrite").json(path)
-
-
 def detailed_log(sess: DataFrame) -> DataFrame:
     """The detailed log sheet."""
     groups = ("coalesce(nullif(array_join(transform(map_entries(category_counts), "
