@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from redpencil.llm import (
     alignment, centroids, decontamination, exact_dedup, fingerprint, jaccard, langid, mixing, packing, quality, sharding, toxicity, warc)
-from redpencil.llm.common import fold, scratch
+from redpencil.llm.common import fold, scratch, stored
 
 SHARDS = 8
 
@@ -57,14 +57,17 @@ def mixture_weight(path: tuple) -> float:
     return (DOMAINS if len(path) == 1 else LANGUAGES if len(path) == 2 else {}).get(path[-1], 1.0)
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, **counts) -> DataFrame:
     """As many tokens as the documents have, in the shares of the mixture, none more than four times."""
     levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.mix(docs, levels, mixture_weight, max_epochs=4)
+    return mixing.mix(docs, levels, mixture_weight, max_epochs=4, **counts)
 
 
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+    # the passes of the operator read stored counts; the words of a text are counted once
+    sized = stored(_table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", mixing.words_of(F.col("text")).alias("words")), "words")
+    return mixed(sized, text_col="words", tokens=lambda words: words).select(
         "doc_id", F.element_at("mix_path", 1).alias("domain"), F.element_at("mix_path", 2).alias("lang"),
         F.element_at("mix_path", 3).alias("source"), "epoch", "tokens", "taken")
 
