@@ -15,6 +15,8 @@ from redpencil.llm.common import arrow_rows, by_bytes, stored
 from redpencil.llm.components import components
 
 COUNTER_BITS = 20   # counters that order the shingles from rare to frequent
+COUNTER_BLOCK = 1 << 12  # counters that travel as one row
+COUNTER_PARTS = 8   # tasks that add the counters up
 SUFFIX_PARTS = 32   # ranges of hash values that the suffix filter counts
 TEXT_BYTES = 1 << 20  # texts that a worker turns into sets at a time
 _GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -68,30 +70,41 @@ def counters(texts: DataFrame, words: int) -> np.ndarray:
     shingles, rarest first; any order gives the same links, so counters that several shingles
     share cost time, not results.
     """
+    def rows(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        # the bytes of the counts by their place, so that the shuffle compresses the high ones, which are zeros, to nothing
+        planes = [np.minimum(n, 2**31 - 1).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for n in blocks.values()]
+        return pa.RecordBatch.from_pydict({"block": pa.array(list(blocks), pa.int32()), "n": pa.array(planes, pa.binary())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in by_bytes(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _counter(shingles(text, words)), 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"k": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
+        blocks = {k: n for k, n in enumerate(total.reshape(-1, COUNTER_BLOCK)) if n.any()}
+        if blocks:
+            yield rows(blocks)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            k, n = (batch.column(c).to_numpy() for c in (0, 1))
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k.astype("<i4").tobytes()]), "n": pa.array([np.minimum(n, 2**31 - 1).astype("<i4").tobytes()])})
-
-    # the sums come to the driver as two byte strings a batch: 8 bytes a counter
-    found = (texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-             .mapInArrow(packed, "k binary, n binary").toLocalIterator())
+            for k, planes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[k] = total.get(k, 0) + _counts(planes)
+        if total:
+            yield rows(total)
+
+    # each task sends its counters as blocks of bytes, not as a row for each counter; the sums come to the driver the same way
+    kind = "block int, n binary"
+    found = texts.mapInArrow(count, kind).repartition(COUNTER_PARTS, "block").mapInArrow(added, kind).toLocalIterator()
     out = np.zeros(1 << COUNTER_BITS, np.int32)
     for row in found:
-        out[np.frombuffer(row["k"], "<i4")] = np.frombuffer(row["n"], "<i4")
+        out[row["block"] * COUNTER_BLOCK:(row["block"] + 1) * COUNTER_BLOCK] = _counts(row["n"])
     return out
 
 
+def _counts(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+
+
 def _joined(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Link documents whose shingle sets have intersection * den >= union * num, and join them into components.
 
