@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
 from redpencil.functions.exprs import (
-    HIT_TYPE, any_contains, any_overlap, contains, empty, field, fresh, let, lit, merge_ranges, scan, spans,
+    HIT_TYPE, any_contains, any_overlap, chunks, contains, cut, empty, field, fresh, let, lit, merge_ranges, scan, spans,
 )
 from redpencil.lexicon import Lexicon
 from redpencil.operators import ranges as rg
@@ -24,6 +24,7 @@ from redpencil.operators.span_rules import span_hits, static_rules
 ALL_RULES = set(range(1, 80))
 CAPTION_RULES = {1, 2, 73, 74, 79}
 HEADING_AWARE_SPANS = {34, 35}
+CONTEXT = 12  # signs before and after an issue
 
 
 def _heading_aware(found: str, headings: str) -> str:
@@ -205,6 +206,14 @@ def with_hits(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, *
     return df.select(*names, "hits")
 
 
+def with_context(hits: str, text: str) -> str:
+    """P5 for all hits of a text, so that their rows need not carry the text."""
+    h = fresh("h")
+    return let(chunks(text), lambda p: (
+        f"transform({hits}, {h} -> named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {h}.{c}' for c in 'rkseog')}, "
+        f"'before', {cut(p, text, f'greatest({h}.s - {CONTEXT}, 0)', f'least({h}.s, {CONTEXT})')}, 'after', {cut(p, text, f'{h}.e', str(CONTEXT))}))"))
+
+
 def unpack(found: DataFrame) -> DataFrame:
     """One row per hit.
 
@@ -234,7 +243,7 @@ def check(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, table
     optional = [F.col(c) if c in content.columns else F.lit(None).cast("string").alias(c)
                 for c in ("artboard_id", "box_id")]
     found = with_hits(content.select(*ids, *optional, "text"), lex, rules, table=table)
-    rows = unpack(found)
+    rows = unpack(found.withColumn("hits", F.expr(with_context("hits", "text"))).drop("text"))
     issue_id = F.sha2(F.to_json(F.struct(*ids, "artboard_id", "box_id", "r", "s", "e", "o", "g")), 256)
     return rows.select(
         issue_id.alias("issue_id"), *ids, "artboard_id", "box_id",
@@ -246,8 +255,7 @@ def check(content: DataFrame, lex: Lexicon, rules: set[int] | None = None, table
         F.expr(rb.definite("r")).alias("is_definite"),
         F.col("s").alias("span_start"), F.col("e").alias("span_end"),
         F.expr("cast(null as struct<x0:double,y0:double,x1:double,y1:double>)").alias("bbox"),
-        F.expr(tx.context_before("text", "s")).alias("context_before"),
-        F.expr(tx.context_after("text", "e")).alias("context_after"),
+        F.col("before").alias("context_before"), F.col("after").alias("context_after"),
         F.lit("open").alias("status"), F.lit("rule_checker").alias("created_by"),
         F.concat(F.lit("R"), F.expr("cast(r div 10 as string)")).alias("reason_code"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redpencil.functions import text as tx
-from redpencil.functions.exprs import fresh, spans
+from redpencil.functions.exprs import lit
 from redpencil.lexicon import Lexicon
 from redpencil.operators.checker import check
 from redpencil.operators.dictionary import SIGN, WORD_RUN, table_entries
@@ -21,9 +21,8 @@ def _bucket():
 
 def words_of(content: DataFrame) -> DataFrame:
     """(keys, word): each distinct word and sign of each text, in the letter case that lexicons are compared in."""
-    x, y = fresh("x"), fresh("y")
-    all_ = (f"array_distinct(concat(transform({spans('low', WORD_RUN)}, {x} -> {x}.o), transform({spans('low', SIGN)}, {y} -> {y}.o)))")
-    return content.select(*KEYS, F.expr(tx.folded("text")).alias("low")).select(*KEYS, F.explode(F.expr(all_)).alias("word"))
+    all_ = f"array_distinct(concat(regexp_extract_all(low, {lit(WORD_RUN)}, 0), regexp_extract_all(low, {lit(SIGN)}, 0)))"
+    return content.select(*KEYS, F.expr(tx.folded(tx.strip_reserved("text"))).alias("low")).select(*KEYS, F.explode(F.expr(all_)).alias("word"))
 
 
 def build(content: DataFrame, path: str) -> None:
