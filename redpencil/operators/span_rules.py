@@ -203,7 +203,8 @@ def static_rules(lex: Lexicon) -> list[SpanRule]:
         SpanRule(510, rf"({NWS})( {{2,}})({NWS})", wrap("$0", "$1 $3"), has("  ")),
         SpanRule(520, rf"({NWS}) +([.,!?;:])", wrap("$0", "$1$2"), looks(" [.,!?;:]")),
         SpanRule(530, r"([,!?;:]|\.)(\p{L})", wrap("$0", "$1 $2"), looks(r"[,!?;:.]\p{L}")),
-        SpanRule(540, rf"([\p{{L}}\p{{N}}.,!?;:])({EMOJI})", wrap("$0", "$1 $2"), EMOJI_GATE),
+        # the exact class has some eighty parts; a short one goes before it
+        SpanRule(540, rf"(?=(?s:.){tx.MAYBE_PICTOGRAPHIC})([\p{{L}}\p{{N}}.,!?;:])({EMOJI})", wrap("$0", "$1 $2"), EMOJI_GATE),
         SpanRule(550, r"\. ?\. ?\.", wrap("$0", "..."), tx.contains_any("{t}", [". .", ".. ."]),
                  lambda h: f"{h}.o <> '...'"),
         SpanRule(560, r"\.{4,}", wrap("$0", "..."), has("....")),
