@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redpencil.llm.common import arrow_rows, by_bytes, stored
+from redpencil.llm.common import arrow_rows, by_bytes, small_batches, stored
 from redpencil.llm.components import components
 
 COUNTER_BITS = 20   # counters that order the shingles from rare to frequent
@@ -106,6 +106,12 @@ def _counts(planes: bytes) -> np.ndarray:
 
 
 def _joined(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The join of :func:`_linked`, all steps of which run here, in small batches."""
+    with small_batches(df.sparkSession):
+        return _linked(df, words, num, den, id_col, text_col)
+
+
+def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Link documents whose shingle sets have intersection * den >= union * num, and join them into components.
 
     Returns a row for each document: id, a hash of its text, its set's size and key, and the head of its
@@ -192,7 +198,7 @@ def _joined(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """One row for each document (and distinct set, where an id repeats), see :func:`_joined`.
+    """One row for each document (and distinct set, where an id repeats), see :func:`_linked`.
 
     Returns id, n_shingles, component_id (the smallest id reachable by links) and links_verified (the
     links of the document's set that the join had to confirm).

@@ -92,3 +92,15 @@ def test_an_id_of_two_unlike_texts_keeps_the_links_of_both(spark):
     assert got == sorted([(1, 10, 1), (1, 10, 1), (3, 11, 1), (4, 11, 1), (9, 10, 1), (5, 2, 5), (2, 10, 1)])
     kept = jaccard.keep_representatives(df.where("doc_id <> 9"), words=1, num=1, den=2)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (1, two), (5, "alone here")])
+
+
+def test_texts_travel_in_small_batches(spark, monkeypatch):
+    key, seen, whole = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.stored
+
+    def noted(df, name):
+        seen.append(int(spark.conf.get(key)))
+        return whole(df, name)
+    monkeypatch.setattr(jaccard, "stored", noted)
+    before = spark.conf.get(key)
+    jaccard.keep_representatives(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string")).collect()
+    assert seen and max(seen) <= 256 and spark.conf.get(key) == before
