@@ -19,6 +19,8 @@ COUNTER_BLOCK = 1 << 12  # counters that travel as one row
 COUNTER_PARTS = 8   # tasks that add the counters up
 SUFFIX_PARTS = 32   # ranges of hash values that the suffix filter counts
 TEXT_BYTES = 1 << 20  # texts that a worker turns into sets at a time
+BLOCK = 200_000     # shingles of a component that meet another such block in one task, about
+COLUMNS = 1 << 12   # distinct shingles that two blocks are compared by at a time
 _GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -105,17 +107,17 @@ def _counts(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
 
 
-def _joined(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _joined(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, count: bool) -> DataFrame:
     """The join of :func:`_linked`, all steps of which run here, in small batches."""
     with small_batches(df.sparkSession):
-        return _linked(df, words, num, den, id_col, text_col)
+        return _linked(df, words, num, den, id_col, text_col, count)
 
 
-def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, count: bool) -> DataFrame:
     """Link documents whose shingle sets have intersection * den >= union * num, and join them into components.
 
-    Returns a row for each document: id, a hash of its text, its set's size and key, and the head of its
-    component (the smallest id, then the smallest text hash).
+    Returns a row for each document: id, a hash of its text, its set's size and key, the head of its
+    component (the smallest id, then the smallest text hash) and, with ``count``, how many other documents it links to.
 
     Documents with equal sets are one node, found by a 128-bit hash of the set. Each node is listed
     under the rarest shingles of its set, as many as any partner must share one of. A pair becomes a
@@ -125,7 +127,8 @@ def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col
     pairs, the join runs in two rounds: first every node meets only the first node of each list,
     and the links found join into components; then, in lists that still hold several components,
     the nodes outside the list's largest one meet all nodes of the other components. Every pair
-    the second round leaves out is inside a component already, so the components are exact.
+    the second round leaves out is inside a component already, so the components are exact, and the
+    links inside each component can be counted afterwards without one row a link (:func:`_counted`).
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
@@ -158,8 +161,8 @@ def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col
     order.destroy()
     # a node is one distinct set; it is named by a row's number, since rows of unlike texts may repeat an id
     nodes = stored(docs.where("id is not null and n > 0").groupBy("key").agg(
-        F.min("uid").alias("node"), F.min(F.struct("id", "text_key")).alias("own"), F.min(F.struct("n", "prefix", "parts")).alias("s")).select(
-        "key", "node", "own", "s.*"), "nodes")
+        F.min("uid").alias("node"), F.min(F.struct("id", "text_key")).alias("own"), F.count("*").alias("docs"),
+        F.min(F.struct("n", "prefix", "parts")).alias("s")).select("key", "node", "own", "docs", "s.*"), "nodes")
     posts = nodes.select("node", "n", F.col("own.id").alias("id"), F.posexplode("prefix").alias("at", "token"))
     several = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posts = stored(posts.join(several, "token"), "postings")
@@ -187,12 +190,15 @@ def _linked(df: DataFrame, words: int, num: int, den: int, id_col: str, text_col
     more = _verified(rows, nodes, rest.select(*pair).distinct(), words, num, den)
     links = stored(links.unionByName(more), "links")
     final = components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(
-        F.count("*").alias("links_verified"))
-    joined = stored(nodes.select("key", "node", "own").join(final, "node", "left").join(ends, "node", "left").select(
-        "key", "own", F.coalesce("component", "node").alias("component"), F.coalesce("links_verified", F.lit(0)).alias("links_verified")), "joined")
+    links = F.lit(0).cast("long")
+    if count:
+        members = stored(final.join(nodes.select("node", "key", "own", "docs", "n"), "node"), "members")
+        final = stored(members.select("node", "component").join(_counted(rows, members, words, num, den), "node", "left"), "linked")
+        links = F.coalesce("links", links) + F.col("docs") - 1  # those of other sets, and its copies
+    joined = nodes.select("key", "node", "own", "docs").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = stored(joined.select("key", "own", "component", links.alias("n_links")), "joined")
     names = joined.groupBy("component").agg(F.min("own").alias("head"))
-    settled = stored(joined.join(names, "component").select("key", "head", "links_verified"), "settled")
+    settled = stored(joined.join(names, "component").select("key", "head", "n_links"), "settled")
     return docs.select("id", "text_key", "n", "key").join(settled, "key", "left")
 
 
@@ -200,31 +206,24 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 4, den: int = 5
                        text_col: str = "text") -> DataFrame:
     """One row for each document (and distinct set, where an id repeats), see :func:`_linked`.
 
-    Returns id, n_shingles, component_id (the smallest id reachable by links) and links_verified (the
-    links of the document's set that the join had to confirm).
+    Returns id, n_shingles, component_id (the smallest id reachable by links) and n_links (how many other
+    documents, copies included, it links to; rows that repeat an id count as documents).
 
     Defined cases: null and wordless texts have an empty set, link with nothing and are their own
     component; a row without an id gets a null component and links with nothing; rows that repeat
     an id give one output row for each distinct set, in their own set's component; an empty table
     gives no rows.
     """
-    met = _joined(df, words, num, den, id_col, text_col).select("id", "n", "key", "head", "links_verified").distinct()
+    met = _joined(df, words, num, den, id_col, text_col, count=True).select("id", "n", "key", "head", "n_links").distinct()
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return met.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(linked, F.col("head.id")).otherwise(F.col("id")).alias("component_id"),
-                      F.when(linked, F.col("links_verified")).otherwise(0).alias("links_verified"))
+                      F.when(linked, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are alike enough: suffix filter, then one comparison each."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, v: s + v)
-    # union >= intersection + what differs in each range; the rest follows from the threshold
-    kept = stored(pairs.join(one, "a").join(two, "b").where(
-        (F.col("n_a") + F.col("n_b") - apart) * (num + den) >= (F.col("n_a") + F.col("n_b")) * (2 * num)).select("a", "b"), "candidates")
-    wanted = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
-    key = stored(nodes.select("node", "key", F.col("own.id").alias("id")).join(wanted, "node"), "needed")
+def _texts(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, text): a text of each of the nodes (node, key, id)."""
+    key = stored(wanted, "needed")
     need = stored(key.select("id").distinct(), "needed-ids")
     kind = rows.schema["id"].dataType
     whole = T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType()), T.StructField("text", T.StringType())])
@@ -239,7 +238,70 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, n
     # the texts stay where they are while Spark can broadcast the ids that are needed; pairs then meet
     # the texts, which are smaller than their sets, and each text is shingled where it is compared
     found = rows.join(need, "id", "left_semi").select("id", "text").mapInArrow(keyed, whole)
-    found = stored(found.join(key, ["id", "key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    return stored(found.join(key, ["id", "key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+
+
+def linked_rows(one: list[np.ndarray], two: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of the one list link with which of the other, as a matrix of booleans."""
+    shared = np.zeros((len(one), len(two)), np.float32)
+    every, at = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in (*one, *two)])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for low in range(0, len(every), COLUMNS):
+        some = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+        m = np.zeros((len(one) + len(two), min(COLUMNS, len(every) - low)), np.float32)
+        m[row[some], at[some] - low] = 1
+        shared += m[:len(one)] @ m[len(one):].T
+    shared = shared.astype(np.int64)
+    n_one, n_two = (np.array([len(s) for s in x], np.int64) for x in (one, two))
+    return shared * den >= (n_one[:, None] + n_two[None, :] - shared) * num
+
+
+def _counted(rows: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, links): documents of other sets that a node's set links to, for the nodes of components of several.
+
+    ``members``: node, key, own, docs, n, component. All links of a node are inside its component. A
+    component's nodes are dealt into blocks of about ``BLOCK`` shingles and every two blocks meet in one
+    group, where the shared shingles of all their sets are one product of matrices; so the time goes
+    with the square of a component, as the number of its links does, but rows and memory do not.
+    """
+    wide = members.groupBy("component").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("k > 1")
+    inside = stored(members.join(wide.drop("k"), "component").select(
+        "node", "key", F.col("own.id").alias("id"), "docs", "component", "blocks",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "inside")
+    text = _texts(rows, inside.select("node", "key", "id"), words)
+    dealt = inside.join(text, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "docs", "text")
+
+    def count(group: pa.Table) -> pa.Table:
+        block, node, docs = (group.column(k).to_numpy() for k in ("block", "node", "docs"))
+        sets = [shingles(t, words) for t in group.column("text").to_pylist()]
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        links = np.zeros(len(sets), np.int64)
+        if len(a) and len(b):
+            met = linked_rows([sets[k] for k in a], [sets[k] for k in b], num, den)
+            if low == high:
+                np.fill_diagonal(met, False)
+            else:
+                links[b] = docs[a] @ met
+            links[a] = met @ docs[b]
+        return pa.table({"node": node, "links": links})
+
+    return dealt.groupBy("component", "low", "high").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are alike enough: suffix filter, then one comparison each."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, v: s + v)
+    # union >= intersection + what differs in each range; the rest follows from the threshold
+    kept = stored(pairs.join(one, "a").join(two, "b").where(
+        (F.col("n_a") + F.col("n_b") - apart) * (num + den) >= (F.col("n_a") + F.col("n_b")) * (2 * num)).select("a", "b"), "candidates")
+    wanted = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
+    found = _texts(rows, nodes.select("node", "key", F.col("own.id").alias("id")).join(wanted, "node"), words)
     both = kept.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
         found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -269,7 +331,7 @@ def keep_representatives(df: DataFrame, words: int = 5, num: int = 4, den: int =
     Documents without words or without an id stay. Rows that repeat an id are judged by their own
     texts; rows that repeat both stay or go together.
     """
-    joined = _joined(df, words, num, den, id_col, text_col)
+    joined = _joined(df, words, num, den, id_col, text_col, count=False)
     other = F.struct("id", "text_key") != F.col("head")
     gone = joined.where((F.col("n") > 0) & F.col("id").isNotNull() & other).select(
         F.col("id").alias("__gone"), F.col("text_key").alias("__text")).distinct()

@@ -104,3 +104,15 @@ def test_texts_travel_in_small_batches(spark, monkeypatch):
     before = spark.conf.get(key)
     jaccard.keep_representatives(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string")).collect()
     assert seen and max(seen) <= 256 and spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("block", [200_000, 900])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # components of one block, and of many
+    rows = [*texts(4, 90), (9_001, None), (9_002, "alone")]
+    rows += [(9_100 + k, rows[0][1].lower()) for k in range(3)]
+    sets = {i: frozenset(jaccard.shingles(t or "", 3).tolist()) for i, t in rows}
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 60 * len(a | b)
+    want = {i: sum(linked(a, b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 60, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 9
